@@ -319,7 +319,7 @@ def threshold_state(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _two_decimals(scaled: str) -> str:
     # decimal rounding of the shortest text of the double: halves go up
-    return f"CAST(round(CAST(CAST({scaled} AS VARCHAR) AS DECIMAL(38,12)), 2) AS DECIMAL(38,2))::VARCHAR"
+    return f"CAST(round(CAST(CAST({scaled} AS VARCHAR) AS DECIMAL(38,18)), 2) AS DECIMAL(38,2))::VARCHAR"
 
 
 @query(f"""SELECT event_id,

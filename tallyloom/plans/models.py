@@ -1 +1,51 @@
-"""To be filled."""
+"""Neighbours, a regression and run metrics."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from ..operators import models, neighbours
+from ..operators.prefix import sequence_number
+from . import query
+from .inputs import table
+
+
+@query("""WITH dims AS (SELECT label, generate_subscripts(embedding, 1) AS d, unnest(embedding)::DOUBLE AS x FROM embeddings),
+means AS (SELECT label, d, avg(x) AS x FROM dims GROUP BY 1, 2),
+centres AS (SELECT label, list(x ORDER BY d) AS c FROM means GROUP BY 1),
+scored AS (SELECT c.label AS query_id, e.vec_id, list_cosine_similarity(e.embedding::DOUBLE[], c.c) AS similarity
+  FROM embeddings e, centres c)
+SELECT query_id, vec_id, row_number() OVER w AS rank, round(similarity, 6) AS similarity FROM scored
+WINDOW w AS (PARTITION BY query_id ORDER BY similarity DESC, vec_id) QUALIFY row_number() OVER w <= 10""")
+def knn_cosine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten vectors nearest to the mean vector of each label."""
+    vectors = table(spark, sf_dir, "embeddings")
+    size = vectors.select(F.max(F.size("embedding")).alias("d")).first()["d"]
+    batch = neighbours.centroids(vectors, "label", "embedding", size).withColumnRenamed("label", "query_id")
+    found = neighbours.knn(vectors.select("vec_id", "embedding"), batch, 10)
+    return found.withColumn("similarity", F.round("similarity", 6))
+
+
+@query("""WITH rows AS (SELECT l_quantity AS x, l_extendedprice AS y,
+  ('0x' || substr(sha256(l_orderkey || '|' || l_partkey || '|' || l_linenumber), 1, 4))::INT < 13107 AS test FROM lineitem),
+fit AS (SELECT avg(x) AS mx, avg(y) AS my, covar_pop(y, x) * count(*) / (var_pop(x) * count(*) + 0.5) AS b FROM rows WHERE NOT test)
+SELECT count(*) FILTER (WHERE NOT test) AS train_rows, count(*) FILTER (WHERE test) AS test_rows,
+  round(any_value(my - b * mx), 4) AS intercept, round(any_value(b), 4) AS coef_l_quantity,
+  round(avg((y - (my - b * mx) - b * x) ** 2) FILTER (WHERE test), 2) AS mse FROM rows, fit""")
+def ridge_mse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    items = table(spark, sf_dir, "lineitem")
+    test = models.held_out(["l_orderkey", "l_partkey", "l_linenumber"])
+    fitted = models.ridge(items, ["l_quantity"], "l_extendedprice", 0.5, test)
+    return fitted.withColumns({
+        "intercept": F.round("intercept", 4), "coef_l_quantity": F.round("coef_l_quantity", 4),
+        "mse": F.round("mse", 2)})
+
+
+@query("""WITH runs AS (SELECT user_id % 5 AS run_id, event_type AS key, value,
+  row_number() OVER (PARTITION BY user_id % 5, event_type ORDER BY event_id) AS step FROM events)
+SELECT run_id, key, count(*) AS steps, arg_max(value, step) AS last_value, max(step) AS last_step,
+  min(value) AS best_value, arg_min(step, (value, step)) AS best_step FROM runs GROUP BY 1, 2""")
+def run_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = table(spark, sf_dir, "events").select(
+        (F.col("user_id") % 5).alias("run_id"), F.col("event_type").alias("key"), "event_id", "value")
+    return models.run_metrics(sequence_number(events, ["run_id", "key"], "event_id", "step"))

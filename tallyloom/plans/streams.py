@@ -1 +1,273 @@
-"""To be filled."""
+"""Streaming jobs run over what is there, their sinks read back, and reports about a log."""
+
+from __future__ import annotations
+
+from contextlib import contextmanager
+
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from ..session import scratch_path
+from ..streaming import log as logs, sinks, stateful
+from . import inputs, query
+from .inputs import COMMITS_SQL, LOG_SQL, table
+
+_PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+_ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+# no event is older than this against the newest one
+_WHOLE_RANGE = "40 days"
+
+
+@contextmanager
+def _rocksdb(spark: SparkSession):
+    before = spark.conf.get(_PROVIDER)
+    spark.conf.set(_PROVIDER, _ROCKSDB)
+    try:
+        yield
+    finally:
+        spark.conf.set(_PROVIDER, before)
+
+
+def _event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = f"{sf_dir}/events.parquet"
+    return logs.stream_files(spark, path, spark.read.parquet(path).schema)
+
+
+def _run(spark: SparkSession, stream: DataFrame, mode: str = "append") -> str:
+    """Run to the end into an idempotent sink; returns the sink's path."""
+    path = scratch_path(spark, "sink")
+    sinks.run_available(stream, scratch_path(spark, "checkpoint"), sinks.idempotent_sink(path), mode)
+    return path
+
+
+def _stored_log(spark: SparkSession, sf_dir: str, broken: bool = False) -> tuple[str, DataFrame]:
+    """The log written as files, with every fiftieth payload unreadable if asked."""
+    path = scratch_path(spark, "log")
+    records = inputs.log(spark, sf_dir)
+    if broken:
+        records = records.withColumn(
+            "value", F.when(F.col("event_id") % 50 == 0, "not json").otherwise(F.col("value")))
+    records.write.parquet(path)
+    return path, spark.read.parquet(path)
+
+
+@query(f"""WITH {LOG_SQL}
+SELECT "partition", "offset", key, CAST(json_extract(value, '$.k') AS INTEGER) AS k, 'unknown' AS source FROM log""")
+def read_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """From the earliest record, payload typed; a field the payload lacks takes its default."""
+    path, stored = _stored_log(spark, sf_dir)
+    stream = logs.read_log(spark, path, stored.schema, "earliest", "k int, source string", {"source": "unknown"})
+    return sinks.appended(spark, _run(spark, stream.select("partition", "offset", "key", "k", "source")))
+
+
+@query(f"""WITH {LOG_SQL}, {COMMITS_SQL}
+SELECT l."partition", l."offset" FROM log l JOIN commits c ON c."group" = 'behind' AND c."partition" = l."partition"
+WHERE l."offset" >= c."offset" """)
+def read_log_from_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path, stored = _stored_log(spark, sf_dir)
+    behind = inputs.commits(stored).filter("group = 'behind'").collect()
+    start = {row["partition"]: row["offset"] - 1 for row in behind}
+    stream = logs.read_log(spark, path, stored.schema, start)
+    return sinks.appended(spark, _run(spark, stream.select("partition", "offset")))
+
+
+@query(f"""WITH {LOG_SQL} SELECT "partition", max("offset") + 1 AS "offset" FROM log GROUP BY 1""")
+def read_log_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """From the end: only the record added to each partition afterwards is seen."""
+    path, stored = _stored_log(spark, sf_dir)
+    stream = logs.read_log(spark, path, stored.schema, "latest")
+    added = stored.groupBy("partition").agg((F.max("offset") + 1).alias("offset")).select(
+        F.lit("events").alias("topic"), "partition", "offset", F.lit(-1).cast("long").alias("key"),
+        F.lit("{}").alias("value"), F.lit("2024-01-31 00:00:00").cast("timestamp_ntz").alias("timestamp"),
+        F.lit(-1).cast("long").alias("event_id"))
+    added.write.mode("append").parquet(path)
+    return sinks.appended(spark, _run(spark, stream.select("partition", "offset")))
+
+
+_WINDOWS_SQL = """SELECT user_id, time_bucket(INTERVAL 5 MINUTE, ts) AS window_start,
+  time_bucket(INTERVAL 5 MINUTE, ts) + INTERVAL 5 MINUTE AS window_end, count(*) AS events FROM events GROUP BY 1, 2, 3"""
+
+
+@query(_WINDOWS_SQL)
+def stream_windowed_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counts = stateful.windowed_counts(_event_stream(spark, sf_dir), "5 minutes", ["user_id"])
+    path = _run(spark, counts, "update")
+    return sinks.sink_table(spark, path, ["user_id", "window_start", "window_end"])
+
+
+def _split_at(events: DataFrame):
+    """The id below which six tenths of the events lie."""
+    top = events.agg(F.max("event_id").alias("m")).scalar()
+    return F.floor((top + 1) * 6 / 10)
+
+
+def _in_order(spark: SparkSession, sf_dir: str, parts: list, job, mode: str, checkpoint: str, sink: str) -> list:
+    """Add one part of the events at a time and run the job after each, on one checkpoint."""
+    events = table(spark, sf_dir, "events")
+    source = scratch_path(spark, "source")
+    finished = []
+    for part in parts:
+        events.filter(part(events)).write.mode("append").parquet(source)
+        stream = logs.stream_files(spark, source, events.schema)
+        finished.append(sinks.run_available(job(stream), checkpoint, sinks.idempotent_sink(sink), mode))
+    return finished
+
+
+_LATE, _ON_TIME = "event_id % 97 = 0", "event_id % 97 <> 0"
+
+
+@query("""WITH e AS (SELECT *, event_id % 97 = 0 AS late FROM events),
+m AS (SELECT max(ts) FILTER (WHERE NOT late) - INTERVAL 1 HOUR AS watermark FROM e)
+SELECT time_bucket(INTERVAL 5 MINUTE, ts) AS window_start, time_bucket(INTERVAL 5 MINUTE, ts) + INTERVAL 5 MINUTE AS window_end,
+  event_type, count(*) AS events FROM e, m
+WHERE NOT late OR time_bucket(INTERVAL 5 MINUTE, ts) + INTERVAL 5 MINUTE > watermark GROUP BY 1, 2, 3""")
+def stream_late_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Late rows come last; those whose window the watermark has closed are not counted."""
+    sink = scratch_path(spark, "sink")
+    _in_order(
+        spark, sf_dir,
+        [lambda e: F.expr(_ON_TIME) & (F.col("event_id") < _split_at(e)),
+         lambda e: F.expr(_ON_TIME) & (F.col("event_id") >= _split_at(e)),
+         lambda e: F.expr(_LATE)],
+        lambda stream: stateful.windowed_counts(stream, "5 minutes", ["event_type"]),
+        "update", scratch_path(spark, "checkpoint"), sink)
+    return sinks.sink_table(spark, sink, ["event_type", "window_start", "window_end"])
+
+
+@query(_WINDOWS_SQL.replace("user_id", "event_type"))
+def stream_restart(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stopped after part of the input and started again: counts and position go on together."""
+    sink = scratch_path(spark, "sink")
+    _in_order(
+        spark, sf_dir,
+        [lambda e: F.col("event_id") < _split_at(e), lambda e: F.col("event_id") >= _split_at(e)],
+        lambda stream: stateful.windowed_counts(stream, "5 minutes", ["event_type"]),
+        "update", scratch_path(spark, "checkpoint"), sink)
+    return sinks.sink_table(spark, sink, ["event_type", "window_start", "window_end"])
+
+
+@query("SELECT event_id, event_type, value FROM events")
+def stream_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    stream = _event_stream(spark, sf_dir)
+    copies = _event_stream(spark, sf_dir).filter("event_id % 10 = 0")
+    once = stateful.dedup(stream.unionByName(copies), "event_id", _WHOLE_RANGE)
+    return sinks.appended(spark, _run(spark, once.select("event_id", "event_type", "value")))
+
+
+@query("""SELECT event_id, user_id, c_mktsegment FROM events LEFT JOIN customer ON user_id = c_custkey""")
+def stream_enrich(spark: SparkSession, sf_dir: str) -> DataFrame:
+    accounts = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("user_id"), "c_mktsegment")
+    enriched = stateful.enrich(_event_stream(spark, sf_dir).select("event_id", "user_id"), accounts, "user_id")
+    return sinks.appended(spark, _run(spark, enriched))
+
+
+@query("""SELECT p.event_id, c.event_id AS click_id FROM events p JOIN events c ON p.user_id = c.user_id
+  AND c.ts BETWEEN p.ts - INTERVAL 10 MINUTE AND p.ts + INTERVAL 10 MINUTE
+WHERE p.event_type = 'purchase' AND c.event_type = 'click'""")
+def stream_enrich_moving(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Purchases and clicks of a user at most ten minutes apart, both sides moving."""
+    stream = _event_stream(spark, sf_dir)
+    bought = stream.filter("event_type = 'purchase'").select("event_id", "user_id", "ts")
+    clicks = stream.filter("event_type = 'click'").select(
+        F.col("event_id").alias("click_id"), "user_id", F.col("ts").alias("click_ts"))
+    paired = stateful.enrich_moving(bought, clicks, "user_id", "ts", "click_ts", "10m")
+    return sinks.appended(spark, _run(spark, paired.select("event_id", "click_id")))
+
+
+@query("""SELECT user_id AS key, min(ts) AS ts, arg_min(event_id, ts) AS id FROM events
+WHERE event_type = 'purchase' GROUP BY 1""")
+def stream_first_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    with _rocksdb(spark):
+        first = stateful.first_match(
+            _event_stream(spark, sf_dir), "user_id", F.col("event_type") == "purchase", "event_id")
+        path = _run(spark, first)
+    return sinks.appended(spark, path)
+
+
+def _dead_letters(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    path, stored = _stored_log(spark, sf_dir, broken=True)
+    good, dead = scratch_path(spark, "good"), scratch_path(spark, "dead")
+    sinks.run_available(
+        logs.read_log(spark, path, stored.schema), scratch_path(spark, "checkpoint"),
+        sinks.dead_letter_sink("k int", good, dead))
+    return sinks.appended(spark, good), sinks.appended(spark, dead)
+
+
+@query(f"""WITH {LOG_SQL} SELECT 'events' AS topic, "partition", "offset", key, "timestamp", event_id,
+  'malformed_json' AS error_class, 'not json' AS payload FROM log WHERE event_id % 50 = 0""")
+def stream_dead_letters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _dead_letters(spark, sf_dir)[1]
+
+
+@query(f"""WITH {LOG_SQL} SELECT "partition", "offset", CAST(json_extract(value, '$.k') AS INTEGER) AS k
+FROM log WHERE event_id % 50 <> 0""")
+def stream_good_letters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _dead_letters(spark, sf_dir)[0].select("partition", "offset", "k")
+
+
+@query("SELECT event_id, value FROM events")
+def idempotent_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same batch written twice, as after a failure before the commit."""
+    path = scratch_path(spark, "sink")
+    stream = _event_stream(spark, sf_dir).select("event_id", "value")
+    for _ in range(2):
+        sinks.run_available(stream, scratch_path(spark, "checkpoint"), sinks.idempotent_sink(path))
+    return sinks.appended(spark, path)
+
+
+@query(f"""WITH {LOG_SQL}, last AS (SELECT * FROM log QUALIFY row_number() OVER (
+  PARTITION BY key ORDER BY "timestamp" DESC, "partition" DESC, "offset" DESC) = 1)
+SELECT key, "timestamp", "offset", value FROM last WHERE event_id % 5 <> 0""")
+def latest_by_key(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A record with a null value deletes its key."""
+    records = inputs.log(spark, sf_dir)
+    records = records.withColumn("value", F.when(F.col("event_id") % 5 != 0, F.col("value")))
+    last = sinks.latest_by_key(records, "key", ["timestamp", "partition", "offset"], F.col("value").isNull())
+    return last.select("key", "timestamp", "offset", "value")
+
+
+_LAG_SQL = f"""WITH {LOG_SQL}, {COMMITS_SQL}, groups AS (SELECT DISTINCT "group" FROM commits),
+lags AS (SELECT g."group", e."partition", e.e AS "end", c."offset" AS committed, e.e - coalesce(c."offset", 0) AS lag
+FROM groups g CROSS JOIN ends e LEFT JOIN commits c ON c."group" = g."group" AND c."partition" = e."partition")"""
+
+
+@query(f"{_LAG_SQL} SELECT * FROM lags")
+def consumer_lag(spark: SparkSession, sf_dir: str) -> DataFrame:
+    records = inputs.log(spark, sf_dir)
+    return logs.consumer_lag(records, inputs.commits(records))
+
+
+@query(f"""{_LAG_SQL} SELECT "group", CAST(sum(lag) AS BIGINT) AS lag FROM lags GROUP BY 1""")
+def group_lag(spark: SparkSession, sf_dir: str) -> DataFrame:
+    records = inputs.log(spark, sf_dir)
+    return logs.group_lag(logs.consumer_lag(records, inputs.commits(records)))
+
+
+@query(f"""WITH {LOG_SQL} SELECT "partition", "offset", key FROM log""")
+def replay(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A second reader starts from the beginning and leaves the first one's position alone."""
+    path, stored = _stored_log(spark, sf_dir)
+    stream = logs.read_log(spark, path, stored.schema).select("partition", "offset", "key")
+    _run(spark, stream)
+    again = scratch_path(spark, "replayed")
+    sinks.replay(stream, scratch_path(spark, "replay-checkpoint"), sinks.idempotent_sink(again))
+    return sinks.appended(spark, again)
+
+
+@query(f"""WITH {LOG_SQL}, shifted AS (
+  SELECT "partition", key, "offset", CASE WHEN event_id % 7 = 0 THEN "timestamp" - INTERVAL 3 DAY ELSE "timestamp" END AS t FROM log),
+paired AS (SELECT *, lag(t) OVER (PARTITION BY "partition", key ORDER BY "offset") AS p FROM shifted)
+SELECT "partition", key, count(*) AS records, count(*) FILTER (WHERE t < p) AS out_of_order FROM paired GROUP BY 1, 2""")
+def order_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every seventh record carries a time of three days before."""
+    early = F.col("timestamp") - F.expr("interval 3 days")
+    records = inputs.log(spark, sf_dir)
+    records = records.withColumn(
+        "timestamp", F.when(F.col("event_id") % 7 == 0, early).otherwise(F.col("timestamp")))
+    return logs.order_check(records)
+
+
+@query("""SELECT user_id AS key, count(*) AS records, round(count(*) / (SELECT count(*) FROM events), 9) AS share,
+  count(*) / (SELECT count(*) FROM events) >= 0.0075 AS hot FROM events GROUP BY 1""")
+def key_skew(spark: SparkSession, sf_dir: str) -> DataFrame:
+    records = table(spark, sf_dir, "events").withColumnRenamed("user_id", "key")
+    return logs.key_skew(records, 0.0075).withColumn("share", F.round("share", 9))

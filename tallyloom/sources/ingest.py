@@ -6,11 +6,16 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StringType, StructType
 
 _CORRUPT = "_corrupt_record"
+_ISO = "yyyy-MM-dd'T'HH:mm:ss[.SSSSSS]"
 
 
 def _split(raw: DataFrame, schema: StructType) -> tuple[DataFrame, DataFrame]:
-    good = raw.filter(F.col(_CORRUPT).isNull()).select(*schema.fieldNames())
-    bad = raw.filter(F.col(_CORRUPT).isNotNull()).select(
+    # Always true, but it makes both results read every field: a record must not turn
+    # good because a later select leaves its broken field out.
+    every_field = F.length(F.concat_ws("", *[F.col(f).cast("string") for f in schema.fieldNames()])) >= 0
+    parsed = raw.filter(every_field)
+    good = parsed.filter(F.col(_CORRUPT).isNull()).select(*schema.fieldNames())
+    bad = parsed.filter(F.col(_CORRUPT).isNotNull()).select(
         F.col(_CORRUPT).alias("record"), F.col("_metadata.file_path").alias("file")
     )
     return good, bad
@@ -24,12 +29,14 @@ def _declared(schema: str | StructType) -> tuple[StructType, StructType]:
 def ingest_jsonl(
     spark: SparkSession, path: str, schema: str | StructType
 ) -> tuple[DataFrame, DataFrame]:
-    """JSON lines as (typed rows, malformed lines with their file)."""
+    """JSON lines as (typed rows, malformed lines with their file); times are ISO 8601."""
     fields, read_as = _declared(schema)
     raw = (
         spark.read.schema(read_as)
         .option("mode", "PERMISSIVE")
         .option("columnNameOfCorruptRecord", _CORRUPT)
+        .option("timestampFormat", _ISO)
+        .option("timestampNTZFormat", _ISO)
         .json(path)
     )
     return _split(raw, fields)
@@ -51,6 +58,8 @@ def ingest_csv(
         .option("columnPruning", False)
         .option("enforceSchema", False)
         .option("escape", '"')
+        .option("timestampFormat", _ISO)
+        .option("timestampNTZFormat", _ISO)
         .csv(path, header=True)
     )
     return _split(raw, fields)

@@ -3,14 +3,23 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from datetime import timezone
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Row, functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
-from pyspark.sql.types import LongType, StructField, StructType, TimestampType
+from pyspark.sql.types import LongType, StructField, StructType
 
-from ..functions.timeaxis import seconds
+from ..functions.timeaxis import is_ntz, seconds
+
+
+def _timed(stream: DataFrame, ts: str, watermark: str) -> DataFrame:
+    """Watermarks need a timestamp with time zone; a plain one is read in the session's zone."""
+    return stream.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, watermark)
+
+
+def _restored(column: str | Column, ntz: bool) -> Column:
+    column = F.col(column) if isinstance(column, str) else column
+    return column.cast("timestamp_ntz") if ntz else column
 
 
 def windowed_counts(
@@ -21,12 +30,13 @@ def windowed_counts(
     Rows whose window closed before the watermark are dropped and counted in the
     progress of the query, see ``late_rows``.
     """
+    ntz = is_ntz(stream, ts)
     return (
-        stream.withWatermark(ts, watermark)
+        _timed(stream, ts, watermark)
         .groupBy(F.window(ts, window).alias("_window"), *keys)
         .agg(F.count(F.lit(1)).alias("events"))
-        .select(*keys, F.col("_window.start").alias("window_start"),
-                F.col("_window.end").alias("window_end"), "events")
+        .select(*keys, _restored("_window.start", ntz).alias("window_start"),
+                _restored("_window.end", ntz).alias("window_end"), "events")
     )
 
 
@@ -38,14 +48,15 @@ def dedup(
     An id with very many copies is first thinned out on ``salts`` tasks, then once
     more as a whole. ``salts=1`` leaves the first pass out and halves the state.
     """
-    marked = stream.withWatermark(ts, within)
+    ntz = is_ntz(stream, ts)
+    marked = _timed(stream, ts, within)
     if salts > 1:
         marked = (
             marked.withColumn("_salt", F.pmod(F.spark_partition_id(), F.lit(salts)))
             .dropDuplicatesWithinWatermark([key, "_salt"])
             .drop("_salt")
         )
-    return marked.dropDuplicatesWithinWatermark([key])
+    return marked.dropDuplicatesWithinWatermark([key]).withColumn(ts, _restored(ts, ntz))
 
 
 def _broadcastable(table: DataFrame) -> bool:
@@ -54,7 +65,7 @@ def _broadcastable(table: DataFrame) -> bool:
     text = limit.lower().rstrip("b")
     factor = {"k": 2**10, "m": 2**20, "g": 2**30}.get(text[-1:], 1)
     allowed = int(text.rstrip("kmg")) * factor
-    return int(estimate.toString()) <= allowed
+    return int(str(estimate)) <= allowed
 
 
 def enrich(stream: DataFrame, table: DataFrame, key: str, how: str = "left", salts: int = 16
@@ -76,15 +87,19 @@ def enrich_moving(
     watermark: str = "1 hour",
 ) -> DataFrame:
     """Both sides are streams: join records whose times are at most ``within`` apart."""
-    left = stream.withWatermark(ts, watermark).alias("l")
-    right = other.withWatermark(other_ts, watermark).alias("r")
+    left = _timed(stream, ts, watermark).alias("l")
+    right = _timed(other, other_ts, watermark).alias("r")
     reach = F.expr(f"interval {seconds(within)} seconds")
     near = F.col(f"r.{other_ts}").between(F.col(f"l.{ts}") - reach, F.col(f"l.{ts}") + reach)
     added = [F.col(f"r.{c}") for c in other.columns if c not in stream.columns]
-    return left.join(right, (F.col(f"l.{key}") == F.col(f"r.{key}")) & near).select("l.*", *added)
+    joined = left.join(right, (F.col(f"l.{key}") == F.col(f"r.{key}")) & near).select("l.*", *added)
+    restored = {ts: _restored(ts, is_ntz(stream, ts))}
+    if other_ts in joined.columns:
+        restored[other_ts] = _restored(other_ts, is_ntz(other, other_ts))
+    return joined.withColumns(restored)
 
 
-_SEEN = StructType([StructField("at_ms", LongType())])
+_SEEN = StructType([StructField("at_us", LongType())])
 
 
 class _FirstMatch(StatefulProcessor):
@@ -98,14 +113,13 @@ class _FirstMatch(StatefulProcessor):
         self.seen = handle.getValueState("seen", _SEEN)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
-        first = min(rows, key=lambda r: (r["ts"], r["id"]))
+        at_us, record_id = min((row["at_us"], row["id"]) for row in rows)
         if self.seen.exists():
             return
-        at_ms = int(first["ts"].replace(tzinfo=timezone.utc).timestamp() * 1000)
-        self.seen.update((at_ms,))
+        self.seen.update((at_us,))
         if self.ttl_ms is not None:
-            self.handle.registerTimer(at_ms + self.ttl_ms)
-        yield Row(key=key[0], ts=first["ts"], id=first["id"])
+            self.handle.registerTimer(at_us // 1000 + self.ttl_ms)
+        yield Row(key=key[0], at_us=at_us, id=record_id)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
         self.seen.clear()
@@ -118,7 +132,7 @@ class _FirstMatch(StatefulProcessor):
 def _earliest_per_key(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Before the shuffle, each batch of rows sends on one row per key."""
     for batch in batches:
-        yield batch.sort_values(["ts", "id"]).drop_duplicates("key", keep="first")
+        yield batch.sort_values(["at_us", "id"]).drop_duplicates("key", keep="first")
 
 
 def first_match(
@@ -130,8 +144,15 @@ def first_match(
     Of the records of one batch the earliest counts. With a ``ttl`` a key may match
     again once the watermark is that far past the record. Needs the RocksDB state store.
     """
-    wanted = stream.withWatermark(ts, watermark).filter(predicate).select(
-        F.col(key).alias("key"), F.col(ts).alias("ts"), F.col(record_id).alias("id"))
-    thinned = wanted.mapInPandas(_earliest_per_key, wanted.schema).withWatermark("ts", watermark)
-    return thinned.groupBy("key").transformWithState(
+    ntz = is_ntz(stream, ts)
+    wanted = stream.filter(predicate).select(
+        F.col(key).alias("key"), F.unix_micros(F.col(ts).cast("timestamp")).alias("at_us"),
+        F.col(record_id).alias("id"))
+    timed = (
+        wanted.mapInPandas(_earliest_per_key, wanted.schema)
+        .withColumn("_ts", F.timestamp_micros("at_us"))
+        .withWatermark("_ts", watermark)
+    )
+    found = timed.groupBy("key").transformWithState(
         _FirstMatch(None if ttl is None else seconds(ttl) * 1000), wanted.schema, "Append", "EventTime")
+    return found.select("key", _restored(F.timestamp_micros("at_us"), ntz).alias("ts"), "id")
