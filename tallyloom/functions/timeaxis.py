@@ -54,6 +54,15 @@ def from_position(position: str | Column, ntz: bool) -> Column:
     return F.timestamp_add("SECOND", column, _origin(ntz))
 
 
+def known(column: Column, ntz: bool) -> Column:
+    """The timestamp declared non-null, for rows already filtered.
+
+    Spark then adds no null checks to joins on it, and both sides of a join of a
+    table with its own totals keep the same plan, so the shuffle is used twice.
+    """
+    return F.coalesce(column, _origin(ntz))
+
+
 def calendar(ts: str | Column, unit: str, ntz: bool = True) -> Column:
     """``date_trunc`` that hands back the type it was given."""
     truncated = F.date_trunc(unit, ts)

@@ -35,7 +35,7 @@ class Target:
 def _range_vector(samples: DataFrame, labels: Sequence[str], function: str, window: str, step: str,
                   unique: bool) -> DataFrame:
     if function == "instant":
-        return ranges.instant(samples, labels, step, window)
+        return ranges.instant(samples, labels, step, window, unique=unique)
     if function == "increase":
         return ranges.increase(samples, labels, window, step, unique=unique)
     if function == "rate":

@@ -25,7 +25,8 @@ def running_total(
     ``by`` columns are non-null, ``order`` is unique inside a ``by`` group, and
     ``slice_col`` never decreases along ``order``.
     """
-    keys = [*by, slice_col]
+    # the slice leads: sorting then compares numbers before it compares labels
+    keys = [slice_col, *by]
     inside = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
     earlier = Window.partitionBy(*by).orderBy(slice_col).rowsBetween(Window.unboundedPreceding, -1)
     carried = (
@@ -49,5 +50,5 @@ def sequence_number(
     A slice spans ``slice_rows`` ids, so no task ever holds more rows than that
     of one group.
     """
-    sliced = df.withColumns({"_slice": F.floor(F.col(order) / slice_rows), "_one": F.lit(1)})
+    sliced = df.withColumns({"_slice": F.coalesce(F.floor(F.col(order) / slice_rows), F.lit(0)), "_one": F.lit(1)})
     return running_total(sliced, by, "_slice", order, "_one", number).drop("_slice", "_one")

@@ -70,7 +70,7 @@ def exact_quantile(
     same = F.col("_slice").eqNullSafe(F.col("_wanted"))
     for i, k in enumerate(keys):
         same = same & F.col(k).eqNullSafe(F.col(f"_k{i}"))
-    inside = Window.partitionBy(*keys, "_slice").orderBy("_value").rowsBetween(
+    inside = Window.partitionBy("_slice", *keys).orderBy("_value").rowsBetween(
         Window.unboundedPreceding, -1
     )
     start = F.col("_before") + F.coalesce(F.sum("_n").over(inside), F.lit(0))

@@ -74,7 +74,8 @@ def increase(
     points = _named(samples, names, ts, value).withColumn("_slice", floor_time("ts", slice_width))
     if not unique:
         points = points.groupBy(*names, "_slice", "ts").agg(F.max("value").alias("value"))
-    in_slice = Window.partitionBy(*names, "_slice").orderBy("ts")
+    # the slice leads: sorting then compares numbers before it compares labels
+    in_slice = Window.partitionBy("_slice", *names).orderBy("ts")
     slices = (
         points.withColumn("_growth", _drop_aware(F.col("value"), F.lag("value").over(in_slice)))
         .groupBy(*names, "_slice")
@@ -102,41 +103,66 @@ def increase(
             )
             .withColumnRenamed("_bucket", "_at")
         )
-    # Each bucket also emits the evaluation times for which it is the latest bucket.
-    following = F.lead("_at").over(along)
+    # Blocks as long as the window: a window is the end of one block and the start of
+    # the next, so running sums from both sides of each block replace a sum per window.
+    block = Window.partitionBy(*names, "_block")
+    up, down = block.orderBy("_at"), block.orderBy(F.col("_at").desc())
+    upto = up.rowsBetween(Window.unboundedPreceding, 0)
+    beyond = down.rowsBetween(Window.unboundedPreceding, -1)
+    step_in = F.col("_grown") + F.col("_edge")
+    # growth into the first bucket of a window came from outside the window
+    opening = F.when(F.lag("_at").over(up).isNull(), F.col("_grown")).otherwise(step_in)
+    sums = (
+        slices.withColumns({
+            "_next": F.lead("_at").over(along),
+            "_block": F.floor(F.col("_at") / reach),
+        })
+        .withColumn("_opening", opening)
+        .withColumns({
+            "_head": F.sum(step_in).over(upto),
+            "_head_alone": F.sum("_opening").over(upto),
+            "_head_points": F.sum("_points").over(upto),
+            "_tail": F.col("_grown") + F.coalesce(F.sum(step_in).over(beyond), F.lit(0.0)),
+            "_tail_points": F.col("_points") + F.coalesce(F.sum("_points").over(beyond), F.lit(0)),
+        })
+    )
+    # A bucket answers the evaluation times for which it is the latest bucket. Shifted by the
+    # window it also marks, for the times up to there, where their window begins.
+    tail = F.struct("_block", "_tail", "_tail_points")
+    head = F.struct("_block", "_head", "_head_alone", "_head_points")
     first = _floor(F.col("_at"), grid) + grid
     last = F.least(
         _floor(F.col("_at") + reach, grid),
         F.coalesce(_floor(F.col("_next"), grid), F.col("_at") + reach),
     )
-    payload = F.array(F.struct(
-        F.col("_at").alias("at"), F.lit(False).alias("evaluate"),
-        F.col("_grown").alias("grown"), F.col("_edge").alias("edge"), F.col("_points").alias("points"),
-    ))
-    nothing = F.lit(None)
+    marker = F.array(F.struct((F.col("_at") + reach).alias("at"), F.lit(False).alias("evaluate")))
     evaluations = F.transform(
-        _steps(first, last, grid),
-        lambda at: F.struct(
-            at.alias("at"), F.lit(True).alias("evaluate"),
-            nothing.cast("double").alias("grown"), nothing.cast("double").alias("edge"),
-            nothing.cast("long").alias("points"),
-        ),
-    )
+        _steps(first, last, grid), lambda at: F.struct(at.alias("at"), F.lit(True).alias("evaluate")))
     rows = (
-        slices.withColumn("_next", following)
-        .select(*names, F.explode(F.concat(payload, evaluations)).alias("_row"))
-        .select(*names, "_row.*")
+        sums.select(*names, head.alias("_to"), tail.alias("_from"),
+                    F.explode(F.concat(marker, evaluations)).alias("_row"))
+        .select(*names, "_row.*", F.when(F.col("_row.evaluate"), F.col("_to")).alias("_to"),
+                F.when(~F.col("_row.evaluate"), F.col("_from")).alias("_from"))
+    )
+    backwards = (
+        Window.partitionBy(*names).orderBy(F.col("at").desc(), "evaluate")
+        .rowsBetween(Window.unboundedPreceding, 0)
     )
-    in_window = Window.partitionBy(*names).orderBy("at").rangeBetween(-reach, -1)
+    opened = F.floor((F.col("at") - reach) / reach)
+    has_tail = F.col("_from._block") == opened
+    has_head = F.col("_to._block") > opened
+
+    def joined(tail_part: str, head_part: str, head_only: str) -> Column:
+        both = F.col(f"_from.{tail_part}") + F.col(f"_to.{head_part}")
+        return F.when(~has_tail, F.col(f"_to.{head_only}")).when(has_head, both).otherwise(
+            F.col(f"_from.{tail_part}"))
+
     return (
-        rows.withColumns({
-            # growth into the first bucket of the window came from outside it
-            "_value": F.sum("grown").over(in_window) + F.sum("edge").over(in_window)
-            - F.first("edge", ignorenulls=True).over(in_window),
-            "_points": F.sum("points").over(in_window),
-        })
-        .filter(F.col("evaluate") & (F.col("_points") >= 2))
-        .select(*names, from_position("at", ntz).alias("step"), F.col("_value").alias("value"))
+        rows.withColumn("_from", F.last("_from", ignorenulls=True).over(backwards))
+        .filter("evaluate")
+        .filter(joined("_tail_points", "_head_points", "_head_points") >= 2)
+        .select(*names, from_position("at", ntz).alias("step"),
+                joined("_tail", "_head", "_head_alone").alias("value"))
     )
 
 
@@ -161,10 +187,12 @@ def instant(
     lookback: str = "5m",
     ts: str = "ts",
     value: str = "value",
+    unique: bool = False,
 ) -> DataFrame:
     """Last sample of each series before each evaluation time, if within the lookback.
 
-    Of several samples at one instant the largest counts. The bucket aggregate
+    Of several samples at one instant the largest counts; pass ``unique=True`` if there
+    are none, which lets Spark aggregate by hash instead of sorting. The bucket aggregate
     runs before the shuffle; afterwards each bucket is spread over exactly the
     evaluation times it answers.
     """
@@ -172,12 +200,13 @@ def instant(
     width = math.gcd(reach, grid)
     ntz = is_ntz(samples, ts)
     names = list(labels)
+    latest = F.max_by("value", "ts") if unique else F.max(F.struct("ts", "value"))["value"]
     buckets = (
         _named(samples, names, ts, value)
         .withColumn("_bucket", floor_time("ts", width))
         .groupBy(*names, "_bucket")
-        .agg(F.max(F.struct("ts", "value")).alias("_latest"))
-        .select(*names, to_position("_bucket", ntz).alias("_at"), F.col("_latest.value").alias("value"))
+        .agg(latest.alias("value"))
+        .select(*names, to_position("_bucket", ntz).alias("_at"), "value")
     )
     following = F.lead("_at").over(Window.partitionBy(*names).orderBy("_at"))
     first = _floor(F.col("_at"), grid) + grid

@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.labels import label
-from ..functions.timeaxis import calendar, floor_time, is_ntz
+from ..functions.timeaxis import calendar, floor_time, is_ntz, known
 from .prefix import running_total
 
 
@@ -38,9 +38,9 @@ def to_counter(
     instants = facts.groupBy(*names, "ts").agg(F.sum("_amount").alias("_amount"))
     by = list(names)
     if reset:
-        instants = instants.withColumn("_period", calendar("ts", reset, ntz))
+        instants = instants.withColumn("_period", known(calendar("ts", reset, ntz), ntz))
         by.append("_period")
-    sliced = instants.withColumn("_slice", floor_time("ts", slice_width))
+    sliced = instants.withColumn("_slice", known(floor_time("ts", slice_width), ntz))
     total = running_total(sliced, by, "_slice", "ts", "_amount", "value")
     return total.select(*names, "ts", F.col("value").cast("double").alias("value"))
 
@@ -77,9 +77,9 @@ def to_bucket_counters(
     by = [*names, "le"]
     long = counted.withColumn("_b", rows).select(*names, "_b.le", "ts", F.col("_b.n").alias("_n"))
     if reset:
-        long = long.withColumn("_period", calendar("ts", reset, ntz))
+        long = long.withColumn("_period", known(calendar("ts", reset, ntz), ntz))
         by.append("_period")
-    long = long.withColumn("_slice", calendar("ts", "hour", ntz))
+    long = long.withColumn("_slice", known(calendar("ts", "hour", ntz), ntz))
     total = running_total(long, by, "_slice", "ts", "_n", "value")
     return total.select(*names, "le", "ts", F.col("value").cast("double").alias("value"))
 

@@ -100,7 +100,7 @@ def order_check(log: DataFrame) -> DataFrame:
     are then compared by their first and last timestamps.
     """
     sliced = log.withColumn("_slice", F.floor(F.col("offset") / _SLICE_OFFSETS))
-    inside = Window.partitionBy("partition", "key", "_slice").orderBy("offset")
+    inside = Window.partitionBy("_slice", "partition", "key").orderBy("offset")
     slices = (
         sliced.select("partition", "key", "_slice", "offset", "timestamp")
         .withColumn("_late", F.col("timestamp") < F.lag("timestamp").over(inside))
