@@ -80,5 +80,6 @@ def exact_quantile(
     return (
         picked.groupBy(*keys)
         .agg(F.max(count).alias(count), low.alias("_lo"), high.alias("_hi"), F.max("_part").alias("_part"))
-        .select(*keys, count, (F.col("_lo") + (F.col("_hi") - F.col("_lo")) * F.col("_part")).alias(out))
+        .select(*keys, count, F.when(F.col("_lo") == F.col("_hi"), F.col("_lo")).otherwise(
+            F.col("_lo") + (F.col("_hi") - F.col("_lo")) * F.col("_part")).alias(out))
     )

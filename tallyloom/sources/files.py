@@ -23,6 +23,13 @@ def subfolders(spark: SparkSession, path: str) -> list[str]:
     return sorted(s.getPath().getName() for s in system.listStatus(folder) if s.isDirectory())
 
 
+def file_names(spark: SparkSession, path: str) -> set[str]:
+    system, folder = _folder(spark, path)
+    if not system.exists(folder):
+        return set()
+    return {s.getPath().getName() for s in system.listStatus(folder) if s.isFile()}
+
+
 def remove(spark: SparkSession, path: str) -> bool:
     system, folder = _folder(spark, path)
     return system.delete(folder, True)

@@ -6,6 +6,7 @@ import uuid
 from collections.abc import Mapping, Sequence
 from datetime import date, timedelta
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions as F
 
 from ..functions.timeaxis import calendar, is_ntz
@@ -58,11 +59,20 @@ def overwrite_partition(
 ) -> None:
     """Write one run's partition again. A run without rows leaves the partition empty."""
     spark = df.sparkSession
-    seen = Observation()
+    folder = f"{path}/{partition}={run_date}"
+    before = files.file_names(spark, folder)
     rows = df.drop(partition).withColumn(partition, F.lit(run_date).cast("date"))
-    overwrite_partitions(rows.observe(seen, F.count(F.lit(1)).alias("rows")), path, partition)
-    if seen.get["rows"] == 0:
-        files.remove(spark, f"{path}/{partition}={run_date}")
+    overwrite_partitions(rows, path, partition)
+    if before and files.file_names(spark, folder) == before:
+        files.remove(spark, folder)
+
+
+def _observed(seen: Observation, names: Sequence[str]) -> dict:
+    """What a write observed. An input that Spark finds empty while planning reports nothing."""
+    try:
+        return seen.get
+    except Py4JJavaError:
+        return {name: 0 if name == "rows" else None for name in names}
 
 
 class ChecksFailed(ValueError):
@@ -128,7 +138,7 @@ def backfill(src: DataFrame, path: str, columns: Mapping[str, Column] | Sequence
     writer = src.observe(seen, F.count(F.lit(1)).alias("rows")).select(*shape).write.mode("overwrite")
     (writer.partitionBy(partition) if partition else writer).parquet(path)
     return spark.read.parquet(path).agg(
-        F.lit(seen.get["rows"]).cast("long").alias("source_rows"),
+        F.lit(_observed(seen, ["rows"])["rows"]).cast("long").alias("source_rows"),
         F.count(F.lit(1)).alias("target_rows"),
     ).withColumn("equal", F.col("source_rows") == F.col("target_rows"))
 
@@ -235,7 +245,7 @@ def materialize(
     observed = df.observe(
         seen, F.count(F.lit(1)).alias("rows"), F.min(ts).alias("first"), F.max(ts).alias("last"))
     overwrite_partitions(observed, path, partition)
-    facts = seen.get
+    facts = _observed(seen, ["rows", "first", "last"])
     row = spark.range(1).select(
         F.lit(asset).alias("asset"), F.lit(owner).alias("owner"),
         F.lit(partition).alias("partitioned_by"), F.lit(facts["rows"]).cast("long").alias("rows"),
