@@ -5,8 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import LinearRegression
+import numpy as np
 from pyspark.sql import Column, DataFrame, functions as F
 
 
@@ -22,31 +21,39 @@ def ridge(
 ) -> DataFrame:
     """One row: row counts of both parts, intercept, coefficients, test mean squared error.
 
-    The fit is one distributed pass; only the coefficients reach the driver.
+    Minimises the squared error plus ``alpha`` times the squared coefficients; the
+    intercept is not penalised. One pass gathers the means and covariances of the
+    training part; only these few numbers reach the driver.
     """
     rows = df.select(*[F.col(f).cast("double").alias(f) for f in features],
                      F.col(label).cast("double").alias("_y"), test.alias("_test"))
-    train = rows.filter(~F.col("_test"))
-    shape = train.agg(F.count(F.lit(1)).alias("n"), F.stddev_pop("_y").alias("spread")).first()
-    # Spark minimises the mean error of the label divided by its deviation
-    penalty = alpha * shape["spread"] / shape["n"]
-    assembled = VectorAssembler(inputCols=list(features), outputCol="_x").transform(train)
-    model = LinearRegression(
-        featuresCol="_x", labelCol="_y", regParam=penalty, elasticNetParam=0.0,
-        standardization=False, solver="normal",
-    ).fit(assembled)
-    weights = [float(w) for w in model.coefficients]
+    columns = [*features, "_y"]
+    pairs = [(i, j) for i in range(len(features)) for j in range(i, len(columns))]
+    moments = rows.filter(~F.col("_test")).agg(
+        F.count(F.lit(1)).alias("n"),
+        *[F.avg(c).alias(f"m{i}") for i, c in enumerate(columns)],
+        *[F.covar_pop(columns[i], columns[j]).alias(f"c{i}_{j}") for i, j in pairs],
+    ).first()
+    if not moments["n"]:
+        raise ValueError("no rows to train on")
+    size = len(features)
+    spread = np.empty((size, size))
+    for i, j in pairs:
+        if j < size:
+            spread[i, j] = spread[j, i] = moments[f"c{i}_{j}"]
+    against_label = np.array([moments[f"c{i}_{size}"] for i in range(size)])
+    solved = np.linalg.solve(moments["n"] * spread + alpha * np.eye(size), moments["n"] * against_label)
+    weights = [float(w) for w in solved]
+    intercept = moments[f"m{size}"] - sum(w * moments[f"m{i}"] for i, w in enumerate(weights))
     predicted = reduce(
-        Column.__add__, [F.col(f) * F.lit(w) for f, w in zip(features, weights)],
-        F.lit(float(model.intercept)),
-    )
+        Column.__add__, [F.col(f) * F.lit(w) for f, w in zip(features, weights)], F.lit(float(intercept)))
     error = F.col("_y") - predicted
     return rows.agg(
         F.count_if(~F.col("_test")).alias("train_rows"),
         F.count_if("_test").alias("test_rows"),
         F.avg(F.when(F.col("_test"), error * error)).alias("mse"),
     ).select(
-        "train_rows", "test_rows", F.lit(float(model.intercept)).alias("intercept"),
+        "train_rows", "test_rows", F.lit(float(intercept)).alias("intercept"),
         *[F.lit(w).alias(f"coef_{f}") for f, w in zip(features, weights)], "mse",
     )
 

@@ -18,6 +18,8 @@ CLUSTER_CONF = {
     "spark.sql.files.maxPartitionBytes": "256m",
     "spark.sql.parquet.filterPushdown": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # a panel compiles more pieces than the default hundred, and would do so each time
+    "spark.sql.codegen.cache.maxEntries": "2000",
 }
 
 
