@@ -41,11 +41,11 @@ def _block_knn(table: DataFrame, block: DataFrame, k: int, row_id: str, query_id
     norms = np.linalg.norm(matrix, axis=1)
     matrix = matrix[norms > 0] / norms[norms > 0][:, None]
     names = [name for name, norm in zip(names, norms) if norm > 0]
-    shared = table.sparkSession.sparkContext.broadcast(matrix)
+    shared = table.sparkSession.sparkContext.broadcast((matrix, [str(name) for name in names]))
     dimensions = matrix.shape[1]
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        queries = shared.value
+        queries, query_names = shared.value
         found = [(np.empty(0), np.empty(0, dtype="int64"))] * len(queries)
         for batch in batches:
             ids = batch.column(0).to_numpy(zero_copy_only=False)
@@ -57,10 +57,10 @@ def _block_knn(table: DataFrame, block: DataFrame, k: int, row_id: str, query_id
             for i, similarity in enumerate(queries @ vectors.T):
                 held, held_ids = found[i]
                 found[i] = _best(np.concatenate([held, similarity]), np.concatenate([held_ids, ids]), k)
-        position = np.concatenate([np.full(len(f[1]), i) for i, f in enumerate(found)])
+        named = [name for name, f in zip(query_names, found) for _ in range(len(f[1]))]
         yield pa.RecordBatch.from_arrays(
             [
-                pa.array(position.astype("int32")),
+                pa.array(named, pa.string()),
                 pa.array(np.concatenate([f[1] for f in found]).astype("int64")),
                 pa.array(np.concatenate([f[0] for f in found])),
             ],
@@ -70,13 +70,12 @@ def _block_knn(table: DataFrame, block: DataFrame, k: int, row_id: str, query_id
     usable = table.filter(
         (F.size(vector) == dimensions) & ~F.exists(vector, lambda x: x.isNull())
     ).select(F.col(row_id).cast("long").alias(row_id), vector)
-    local = usable.mapInArrow(search, f"_query int, {row_id} long, similarity double")
+    local = usable.mapInArrow(search, f"_query string, {row_id} long, similarity double")
     order = Window.partitionBy("_query").orderBy(F.col("similarity").desc(), row_id)
-    named = F.element_at(F.array(*[F.lit(n) for n in names]), F.col("_query") + 1)
     return (
         local.withColumn("rank", F.row_number().over(order))
         .filter(F.col("rank") <= k)
-        .select(named.cast(query_type).alias(query_id), F.col(row_id).cast(id_type).alias(row_id),
+        .select(F.col("_query").cast(query_type).alias(query_id), F.col(row_id).cast(id_type).alias(row_id),
                 "rank", "similarity")
     )
 

@@ -32,10 +32,12 @@ def _event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return logs.stream_files(spark, path, spark.read.parquet(path).schema)
 
 
-def _run(spark: SparkSession, stream: DataFrame, mode: str = "append") -> str:
+def _run(spark: SparkSession, stream: DataFrame, mode: str = "append", source: str | None = None) -> str:
     """Run to the end into an idempotent sink; returns the sink's path."""
     path = scratch_path(spark, "sink")
-    sinks.run_available(stream, scratch_path(spark, "checkpoint"), sinks.idempotent_sink(path), mode)
+    sinks.run_available(
+        stream, scratch_path(spark, "checkpoint"), sinks.idempotent_sink(path), mode,
+        partitions=sinks.state_partitions(spark, source) if source else None)
     return path
 
 
@@ -90,7 +92,7 @@ _WINDOWS_SQL = """SELECT user_id, time_bucket(INTERVAL 5 MINUTE, ts) AS window_s
 @query(_WINDOWS_SQL)
 def stream_windowed_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     counts = stateful.windowed_counts(_event_stream(spark, sf_dir), "5 minutes", ["user_id"])
-    path = _run(spark, counts, "update")
+    path = _run(spark, counts, "update", f"{sf_dir}/events.parquet")
     return sinks.sink_table(spark, path, ["user_id", "window_start", "window_end"])
 
 
@@ -104,11 +106,13 @@ def _in_order(spark: SparkSession, sf_dir: str, parts: list, job, mode: str, che
     """Add one part of the events at a time and run the job after each, on one checkpoint."""
     events = table(spark, sf_dir, "events")
     source = scratch_path(spark, "source")
+    size = sinks.state_partitions(spark, f"{sf_dir}/events.parquet")
     finished = []
     for part in parts:
         events.filter(part(events)).write.mode("append").parquet(source)
         stream = logs.stream_files(spark, source, events.schema)
-        finished.append(sinks.run_available(job(stream), checkpoint, sinks.idempotent_sink(sink), mode))
+        finished.append(sinks.run_available(
+            job(stream), checkpoint, sinks.idempotent_sink(sink), mode, size))
     return finished
 
 
@@ -150,7 +154,8 @@ def stream_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     stream = _event_stream(spark, sf_dir)
     copies = _event_stream(spark, sf_dir).filter("event_id % 10 = 0")
     once = stateful.dedup(stream.unionByName(copies), "event_id", _WHOLE_RANGE)
-    return sinks.appended(spark, _run(spark, once.select("event_id", "event_type", "value")))
+    return sinks.appended(spark, _run(
+        spark, once.select("event_id", "event_type", "value"), source=f"{sf_dir}/events.parquet"))
 
 
 @query("""SELECT event_id, user_id, c_mktsegment FROM events LEFT JOIN customer ON user_id = c_custkey""")
@@ -170,7 +175,8 @@ def stream_enrich_moving(spark: SparkSession, sf_dir: str) -> DataFrame:
     clicks = stream.filter("event_type = 'click'").select(
         F.col("event_id").alias("click_id"), "user_id", F.col("ts").alias("click_ts"))
     paired = stateful.enrich_moving(bought, clicks, "user_id", "ts", "click_ts", "10m")
-    return sinks.appended(spark, _run(spark, paired.select("event_id", "click_id")))
+    return sinks.appended(spark, _run(
+        spark, paired.select("event_id", "click_id"), source=f"{sf_dir}/events.parquet"))
 
 
 @query("""SELECT user_id AS key, min(ts) AS ts, arg_min(event_id, ts) AS id FROM events
@@ -179,7 +185,7 @@ def stream_first_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     with _rocksdb(spark):
         first = stateful.first_match(
             _event_stream(spark, sf_dir), "user_id", F.col("event_type") == "purchase", "event_id")
-        path = _run(spark, first)
+        path = _run(spark, first, source=f"{sf_dir}/events.parquet")
     return sinks.appended(spark, path)
 
 

@@ -38,3 +38,8 @@ def remove(spark: SparkSession, path: str) -> bool:
 def is_file(spark: SparkSession, path: str) -> bool:
     system, entry = _folder(spark, path)
     return system.exists(entry) and system.getFileStatus(entry).isFile()
+
+
+def total_bytes(spark: SparkSession, path: str) -> int:
+    system, entry = _folder(spark, path)
+    return system.getContentSummary(entry).getLength()

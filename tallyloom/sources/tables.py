@@ -185,20 +185,39 @@ def backfill_days(
             files.remove(spark, f"{path}/{name}")
 
 
+def _on_days(df: DataFrame, days: Sequence[date], ts: str) -> Column:
+    """Rows of these days as time ranges, which the scan can use to skip row groups."""
+    kind = df.schema[ts].dataType
+    ranges: list[list[date]] = []
+    for day in sorted(days):
+        if ranges and ranges[-1][1] == day:
+            ranges[-1][1] = day + timedelta(days=1)
+        else:
+            ranges.append([day, day + timedelta(days=1)])
+    inside = F.lit(False)
+    for start, end in ranges:
+        inside = inside | (
+            (F.col(ts) >= F.lit(str(start)).cast(kind)) & (F.col(ts) < F.lit(str(end)).cast(kind)))
+    return inside
+
+
 def refresh_rollup(
     raw: DataFrame, changed: DataFrame, path: str, by: Sequence[str], measure: str,
-    grain: str = "hour", ts: str = "ts",
+    grain: str = "hour", ts: str = "ts", day_partition: str | None = None,
 ) -> None:
     """Bring a rollup table up to date: only days with changed rows are computed again.
 
     Rows per (bucket, group): count, sum and mean of the measure; partitioned by day.
-    The changed days are a handful of values, so raw rows are kept by a semi join
-    that Spark can turn into partition pruning.
+    The changed days, a list no longer than the calendar, become time ranges on the
+    raw table, and a filter on its day partition column if it has one.
     """
-    days = changed.select(F.to_date(ts).alias("day")).distinct()
-    touched = raw.withColumn("day", F.to_date(ts)).join(days, "day", "left_semi")
-    fresh = touched.groupBy("day", calendar(ts, grain, is_ntz(raw, ts)).alias("bucket"), *by).agg(
-        F.count(F.lit(1)).alias("rows"), F.sum(measure).alias("total"), F.avg(measure).alias("mean"))
+    days = [r[0] for r in changed.select(F.to_date(ts)).distinct().collect() if r[0] is not None]
+    touched = raw.filter(_on_days(raw, days, ts))
+    if day_partition:
+        touched = touched.filter(F.col(day_partition).isin(days))
+    fresh = touched.groupBy(
+        F.to_date(ts).alias("day"), calendar(ts, grain, is_ntz(raw, ts)).alias("bucket"), *by
+    ).agg(F.count(F.lit(1)).alias("rows"), F.sum(measure).alias("total"), F.avg(measure).alias("mean"))
     overwrite_partitions(fresh, path, "day")
 
 

@@ -13,18 +13,39 @@ from ..sources import files
 _CORRUPT = "_corrupt_record"
 
 
+_SHUFFLE = "spark.sql.shuffle.partitions"
+_STATE_BYTES = 64 * 1024 * 1024
+
+
+def state_partitions(spark: SparkSession, path: str) -> int:
+    """State partitions for an input of this size, never more than the session allows.
+
+    Every partition of a stateful job writes its own state files for every batch, and
+    the number is fixed by the first run of a checkpoint.
+    """
+    allowed = int(spark.conf.get(_SHUFFLE))
+    wanted = files.total_bytes(spark, path) // _STATE_BYTES + 1
+    return min(allowed, max(wanted, spark.sparkContext.defaultParallelism))
+
+
 def run_available(
     stream: DataFrame, checkpoint: str, each_batch: Callable[[DataFrame, int], None],
-    mode: str = "append",
+    mode: str = "append", partitions: int | None = None,
 ) -> StreamingQuery:
     """Process everything there is, then stop. The same checkpoint continues next time."""
-    query = (
-        stream.writeStream.outputMode(mode)
-        .option("checkpointLocation", checkpoint)
-        .foreachBatch(each_batch)
-        .trigger(availableNow=True)
-        .start()
-    )
+    spark = stream.sparkSession
+    before = spark.conf.get(_SHUFFLE)
+    spark.conf.set(_SHUFFLE, str(partitions or before))
+    try:
+        query = (
+            stream.writeStream.outputMode(mode)
+            .option("checkpointLocation", checkpoint)
+            .foreachBatch(each_batch)
+            .trigger(availableNow=True)
+            .start()
+        )
+    finally:
+        spark.conf.set(_SHUFFLE, before)
     query.awaitTermination()
     return query
 

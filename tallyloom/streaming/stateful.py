@@ -86,13 +86,27 @@ def enrich_moving(
     stream: DataFrame, other: DataFrame, key: str, ts: str, other_ts: str, within: str,
     watermark: str = "1 hour",
 ) -> DataFrame:
-    """Both sides are streams: join records whose times are at most ``within`` apart."""
-    left = _timed(stream, ts, watermark).alias("l")
-    right = _timed(other, other_ts, watermark).alias("r")
-    reach = F.expr(f"interval {seconds(within)} seconds")
+    """Both sides are streams: join records whose times are at most ``within`` apart.
+
+    Records meet by key and stretch of time, so the state and the work of a hot key
+    are spread over time: a left record lies in one stretch, a right record is kept
+    in its own and the two next to it.
+    """
+    width = seconds(within)
+    reach = F.expr(f"interval {width} seconds")
+
+    def stretch(column: str) -> Column:
+        return F.floor(F.unix_seconds(F.col(column).cast("timestamp")) / width)
+
+    near_left = stream.withColumn("_stretch", stretch(ts))
+    near_right = other.withColumn(
+        "_stretch", F.explode(F.sequence(stretch(other_ts) - 1, stretch(other_ts) + 1)))
+    left = _timed(near_left, ts, watermark).alias("l")
+    right = _timed(near_right, other_ts, watermark).alias("r")
+    same = (F.col(f"l.{key}") == F.col(f"r.{key}")) & (F.col("l._stretch") == F.col("r._stretch"))
     near = F.col(f"r.{other_ts}").between(F.col(f"l.{ts}") - reach, F.col(f"l.{ts}") + reach)
     added = [F.col(f"r.{c}") for c in other.columns if c not in stream.columns]
-    joined = left.join(right, (F.col(f"l.{key}") == F.col(f"r.{key}")) & near).select("l.*", *added)
+    joined = left.join(right, same & near).select("l.*", *added).drop("_stretch")
     restored = {ts: _restored(ts, is_ntz(stream, ts))}
     if other_ts in joined.columns:
         restored[other_ts] = _restored(other_ts, is_ntz(other, other_ts))

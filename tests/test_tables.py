@@ -69,6 +69,23 @@ def test_backfilled_day_without_rows_goes_away(spark, folder):
     assert (closed["rows"], closed["avg_value"]) == (1, 3.0)
 
 
+def test_rollup_reads_only_the_touched_days(spark, folder):
+    raw_path, path = folder("raw"), folder("rollup")
+    rows = spark.createDataFrame(
+        [(f"2024-01-0{d} 0{h}:30:00", float(d * h)) for d in range(1, 8) for h in (1, 2)], "t string, v double"
+    ).select(F.col("t").cast("timestamp_ntz").alias("ts"), "v", F.lit("k").alias("k"))
+    tables.write_events(rows, raw_path, "day")
+    raw = spark.read.parquet(raw_path)
+    tables.refresh_rollup(raw, raw, path, ["k"], "v", day_partition="event_date")
+    before = {n: files.file_names(spark, f"{path}/{n}") for n in files.subfolders(spark, path)}
+    changed = raw.filter("v >= 10")
+    tables.refresh_rollup(raw, changed, path, ["k"], "v", day_partition="event_date")
+    touched = {f"day={r[0]}" for r in changed.select("event_date").distinct().collect()}
+    after = {n: files.file_names(spark, f"{path}/{n}") for n in files.subfolders(spark, path)}
+    assert {n for n in before if before[n] != after[n]} == touched == {f"day=2024-01-0{d}" for d in (5, 6, 7)}
+    assert spark.read.parquet(path).count() == 14
+
+
 def test_retention_drops_whole_days_only(spark, folder):
     path = folder("kept")
     rows = spark.createDataFrame([(i, f"2024-01-{i:02d} 10:00:00") for i in range(1, 6)], "id int, t string")
