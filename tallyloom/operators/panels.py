@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
@@ -11,7 +11,6 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..functions.display import legend
 from ..functions.labels import Matcher, all_match
 from . import ranges
-from .vectors import _AGGREGATES
 
 
 @dataclass(frozen=True)
@@ -29,7 +28,6 @@ class Target:
     how: str | None = "sum"
     by: Sequence[str] = ()
     scale: float = 1.0
-    labels: Sequence[str] = field(default=())
 
 
 def _range_vector(samples: DataFrame, labels: Sequence[str], function: str, window: str, step: str,
@@ -53,45 +51,52 @@ def panel(
     """All targets of a panel as ``legend``, ``step``, ``value``.
 
     Targets sharing a range function and window are answered by one pass over the
-    samples: the range function runs once on the series any of them needs, and
-    targets grouping by the same labels become conditional aggregates of one
-    aggregation. Only what is left is united.
+    samples: the range function runs once on the series any of them needs, each target
+    becomes a conditional aggregate by all labels any of them groups by, and the short
+    result is folded to each target's own labels. Only the passes are united.
     """
     passes: dict[tuple[str, str], list[Target]] = {}
     for target in targets:
         passes.setdefault((target.function, target.window), []).append(target)
-    parts = []
-    for (function, window), sharing in passes.items():
-        wanted = reduce(Column.__or__, [all_match(t.matchers) for t in sharing])
-        vector = _range_vector(samples.filter(wanted), labels, function, window, step, unique)
-        groupings: dict[tuple[str, ...], list[Target]] = {}
-        for target in sharing:
-            by = tuple(labels) if target.how is None else tuple(target.by)
-            groupings.setdefault(by, []).append(target)
-        for by, together in groupings.items():
-            aggregates = [
-                _AGGREGATES[t.how or "sum"](F.when(all_match(t.matchers), F.col("value")))
-                .cast("double").alias(f"_t{i}")
-                for i, t in enumerate(together)
-            ]
-            seen = [
-                F.count_if(all_match(t.matchers)).alias(f"_n{i}") for i, t in enumerate(together)
-            ]
-            lines = F.array(*[
-                F.struct(
-                    legend(t.legend).alias("legend"),
-                    (F.col(f"_t{i}") * F.lit(float(t.scale))).alias("value"),
-                    (F.col(f"_n{i}") > 0).alias("present"),
-                )
-                for i, t in enumerate(together)
-            ])
-            parts.append(
-                vector.groupBy(*by, "step").agg(*aggregates, *seen)
-                .select("step", F.explode(lines).alias("_line"))
-                .filter("_line.present")
-                .select("_line.legend", "step", "_line.value")
-            )
-    return reduce(DataFrame.unionByName, parts)
+    return reduce(DataFrame.unionByName, [
+        _fold(_range_vector(
+            samples.filter(reduce(Column.__or__, [all_match(t.matchers) for t in sharing])),
+            labels, function, window, step, unique), labels, sharing)
+        for (function, window), sharing in passes.items()
+    ])
+
+
+def _fold(vector: DataFrame, labels: Sequence[str], targets: Sequence[Target]) -> DataFrame:
+    groups = [list(labels) if t.how is None else list(t.by) for t in targets]
+    finest = [name for name in labels if any(name in by for by in groups)]
+    value = F.col("value")
+    parts, lines = [], []
+    for i, (target, by) in enumerate(zip(targets, groups)):
+        mine = all_match(target.matchers)
+        folded = {"max": F.max, "min": F.min}.get(target.how, F.sum)
+        parts += [folded(F.when(mine, value)).alias(f"_v{i}"), F.count_if(mine).alias(f"_n{i}")]
+        lines.append(F.struct(
+            F.lit(i).alias("target"),
+            F.array(*[F.col(name) for name in by]).cast("array<string>").alias("key"),
+            legend(target.legend).alias("legend"),
+            F.col(f"_v{i}").alias("v"), F.col(f"_n{i}").alias("n"),
+        ))
+    final = F.lit(None).cast("double")
+    for i, target in enumerate(targets):
+        whole = {
+            "max": F.col("_max"), "min": F.col("_min"), "count": F.col("_n").cast("double"),
+            "avg": F.col("_sum") / F.col("_n"),
+        }.get(target.how, F.col("_sum"))
+        final = F.when(F.col("target") == i, whole * F.lit(float(target.scale))).otherwise(final)
+    return (
+        vector.groupBy(*finest, "step").agg(*parts)
+        .select("step", F.explode(F.array(*lines)).alias("_line"))
+        .select("step", "_line.*")
+        .filter("n > 0")
+        .groupBy("target", "key", "legend", "step")
+        .agg(F.sum("v").alias("_sum"), F.max("v").alias("_max"), F.min("v").alias("_min"), F.sum("n").alias("_n"))
+        .select("legend", "step", final.alias("value"))
+    )
 
 
 def reduce_series(

@@ -101,6 +101,30 @@ def test_panel_is_the_union_of_its_targets(spark):
     assert key(shown) == key(expected)
 
 
+def test_panel_aggregates_and_labels_of_their_own(spark):
+    rows = [(a, b, T0, v) for a, b, v in (("x", "p", 1.0), ("x", "q", 5.0), ("y", "p", 9.0))]
+    samples = spark.createDataFrame(rows, "a string, b string, ts timestamp_ntz, value double")
+    hows = {how: panels.Target(how + " {{a}}", [("b", "=~", "p|q")], how=how, by=["a"])
+            for how in ("sum", "avg", "max", "min", "count")}
+    shown = panels.panel(samples, ["a", "b"], [*hows.values(), panels.Target("by b", by=["b"])], "5m")
+    found = {}
+    for r in shown.collect():
+        found.setdefault(r["legend"], []).append(r["value"])
+    assert found == {
+        "sum x": [6.0], "sum y": [9.0], "avg x": [3.0], "avg y": [9.0], "max x": [5.0], "max y": [9.0],
+        "min x": [1.0], "min y": [9.0], "count x": [2.0], "count y": [1.0], "by b": found["by b"]}
+    assert sorted(found["by b"]) == [5.0, 10.0]
+
+
+def test_panel_of_one_pass_scans_once(spark, folder):
+    path = folder("samples")
+    rows = [("x", "p", T0, 1.0)]
+    spark.createDataFrame(rows, "a string, b string, ts timestamp_ntz, value double").write.parquet(path)
+    shown = panels.panel(spark.read.parquet(path), ["a", "b"], [
+        panels.Target("{{a}}", by=["a"]), panels.Target("{{b}}", by=["b"]), panels.Target("all", how="max")], "5m")
+    assert shown._jdf.queryExecution().executedPlan().toString().count("FileScan") == 1
+
+
 def test_reducers_skip_nulls_for_last(spark):
     rows = [("l", T0, 1.0), ("l", T0 + timedelta(minutes=1), 4.0), ("l", T0 + timedelta(minutes=2), None)]
     df = spark.createDataFrame(rows, "legend string, step timestamp_ntz, value double")
