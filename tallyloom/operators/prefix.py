@@ -19,19 +19,25 @@ def running_total(
     order: str,
     amount: str,
     total: str,
+    period: str | None = None,
 ) -> DataFrame:
     """Add ``total``: the sum of ``amount`` up to and including this row, per ``by``.
 
     ``by`` columns are non-null, ``order`` is unique inside a ``by`` group, and
-    ``slice_col`` never decreases along ``order``.
+    ``slice_col`` never decreases along ``order``. With a ``period``, of which every
+    slice lies in one, the sum starts again in each.
     """
     # the slice leads: sorting then compares numbers before it compares labels
     keys = [slice_col, *by]
     inside = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    earlier = Window.partitionBy(*by).orderBy(slice_col).rowsBetween(Window.unboundedPreceding, -1)
+    restart = [] if period is None else [period]
+    earlier = (
+        Window.partitionBy(*by, *restart).orderBy(slice_col)
+        .rowsBetween(Window.unboundedPreceding, -1)
+    )
     carried = (
         df.groupBy(*keys)
-        .agg(F.sum(amount).alias("_slice_total"))
+        .agg(F.sum(amount).alias("_slice_total"), *[F.min(c).alias(c) for c in restart])
         .select(*keys, F.coalesce(F.sum("_slice_total").over(earlier), F.lit(0)).alias("_carried"))
     )
     return (

@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.labels import label
-from ..functions.timeaxis import calendar, floor_time, is_ntz, known
+from ..functions.timeaxis import calendar, floor_time, is_ntz, known, seconds
 from .prefix import running_total
 
 
@@ -26,6 +26,10 @@ def to_counter(
     start). ``amount`` is what one event adds, 1 if not given. Events are summed
     per instant before any shuffle, so a burst of copies costs one row.
     """
+    if reset not in (None, "hour", "day", "week", "month", "quarter", "year"):
+        raise ValueError(f"cannot restart each {reset}")
+    if 3600 % seconds(slice_width):
+        raise ValueError(f"slices of {slice_width} do not fit into an hour")
     names = list(labels)
     ntz = is_ntz(events, ts)
     facts = events.select(
@@ -36,12 +40,11 @@ def to_counter(
     if scrape:
         facts = facts.withColumn("ts", floor_time("ts", scrape))
     instants = facts.groupBy(*names, "ts").agg(F.sum("_amount").alias("_amount"))
-    by = list(names)
     if reset:
         instants = instants.withColumn("_period", known(calendar("ts", reset, ntz), ntz))
-        by.append("_period")
     sliced = instants.withColumn("_slice", known(floor_time("ts", slice_width), ntz))
-    total = running_total(sliced, by, "_slice", "ts", "_amount", "value")
+    total = running_total(
+        sliced, names, "_slice", "ts", "_amount", "value", "_period" if reset else None)
     return total.select(*names, "ts", F.col("value").cast("double").alias("value"))
 
 
@@ -78,9 +81,8 @@ def to_bucket_counters(
     long = counted.withColumn("_b", rows).select(*names, "_b.le", "ts", F.col("_b.n").alias("_n"))
     if reset:
         long = long.withColumn("_period", known(calendar("ts", reset, ntz), ntz))
-        by.append("_period")
     long = long.withColumn("_slice", known(calendar("ts", "hour", ntz), ntz))
-    total = running_total(long, by, "_slice", "ts", "_n", "value")
+    total = running_total(long, by, "_slice", "ts", "_n", "value", "_period" if reset else None)
     return total.select(*names, "le", "ts", F.col("value").cast("double").alias("value"))
 
 
