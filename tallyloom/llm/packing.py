@@ -11,6 +11,8 @@ They find their place by rank within their length.
 
 from __future__ import annotations
 
+import os
+import re
 import zlib
 from array import array
 from collections.abc import Callable, Iterator
@@ -18,52 +20,105 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window, functions as F, types as T
 
-from .common import durable, utf8
+from .common import durable, packed
 
-#: Words of at most so many bytes are remembered per worker, up to ``_WORDS`` of them.
-_WORD_BYTES, _WORDS = 48, 400_000
-_words: dict[str, dict[bytes, bytes]] = {}
+#: Words of at most so many bytes are remembered, so many of them per worker.
+_WORD_BYTES, _WORDS = 48, 900_000
+#: Marks that may end a word; after an ASCII letter or digit they are tokens of their own.
+_MARKS = b".,!?;:"
+#: Letters that case folding and normalization leave alone.
+_PLAIN = re.compile(rb"(?:[a-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+")
 _tokenizers: dict[str, object] = {}
+_words: dict[str, dict[bytes, bytes]] = {}
 
 
-def _tokenizer(path: str):
+def _tokenizer(path: str) -> tuple:
+    """The tokenizer and, per id, whether it ends a word."""
     if path not in _tokenizers:
-        import os
-
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # one core per task
         from tokenizers import Tokenizer
 
-        _tokenizers[path] = Tokenizer.from_file(path)
+        made = Tokenizer.from_file(path)
+        vocabulary = made.get_vocab()
+        last = np.zeros(max(vocabulary.values()) + 1, bool)
+        last[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
+        _tokenizers[path] = made, last
     return _tokenizers[path]
 
 
-def encode(texts: list[bytes], path: str) -> Iterator[bytes]:
+def _encode_words(words: list[bytes], path: str) -> list[bytes]:
+    """Ids of each word; words of plain letters share one text, in which each ends a word."""
+    tokenizer, last = _tokenizer(path)
+    packed: dict[bytes, bytes] = {}
+    plain = [w for w in words if _PLAIN.fullmatch(w)]
+    for at in range(0, len(plain), 1000):
+        some = plain[at:at + 1000]
+        text = b" ".join(some).decode()
+        ids = np.array(tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
+        begin, joined = 0, ids.tobytes()
+        for word, end in zip(some, ((np.flatnonzero(last[ids]) + 1) * 4).tolist(), strict=True):
+            packed[word] = joined[begin:end]
+            begin = end
+    other = [w for w in words if w not in packed]
+    encoded = tokenizer.encode_batch_fast([w.decode() for w in other], add_special_tokens=False)
+    packed.update((w, array("I", e.ids).tobytes()) for w, e in zip(other, encoded, strict=True))
+    return [packed[w] for w in words]
+
+
+def _ids_of(words: list[bytes], path: str) -> list[bytes]:
+    """Ids of distinct words, most of them remembered."""
+    known = _words.setdefault(path, {})
+    ids = list(map(known.get, words))
+    missing = [at for at, x in enumerate(ids) if x is None]
+    stems = [word.rstrip(_MARKS) if word[-1:] in _MARKS else word for word in (words[at] for at in missing)]
+    cut = [stem if stem[-1:].isalnum() else words[at] for stem, at in zip(stems, missing, strict=True)]
+    fresh = list({word for word in cut if word not in known}
+                 | {words[at][len(stem):] for stem, at in zip(cut, missing, strict=True)})
+    found = dict(zip(fresh, _encode_words(fresh, path), strict=True))
+    for stem, at in zip(cut, missing, strict=True):
+        word = words[at]
+        ids[at] = (found.get(stem) or known.get(stem, b"")) + found[word[len(stem):]]
+    if len(known) + 2 * len(missing) > _WORDS:
+        known.clear()
+    known.update((w, x) for w, x in found.items() if len(w) <= _WORD_BYTES)
+    known.update((words[at], ids[at]) for at in missing if len(words[at]) <= _WORD_BYTES)
+    return ids
+
+
+def encode(texts: pa.Array, path: str) -> Iterator[bytes]:
     """Token ids of each text as little-endian 32-bit numbers.
 
     The tokenizer drops white space and never joins pieces across it, and it works in
     lower case, so the ids of a text are those of its lower-cased words one after another;
-    words are remembered. Texts that may hold a special token are encoded as they are.
+    only distinct words are looked up, and they are remembered. Texts that may hold a
+    special token are encoded as they are.
     """
-    known = _words.setdefault(path, {})
-    tokenizer = _tokenizer(path)
-    special = b"<|"
-    split = [None if special in text else text.lower().split() for text in texts]
-    wanted = set().union(*[words for words in split if words])
-    unknown = list(wanted.difference(known))
-    encoded = tokenizer.encode_batch_fast([w.decode() for w in unknown], add_special_tokens=False)
-    fresh = {w: array("I", e.ids).tobytes() for w, e in zip(unknown, encoded, strict=True)}
-    ids = {w: known[w] for w in wanted if w in known}
-    ids.update(fresh)
-    if len(known) + len(fresh) > _WORDS:
-        known.clear()
-    known.update((w, x) for w, x in fresh.items() if len(w) <= _WORD_BYTES)
-    for text, words in zip(texts, split, strict=True):
-        if words is None:
-            yield array("I", tokenizer.encode(text.decode(), add_special_tokens=False).ids).tobytes()
+    special = pc.match_substring(texts, "<|")
+    words = pc.ascii_split_whitespace(pc.ascii_lower(pc.if_else(special, "", texts)))
+    each = words.flatten().dictionary_encode()
+    distinct = pa.array(_ids_of(each.dictionary.cast(pa.binary()).to_pylist(), path), pa.large_binary())
+    ids = distinct.take(each.indices)
+    data, ends = packed(ids) if len(ids) else (np.zeros(0, np.uint8), np.zeros(1, np.int64))
+    ends = ends[np.concatenate([[0], np.cumsum(pc.list_value_length(words).to_numpy(zero_copy_only=False))]).astype(int)]
+    for row, whole in enumerate(special.to_pylist()):
+        if whole:
+            tokens = _tokenizer(path)[0].encode(texts[row].as_py(), add_special_tokens=False)
+            yield array("I", tokens.ids).tobytes()
         else:
-            yield b"".join(map(ids.__getitem__, words))
+            yield data[ends[row]:ends[row + 1]].tobytes()
+
+
+def _blocks(batch: pa.RecordBatch, column: int, most: int = 1 << 24) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch with about ``most`` bytes in a column; a longer value is a slice alone."""
+    sizes = np.cumsum(pc.binary_length(batch.column(column)).to_numpy(zero_copy_only=False))
+    at = 0
+    while at < batch.num_rows:
+        end = max(at + 1, int(np.searchsorted(sizes, (sizes[at - 1] if at else 0) + most, side="right")))
+        yield batch.slice(at, end - at)
+        at = end
 
 
 def _cut(path: str, capacity: int, end: int, ids: bool) -> Callable:
@@ -72,10 +127,9 @@ def _cut(path: str, capacity: int, end: int, ids: bool) -> Callable:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for at in range(0, whole.num_rows, 1000):
-                batch = whole.slice(at, 1000)
+            for batch in _blocks(whole, 1):
                 rows, numbers, starts, lengths, sums, bodies = [], [], [], [], [], []
-                for row, tokens in enumerate(encode(batch.column(1).to_pylist(), path)):
+                for row, tokens in enumerate(encode(batch.column(1), path)):
                     tokens += last
                     for number, start in enumerate(range(0, len(tokens), width)):
                         piece = tokens[start:start + width]
@@ -109,7 +163,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = 2048, end: int = 0,
         T.StructField("ids_crc32", T.LongType())])
     if ids:
         out.add("ids", T.ArrayType(T.IntegerType()))
-    return docs.select(F.col(key), utf8(text)).mapInArrow(_cut(tokenizer, capacity, end, ids), out)
+    return docs.select(F.col(key), F.coalesce(F.col(text), F.lit("")).alias("_text")).mapInArrow(_cut(tokenizer, capacity, end, ids), out)
 
 
 def fullest(counts: dict[int, int], room: int) -> dict[int, int]:
