@@ -23,7 +23,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window, functions as F, types as T
 
-from .common import durable, packed
+from .common import byte_blocks, durable, packed
 
 #: Words of at most so many bytes are remembered, so many of them per worker.
 _WORD_BYTES, _WORDS = 48, 900_000
@@ -111,23 +111,13 @@ def encode(texts: pa.Array, path: str) -> Iterator[bytes]:
             yield data[ends[row]:ends[row + 1]].tobytes()
 
 
-def _blocks(batch: pa.RecordBatch, column: int, most: int = 1 << 24) -> Iterator[pa.RecordBatch]:
-    """Slices of a batch with about ``most`` bytes in a column; a longer value is a slice alone."""
-    sizes = np.cumsum(pc.binary_length(batch.column(column)).to_numpy(zero_copy_only=False))
-    at = 0
-    while at < batch.num_rows:
-        end = max(at + 1, int(np.searchsorted(sizes, (sizes[at - 1] if at else 0) + most, side="right")))
-        yield batch.slice(at, end - at)
-        at = end
-
-
 def _cut(path: str, capacity: int, end: int, ids: bool) -> Callable:
     """Task side of tokenizing: the pieces of each document."""
     last, width = array("I", [end]).tobytes(), 4 * capacity
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in _blocks(whole, 1):
+            for batch in byte_blocks(whole, 1, 1 << 24):
                 rows, numbers, starts, lengths, sums, bodies = [], [], [], [], [], []
                 for row, tokens in enumerate(encode(batch.column(1), path)):
                     tokens += last

@@ -7,7 +7,9 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import line_dedup, packing, sharding
+from . import language, line_dedup, packing, quality, sharding, warc
+from .common import fold
+from ..session import scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -26,6 +28,15 @@ def word_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+@query
+def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Learns from four of five folds; the score sees nothing but the text."""
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    model = quality.learn(docs, labels.filter(fold(F.col("doc_id"), 5) != 0))
+    held = docs.select("doc_id", (fold(F.col("doc_id"), 5) == 0).alias("held_out"), "text")
+    return quality.classify(held, model).select("doc_id", "held_out", "score", "predicted")
+
+
 @query
 def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), word_tokenizer())
@@ -55,8 +66,42 @@ SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_dropped,
 FROM marked GROUP BY doc_id"""
 
 
+@query
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Archives every page, then reads the archives."""
+    path = scratch_path(spark, "archives")
+    warc.archive(table(spark, sf_dir, "pages"), path)
+    return warc.read_pages(spark, path)
+
+
 @query
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = sharding.shard(table(spark, sf_dir, "documents"), 40)
     return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot",
                          F.lit(None).cast("int").alias("grown_shard"))
+
+
+@query
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Learns from three of four folds; the prediction sees nothing but the text."""
+    docs = table(spark, sf_dir, "documents")
+    model = language.learn(docs.filter(fold(F.col("doc_id"), 4) != 2))
+    held = docs.select("doc_id", (fold(F.col("doc_id"), 4) == 2).alias("held_out"), "text")
+    return language.identify(held, model).select("doc_id", "held_out", "lang_pred", "score")
+
+
+ORACLE_SQL["op5_warc"] = """
+WITH sized AS (
+  SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha1(coalesce(html, '')) AS hex
+  FROM pages),
+grouped AS (SELECT *, max(page_id) OVER (PARTITION BY hex, payload_bytes) AS keeper FROM sized),
+bits AS (SELECT page_id, string_agg(lpad(bin(('0x' || substr(hex, i, 1))::INT), 4, '0'), '' ORDER BY i) AS b
+         FROM sized, range(1, 41) AS r(i) GROUP BY page_id),
+digests AS (SELECT page_id, string_agg(substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+              CAST(list_reduce(list_transform(range(0, 5), lambda j: substr(b, 5 * i + j + 1, 1)::INT * (16 >> j)),
+                               lambda x, y: x + y) AS INT) + 1, 1), '' ORDER BY i) AS payload_digest
+            FROM bits, range(0, 32) AS r(i) GROUP BY page_id)
+SELECT page_id, payload_bytes, payload_digest,
+       CASE WHEN page_id = keeper THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id <> keeper THEN keeper END AS refers_to
+FROM grouped JOIN digests USING (page_id)"""
