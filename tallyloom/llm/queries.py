@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import ann, language, line_dedup, packing, quality, sharding, topk, warc
+from . import ann, language, line_dedup, mixing, near_dup, packing, quality, sharding, topk, warc
 from .common import fold
 from ..session import scratch_path
 
@@ -131,3 +131,23 @@ scored AS (
 ranked AS (
   SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM scored)
 SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM ranked WHERE rank <= 5"""
+
+
+def domains(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The labelled documents as domains: toxic, low quality, or clean."""
+    domain = F.when(F.col("toxic") == 1, "toxic").when(F.col("quality") == 0, "low").otherwise("clean")
+    return table(spark, sf_dir, "labels").select("doc_id", domain.alias("domain"))
+
+
+@query
+def op9_soft_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As many tokens as there are, nine tenths of them clean."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    mixed = mixing.mix(docs, domains(spark, sf_dir), {"clean": 0.90, "low": 0.07, "toxic": 0.03})
+    return mixed.select("doc_id", "tokens", "p_clean", "p_low", "p_toxic", "rate", "copies")
+
+
+@query
+def op8_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return near_dup.near_duplicates(docs, words=4).select("doc_id", "n_shingles", "component_id", "kept")
