@@ -203,7 +203,7 @@ def dedup_lines(docs: DataFrame, least: int = 10, max_filter_bits: int = 1 << 29
         .groupBy(F.col("_doc").alias(doc)).agg(F.collect_set("_key").alias(marks))
     )
     kept = [c for c in docs.columns if c.lower() not in ("n_lines", "n_dropped")]
-    marked = docs.select(*[body.alias(c) if c == text else F.col(c) for c in kept]).join(
+    marked = docs.select(*[body.alias(c) if c == text else F.col(f"`{c}`") for c in kept]).join(
         convicted, F.col(key) == F.col(doc), "left").drop(doc)
     out = T.StructType([f for f in docs.schema if f.name in kept]
                        + [T.StructField("n_lines", T.LongType()), T.StructField("n_dropped", T.LongType())])

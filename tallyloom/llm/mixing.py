@@ -1,8 +1,9 @@
 """Mixing to target weights with soft domain membership.
 
-A labelled table names the domain of some documents. A naive Bayes classifier over hashed
-words, made of SQL aggregates, gives every document a posterior over the domains. Then
-every document gets a nonnegative rate, the number of times it is to appear, so that the
+A labelled table names the domain of some documents. A classifier made of SQL aggregates
+learns from them which word beginnings are significantly more frequent in the documents of
+a domain than elsewhere, and gives every document a posterior over the domains. Then every
+document gets a nonnegative rate, the number of times it is to appear, so that the
 expected tokens of each domain, posterior times tokens times rate, match the targets.
 
 The rates are found by projected gradient descent on the squared gap of the domain
@@ -21,23 +22,33 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from .common import durable, unused
 
-
-def _bucket(word: Column, buckets: int) -> Column:
-    return F.pmod(F.xxhash64(word), F.lit(buckets)).cast("int")
+#: Characters of a word that count, so that inflected forms are one.
+BEGINNING = 4
 
 
 def _words(text: str) -> Column:
-    """Words between white space, in lower case; null for a text without words."""
-    return F.explode_outer(F.split(F.trim(F.lower(F.coalesce(F.col(text), F.lit("")))), r"\s+"))
+    """Lower-case words between white space; for a text without words one empty string."""
+    return F.split(F.trim(F.lower(F.coalesce(F.col(text), F.lit("")))), r"\s+")
+
+
+def _beginnings(words: Column, buckets: int) -> Column:
+    """Hash buckets of the distinct word beginnings."""
+    return F.array_distinct(F.transform(words, lambda w: F.pmod(
+        F.xxhash64(F.substring(w, 1, BEGINNING)), F.lit(buckets)).cast("int")))
 
 
 def word_weights(docs: DataFrame, labels: DataFrame, domains: Sequence[str], buckets: int = 1 << 16,
-                 per_domain: int = 5000, key: str = "doc_id", text: str = "text", domain: str = "domain") -> DataFrame:
-    """(_bucket, _w0, _w1, ...): log probability of a word bucket under each domain, smoothed by one.
+                 per_domain: int = 10_000, least_z: float = 4.0, key: str = "doc_id", text: str = "text",
+                 domain: str = "domain") -> tuple[DataFrame, list[float]]:
+    """(_bucket, _w0, _w1, ...) and the log prior of each domain.
+
+    The weight of a bucket is its log odds ratio between the domain's documents and the
+    others, where it is ``least_z`` standard errors above zero, else 0; buckets without
+    any weight are left out, so there are at most ``buckets`` rows whatever the data.
 
     Learners are rows of ``labels`` with a key of ``docs`` and a domain of ``domains``, about
     ``per_domain`` of each by a hash of the key; of several labels of a key the first in
-    order of ``domains`` counts. The result has one row per bucket, whatever the data.
+    order of ``domains`` counts. Priors are the domains' shares of all labelled keys.
     """
     order = F.array_position(F.array(*[F.lit(d) for d in domains]), F.col(domain).cast("string")).cast("int") - 1
     known = labels.filter(F.col(key).isNotNull() & F.col(domain).isNotNull()).select(F.col(key).alias("_key"), order.alias("_d"))
@@ -47,39 +58,50 @@ def word_weights(docs: DataFrame, labels: DataFrame, domains: Sequence[str], buc
     for d, n in many.items():
         share = F.when(F.col("_d") == d, per_domain / n).otherwise(share)
     learners = known.filter(F.pmod(F.xxhash64("_key", F.lit("mixing")), F.lit(1 << 30)) < share * (1 << 30))
-    words = (
+    learned = durable(
         docs.select(F.col(key).alias("_key"), F.col(text)).join(F.broadcast(learners), "_key")  # bounded by per_domain
-        .select("_d", _words(text).alias("_word")).filter("_word <> ''")
-    )
-    counts = words.groupBy(_bucket(F.col("_word"), buckets).alias("_bucket")).agg(
-        *[F.count_if(F.col("_d") == d).alias(f"_n{d}") for d in range(len(domains))])
-    every = docs.sparkSession.range(buckets).select(F.col("id").cast("int").alias("_bucket"))
-    counts = durable(every.join(counts, "_bucket", "left").na.fill(0), "mixing_words")
-    total = counts.agg(*[F.sum(f"_n{d}").alias(f"_n{d}") for d in range(len(domains))]).first()
-    return counts.select("_bucket", *[
-        (F.log(F.col(f"_n{d}") + 1.0) - log(total[f"_n{d}"] + buckets)).alias(f"_w{d}") for d in range(len(domains))])
-
-
-def posteriors(docs: DataFrame, weights: DataFrame, domains: int, buckets: int = 1 << 16, sharpness: float = 40.0,
+        .select("_d", _beginnings(_words(text), buckets).alias("_buckets")), "mixing_learners")
+    sizes = {r["_d"]: r["n"] for r in learned.groupBy("_d").agg(F.count("*").alias("n")).collect()}
+    everyone = sum(sizes.values())
+    counts = learned.select("_d", F.explode("_buckets").alias("_bucket")).groupBy("_bucket").agg(
+        F.count("*").alias("_all"), *[F.count_if(F.col("_d") == d).alias(f"_n{d}") for d in range(len(domains))])
+
+    def weight(d: int) -> Column:
+        inside, outside = F.col(f"_n{d}") + 0.5, F.col("_all") - F.col(f"_n{d}") + 0.5
+        odds = F.log(inside) - F.log(outside) + log((everyone - sizes.get(d, 0) + 1) / (sizes.get(d, 0) + 1))
+        return F.when(odds >= least_z * F.sqrt(1 / inside + 1 / outside), odds).otherwise(0.0).alias(f"_w{d}")
+
+    weighed = counts.select("_bucket", *[weight(d) for d in range(len(domains))])
+    weighed = weighed.filter(F.greatest(F.lit(0.0), *[F.col(f"_w{d}") for d in range(len(domains))]) > 0)
+    total = sum(many.values())
+    priors = [log((many.get(d, 0) + 0.5) / (total + 0.5 * len(domains))) for d in range(len(domains))]
+    return durable(weighed, "mixing_words"), priors
+
+
+def posteriors(docs: DataFrame, weights: DataFrame, priors: Sequence[float], buckets: int = 1 << 16,
                key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, _hash, tokens, _p0, _p1, ...) for every distinct (key, text).
+    """(_key, _hash, _n, tokens, _p0, _p1, ...) for every distinct (key, text), ``_n`` rows of each.
 
-    Tokens are words between white space. The mean log probability of a document's words
-    times ``sharpness`` stands for ``sharpness`` independent words; their softmax is the
-    posterior. A text without words has an even posterior and no tokens.
+    Tokens are words between white space. The evidence for a domain is its prior and the
+    weights of the document's distinct word beginnings; the softmax is the posterior. A
+    text without words has the prior and no tokens.
     """
-    rows = docs.select(F.col(key).alias("_key"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("_hash"),
-                       _words(text).alias("_word"))
-    some = F.col("_word").isNotNull() & (F.col("_word") != "")
-    # one row per bucket: 65,536 rows of a few numbers by default, whatever the data
-    scored = rows.withColumn("_bucket", _bucket(F.col("_word"), buckets)).join(F.broadcast(weights), "_bucket", "left")
+    domains = range(len(priors))
+    body, words = F.coalesce(F.col(text), F.lit("")), _words(text)
+    rows = docs.select(F.col(key).alias("_key"), F.xxhash64(body).alias("_hash"), words.alias("_words")).select(
+        "_key", "_hash", F.when(F.col("_words")[0] == "", 0).otherwise(F.size("_words")).alias("_tokens"),
+        F.posexplode(_beginnings(F.col("_words"), buckets)).alias("_at", "_bucket"))
+    # at most one row per bucket, 65,536 by default, whatever the data
+    scored = rows.join(F.broadcast(weights), "_bucket", "left")
     sums = scored.groupBy("_key", "_hash").agg(
-        F.count_if(some).alias("tokens"),
-        *[F.coalesce(F.avg(F.when(some, F.col(f"_w{d}"))), F.lit(0.0)).alias(f"_m{d}") for d in range(domains)])
-    top = F.greatest(*[F.col(f"_m{d}") for d in range(domains)]) if domains > 1 else F.col("_m0")
-    parts = [F.exp(sharpness * (F.col(f"_m{d}") - top)) for d in range(domains)]
+        F.count_if(F.col("_at") == 0).alias("_n"), F.max("_tokens").cast("long").alias("tokens"),
+        *[F.coalesce(F.sum(f"_w{d}"), F.lit(0.0)).alias(f"_s{d}") for d in domains])
+    sums = sums.select("_key", "_hash", "_n", "tokens",
+                       *[(F.col(f"_s{d}") / F.col("_n") + priors[d]).alias(f"_s{d}") for d in domains])
+    top = F.array_max(F.array(*[F.col(f"_s{d}") for d in domains]))
+    parts = [F.exp(F.col(f"_s{d}") - top) for d in domains]
     total = sum(parts[1:], parts[0])
-    return sums.select("_key", "_hash", "tokens", *[(p / total).alias(f"_p{d}") for d, p in enumerate(parts)])
+    return sums.select("_key", "_hash", "_n", "tokens", *[(p / total).alias(f"_p{d}") for d, p in enumerate(parts)])
 
 
 def rates(members: DataFrame, domains: int, targets: Sequence[float], floor: float = 0.0, ceiling: float = 100.0,
@@ -127,22 +149,15 @@ def mix(docs: DataFrame, labels: DataFrame, weights: dict[str, float], budget: f
     or down by a hash of key and text with the right chance. With ``floor`` 1 no document
     is lost.
 
-    Null keys are a key of their own; null, empty and blank texts have no tokens, an even
-    posterior and with it some rate. Repeated rows share one result row and count as often
-    as they occur in the totals. Targets that the floor or ceiling forbids are approached
-    as near as these allow. An empty table gives no rows; without labels all posteriors
-    are even and the rates meet the budget alone.
+    Null keys are a key of their own; null, empty and blank texts have no tokens, the prior
+    as posterior and with it some rate. Repeated rows share one result row and count as
+    often as they occur in the totals. Targets that the floor or ceiling forbids are
+    approached as near as these allow. An empty table gives no rows; without labels all
+    posteriors are even and the rates meet the budget alone.
     """
     names = list(weights)
-    table = word_weights(docs, labels, names, buckets, key=key, text=text, domain=domain)
-    counts = docs.groupBy(F.col(key).alias("_key"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("_hash")).agg(
-        F.count("*").alias("_n"))
-    found = posteriors(docs, table, len(names), buckets, key=key, text=text)
-    # words of repeated rows are counted together: the posterior is a mean, the tokens are shared out
-    members = durable(
-        found.join(counts, found["_key"].eqNullSafe(counts["_key"]) & (found["_hash"] == counts["_hash"])).select(
-            found["_key"], found["_hash"], "_n", (F.col("tokens") / F.col("_n")).cast("long").alias("tokens"),
-            *[f"_p{d}" for d in range(len(names))]), "mixing_members")
+    words, priors = word_weights(docs, labels, names, buckets, key=key, text=text, domain=domain)
+    members = durable(posteriors(docs, words, priors, buckets, key=key, text=text), "mixing_members")
     total = members.agg(F.sum(F.col("tokens") * F.col("_n")).alias("t")).first()["t"] or 0
     whole = sum(weights.values())
     rated = rates(members, len(names), [budget * total * w / whole for w in weights.values()], floor, ceiling)
@@ -161,4 +176,4 @@ def resample(docs: DataFrame, mixed: DataFrame, key: str = "doc_id", text: str =
     plan = mixed.select(F.col(key).alias(own), F.col("_hash").alias(hashed + "2"), F.col("copies").alias(copies))
     rows = docs.withColumn(hashed, F.xxhash64(F.coalesce(F.col(text), F.lit(""))))
     joined = rows.join(plan, rows[key].eqNullSafe(F.col(own)) & (F.col(hashed) == F.col(hashed + "2")))
-    return joined.withColumn(copies, F.explode(F.array_repeat(F.lit(1), F.col(copies)))).select(docs.columns)
+    return joined.withColumn(copies, F.explode(F.array_repeat(F.lit(1), F.col(copies)))).select([f"`{c}`" for c in docs.columns])

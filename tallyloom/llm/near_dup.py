@@ -7,10 +7,12 @@ for each way of leaving out that many symbols, so such a pair is sure to meet in
 Documents at the similarity threshold exceed ``DISTANCE`` with a chance of about 3e-5.
 
 Equal shingle sets are one class from the start. Only connected components are wanted, so
-a bucket's classes are first compared with its smallest one alone; then, in buckets whose
-classes are not yet connected, all pairs from different components are compared, each
-pair in the first bucket that it shares. Candidates within the distance are confirmed on
-their whole shingle sets. Nothing but schema and counters reaches the driver.
+a bucket's classes are first compared with its smallest one, its pivot, alone; then, in
+buckets whose classes are not yet connected, all pairs from different components are
+compared, each pair in the first bucket that it shares. Candidates within the distance are
+confirmed on their whole shingle sets. Pairs of small buckets become rows for that; in
+large buckets, which copies of one text fill, the sets meet in blocks per pivot, and only
+links leave a block. Nothing but counters reaches the driver.
 """
 
 from __future__ import annotations
@@ -20,15 +22,15 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from .common import byte_blocks, durable, mix, packed, utf8, word_hashes
+from .common import byte_blocks, durable, mix, packed, unused, utf8, word_hashes
 
 SYMBOLS, CHUNK, ERRORS = 80, 5, 1
 #: One less than what would spoil every chunk.
 DISTANCE = SYMBOLS // CHUNK * (ERRORS + 1) - 1
-#: Classes of a bucket that are compared in one piece.
-BLOCK = 2048
+#: Classes up to which the pairs of a bucket become rows, and classes of a block in larger ones.
+SMALL, BLOCK = 64, 1024
 _rng = np.random.default_rng(20)
 _XOR = _rng.integers(0, 1 << 63, SYMBOLS, dtype=np.uint64)
 _TIMES = _rng.integers(0, 1 << 63, SYMBOLS, dtype=np.uint64) | np.uint64(1)
@@ -80,8 +82,8 @@ def _sketch(words: int) -> Callable:
                     names[i] = xxhash.xxh3_128_digest(sets[i].tobytes())
                     signs[i] = signed[row].tobytes()
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0), pa.array(sizes, pa.int64()), pa.array(names, pa.binary()),
-                     pa.array(signs, pa.binary())], ["_doc", "n_shingles", "_set", "_sign"])
+                    [batch.column(0), batch.column(2), pa.array(sizes, pa.int64()), pa.array(names, pa.binary()),
+                     pa.array(signs, pa.binary())], ["_doc", "text_hash", "n_shingles", "_set", "_sign"])
     return run
 
 
@@ -124,46 +126,84 @@ def first_slot(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return chunk * CHUNK + wrong[np.arange(len(a)), chunk].argmax(axis=1)
 
 
-def _cross(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs of different components in each run of one cell; input is sorted by cell."""
-    def pairs(table: pa.Table) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        cells = np.stack([table.column(c).to_numpy() for c in ("_key", "_i", "_j")], axis=1)
-        edges = np.concatenate([[0], np.flatnonzero((cells[1:] != cells[:-1]).any(axis=1)) + 1, [len(cells)]])
-        nodes, parts, slots, own = (table.column(c).to_numpy() for c in ("_node", "_part", "_slot", "_own"))
-        signs = _signs(table.column("_sign"))
-        for begin, end in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
-            if end - begin < 2:
-                continue
-            step = max(1, (1 << 22) // ((end - begin) * SYMBOLS))
-            for at in range(begin, end, step):
-                to = min(at + step, end)
-                far = (signs[at:to, None, :] != signs[None, begin:end, :]).sum(axis=2, dtype=np.uint8)
-                good = (far <= DISTANCE) & (parts[at:to, None] != parts[None, begin:end])
-                good &= nodes[at:to, None] < nodes[None, begin:end]
-                if cells[begin, 1] != cells[begin, 2]:
-                    good &= own[at:to, None] != own[None, begin:end]
-                a, b = np.nonzero(good)
-                a, b = a + at, b + begin
-                if len(a):
-                    mine = first_slot(signs[a], signs[b]) == slots[begin]
-                    if mine.any():
-                        yield nodes[a[mine]], nodes[b[mine]]
-
+def _runs(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[pa.Table]:
+    """Rows that agree in ``names``, run by run, of input sorted by these."""
     held: pa.Table | None = None
     for batch in batches:
+        if not batch.num_rows:
+            continue
         table = pa.Table.from_batches([batch])
         table = pa.concat_tables([held, table]).combine_chunks() if held is not None else table
-        last = [table.column(c)[-1].as_py() for c in ("_key", "_i", "_j")] if len(table) else None
-        if last is None:
-            continue
-        same = np.logical_and.reduce([table.column(c).to_numpy() == v for c, v in zip(("_key", "_i", "_j"), last, strict=True)])
-        cut = int(np.flatnonzero(~same)[-1]) + 1 if (~same).any() else 0
-        for a, b in pairs(table.slice(0, cut).combine_chunks()) if cut else ():
-            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["_a", "_b"])
-        held = table.slice(cut)
+        cells = np.stack([table.column(c).to_numpy() for c in names], axis=1)
+        edges = [0, *(np.flatnonzero((cells[1:] != cells[:-1]).any(axis=1)) + 1).tolist()]
+        for begin, end in zip(edges[:-1], edges[1:], strict=True):
+            yield table.slice(begin, end - begin)
+        held = table.slice(edges[-1])
     if held is not None:
-        for a, b in pairs(held.combine_chunks()):
-            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["_a", "_b"])
+        yield held.combine_chunks()
+
+
+def _pairs_within(run: pa.Table) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(row a, row b, signature a, signature b) within the distance, of different components, smaller node first."""
+    signs = _signs(run.column("_sign"))
+    nodes, parts = run.column("_node").to_numpy(), run.column("_part").to_numpy()
+    step = max(1, (1 << 22) // (len(run) * SYMBOLS))
+    for at in range(0, len(run), step):
+        far = (signs[at:at + step, None, :] != signs[None, :, :]).sum(axis=2, dtype=np.uint8)
+        good = (far <= DISTANCE) & (parts[at:at + step, None] != parts) & (nodes[at:at + step, None] < nodes)
+        a, b = np.nonzero(good)
+        if len(a):
+            yield a + at, b, signs[a + at], signs[b]
+
+
+def _cross(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Candidate pairs of each small bucket; input is sorted by bucket."""
+    found: list[tuple[np.ndarray, np.ndarray]] = []
+    for run in _runs(batches, ["_key"]):
+        if len(run) > 1:
+            slot, nodes = run.column("_slot")[0].as_py(), run.column("_node").to_numpy()
+            for a, b, of_a, of_b in _pairs_within(run):
+                mine = first_slot(of_a, of_b) == slot
+                found.append((nodes[a[mine]], nodes[b[mine]]))
+        if len(found) >= 1000:
+            yield _pair_batch(found)
+            found = []
+    yield _pair_batch(found)
+
+
+def _pair_batch(found: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+    none = np.zeros(0, np.int64)
+    return pa.RecordBatch.from_arrays(
+        [pa.array(np.concatenate([none, *(pair[side] for pair in found)])) for side in (0, 1)], ["_a", "_b"])
+
+
+def _cross_sets(percent: int) -> Callable:
+    """Links within each block of a pivot's large buckets; input is sorted by pivot and block."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for cell in _runs(batches, ["_pivot", "_i", "_j"]):
+            if len(cell) < 2:
+                continue
+            nodes, own = cell.column("_node").to_numpy(), cell.column("_own").to_numpy()
+            slots = np.stack([cell.column(c).to_numpy() for c in ("_low", "_high")], axis=1)
+            raw = cell.column("_shingles").combine_chunks()
+            sets: dict[int, set[int]] = {}
+            apart = cell.column("_i")[0] != cell.column("_j")[0]
+            found = []
+            for a, b, of_a, of_b in _pairs_within(cell):
+                slot = first_slot(of_a, of_b)
+                # the pair belongs here if the bucket it first shares has this pivot
+                mine = (slots[a, slot // 40] >> (slot % 40) & 1) == 1
+                if apart:
+                    mine &= own[a] != own[b]
+                for x, y in zip(a[mine].tolist(), b[mine].tolist(), strict=True):
+                    for row in (x, y):
+                        if row not in sets:
+                            sets[row] = set(np.frombuffer(raw[row].as_buffer(), np.uint64).tolist())
+                    common = len(sets[x] & sets[y])
+                    if 100 * common >= percent * (len(sets[x]) + len(sets[y]) - common):
+                        found.append((nodes[x:x + 1], nodes[y:y + 1]))
+            yield _pair_batch(found)
+    return run
 
 
 def _sets(words: int) -> Callable:
@@ -194,15 +234,16 @@ def _confirm(percent: int) -> Callable:
     return run
 
 
-def confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
-    """Those of ``pairs`` that the whole texts bear out, written to the shared folder.
+def shingle_sets(nodes: DataFrame, classes: DataFrame, docs: DataFrame, words: int) -> DataFrame:
+    """(_node, _shingles) of some classes, from the whole text of the smallest document of each."""
+    texts = classes.join(nodes.distinct(), "_node").select("_node", "_set", "_first").join(docs, F.col("_first") == F.col("_doc"))
+    sets = texts.select("_node", "_set", "_text").mapInArrow(_sets(words), "_node long, _shingles binary")
+    return durable(sets.dropDuplicates(["_node"]), "near_sets")
 
-    Only texts of classes in some pair are read into sets; of each class that of its smallest document.
-    """
-    wanted = pairs.select(F.explode(F.array("_a", "_b")).alias("_node")).distinct()
-    texts = classes.join(wanted, "_node").select("_node", "_set", "_first").join(docs, F.col("_first") == F.col("_doc"))
-    sets = durable(texts.select("_node", "_set", "_text").mapInArrow(_sets(words), "_node long, _shingles binary")
-                   .dropDuplicates(["_node"]), "near_sets")
+
+def confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
+    """Those of ``pairs`` that the whole texts bear out, written to the shared folder."""
+    sets = shingle_sets(pairs.select(F.explode(F.array("_a", "_b")).alias("_node")), classes, docs, words)
     a = sets.select(F.col("_node").alias("_a"), F.col("_shingles").alias("_of_a"))
     b = sets.select(F.col("_node").alias("_b"), F.col("_shingles").alias("_of_b"))
     both = pairs.join(a, "_a").join(b, "_b").select("_a", "_b", "_of_a", "_of_b")
@@ -235,25 +276,46 @@ def components(links: DataFrame) -> DataFrame:
     return durable(roots.unionByName(roots.select(F.col("_root").alias("_node"), "_root")).distinct(), "near_roots")
 
 
+def _large_links(parts: DataFrame, classes: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
+    """Links between components within large buckets."""
+    bit = lambda from_: F.bit_or(F.when(F.col("_slot").between(from_, from_ + 39),
+                                        F.expr(f"shiftleft(1L, _slot - {from_})")).otherwise(F.lit(0).cast("long")))
+    rows = durable(parts.groupBy("_pivot", "_node").agg(
+        F.min("_part").alias("_part"), bit(0).alias("_low"), bit(40).alias("_high")), "near_large")
+    sets = shingle_sets(rows.select("_node"), classes, docs, words)
+    blocks = rows.groupBy("_pivot").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("_blocks"))
+    cells = (
+        rows.join(blocks, "_pivot").withColumn("_own", F.pmod(F.xxhash64("_node"), F.col("_blocks")).cast("int"))
+        .withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
+        .withColumn("_i", F.least("_own", "_other")).withColumn("_j", F.greatest("_own", "_other"))
+        .join(classes.select("_node", "_sign"), "_node").join(sets, "_node")
+        .repartition("_pivot", "_i", "_j").sortWithinPartitions("_pivot", "_i", "_j")
+        .select("_pivot", "_i", "_j", "_node", "_part", "_own", "_low", "_high", "_sign", "_shingles")
+    )
+    return durable(cells.mapInArrow(_cross_sets(percent), "_a long, _b long"), "near_large_links")
+
+
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text"
                     ) -> DataFrame:
-    """(key, n_shingles, component_id, kept) for every row of ``docs``.
+    """(key, n_shingles, component_id, kept, text_hash) for every row of ``docs``.
 
     Documents are linked if their sets of ``words``-word shingles have at least ``percent``
     hundredths of their union in common. Words are runs between ASCII blanks, A-Z counts
     as a-z; a text with fewer words is one shingle. ``component_id`` is the smallest key
     reachable over links, ``kept`` says that it is the row's own.
 
-    Null, empty and blank texts have no shingles and no links. Rows without a key take
-    part and never give a component its id; if a component has no key its id is null, and
-    a row without a key is kept only then. Equal texts are one class, however many there
-    are, also if their rows repeat a key. Other columns are ignored, and an empty table
-    gives no rows.
+    Null, empty and blank texts have no shingles and no links; their component is their
+    key. Equal texts are one class, however many there are, also if their rows repeat a
+    key. A row without a key belongs to its class, but never gives it an id, and a class
+    without any key is linked with nothing: its rows have a null component and are kept.
+    ``text_hash`` is Spark's xxhash64 of the text, null being empty. Other columns are
+    ignored, and an empty table gives no rows.
     """
-    plain = docs.select(F.col(key).alias("_doc"), utf8(text).alias("_text"))
-    out = T.StructType([T.StructField("_doc", docs.schema[key].dataType), T.StructField("n_shingles", T.LongType()),
+    plain = docs.select(F.col(key).alias("_doc"), utf8(text).alias("_text"), text_hash(text).alias("text_hash"))
+    out = T.StructType([T.StructField("_doc", docs.schema[key].dataType), T.StructField("text_hash", T.LongType()),
+                        T.StructField("n_shingles", T.LongType()),
                         T.StructField("_set", T.BinaryType()), T.StructField("_sign", T.BinaryType())])
-    sketch = durable(plain.mapInArrow(_sketch(words), out), "near_sketch")
+    sketch = durable(plain.select("_doc", "_text", "text_hash").mapInArrow(_sketch(words), out), "near_sketch")
     classes = durable(
         sketch.filter("n_shingles > 0").groupBy("_set").agg(F.min("_doc").alias("_first"), F.first("_sign").alias("_sign"))
         .withColumn("_node", F.monotonically_increasing_id()), "near_classes")
@@ -270,23 +332,19 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, key: str
     first = components(confirmed(stars, classes, plain, words, percent))
 
     part = F.coalesce("_root", "_node")
-    parts = members.select("_key", "_node", "_slot", "_n").join(first, "_node", "left").withColumn("_part", part).drop("_root")
+    parts = members.join(first, "_node", "left").withColumn("_part", part).drop("_root")
     open_ = durable(
         parts.groupBy("_key").agg(F.min("_part").alias("_p"), F.max("_part").alias("_q")).filter("_p <> _q").select("_key"),
         "near_open")
-    blocks = F.ceil(F.col("_n") / BLOCK).cast("int")
-    mine = F.pmod(F.xxhash64("_node"), blocks).cast("int")
-    cells = (
-        parts.join(open_, "_key").withColumn("_own", mine)
-        .withColumn("_other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-        .select("_key", F.least("_own", "_other").alias("_i"), F.greatest("_own", "_other").alias("_j"),
-                "_node", "_part", "_slot", "_own")
-        .join(signs, "_node")
-        .repartition("_key", "_i", "_j").sortWithinPartitions("_key", "_i", "_j")
-        .select("_key", "_i", "_j", "_node", "_part", "_slot", "_own", "_sign")
+    parts = durable(parts.join(open_, "_key").select("_key", "_node", "_slot", "_n", F.col("_a").alias("_pivot"), "_part"),
+                    "near_parts")
+    small = (
+        parts.filter(F.col("_n") <= SMALL).join(signs, "_node").repartition("_key").sortWithinPartitions("_key")
+        .select("_key", "_node", "_part", "_slot", "_sign")
     )
-    rest = durable(cells.mapInArrow(_cross, "_a long, _b long"), "near_rest")
-    links = confirmed(rest, classes, plain, words, percent)
+    rest = durable(small.mapInArrow(_cross, "_a long, _b long"), "near_rest")
+    links = confirmed(rest, classes, plain, words, percent).unionByName(
+        _large_links(parts.filter(F.col("_n") > SMALL), classes, plain, words, percent))
     a, b = (first.select(F.col("_node").alias(n), F.col("_root").alias(n + "r")) for n in ("_a", "_b"))
     joined = components(
         links.join(a, "_a", "left").join(b, "_b", "left")
@@ -299,8 +357,23 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, key: str
     roots = durable(roots.select("_set", "_first", "_top"), "near_tops")
     smallest = roots.groupBy("_top").agg(F.min("_first").alias("component_id"))
     found = durable(roots.join(smallest, "_top").select("_set", "component_id"), "near_components")
-    rows = sketch.select("_doc", "n_shingles", "_set").join(found, "_set", "left")
+    rows = sketch.select("_doc", "text_hash", "n_shingles", "_set").join(found, "_set", "left")
     component = F.when(F.col("n_shingles") == 0, F.col("_doc")).otherwise(F.col("component_id"))
     return rows.select(
         F.col("_doc").alias(key), "n_shingles", component.alias("component_id"),
-        F.col("_doc").eqNullSafe(component).alias("kept"))
+        F.col("_doc").eqNullSafe(component).alias("kept"), "text_hash")
+
+
+def text_hash(text: str) -> Column:
+    return F.xxhash64(F.coalesce(F.col(text), F.lit("")))
+
+
+def drop_near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text"
+                         ) -> DataFrame:
+    """One row of ``docs`` for each component; rows that agree in key and text count as one."""
+    found = near_duplicates(docs, words, percent, key, text)
+    own, hashed, hash_of_row = (unused(docs.columns, n) for n in ("_key_kept", "_hash_kept", "_hash_of_row"))
+    kept = found.filter("kept").select(F.col(key).alias(own), F.col("text_hash").alias(hashed)).distinct()
+    rows = docs.withColumn(hash_of_row, text_hash(text)).dropDuplicates([key, hash_of_row])
+    return rows.join(
+        kept, (F.col(hash_of_row) == F.col(hashed)) & F.col(key).eqNullSafe(F.col(own)), "left_semi").drop(hash_of_row)
