@@ -2,7 +2,8 @@
 
 A labelled table names the domain of some documents. A classifier made of SQL aggregates
 learns from them which word beginnings are significantly more frequent in the documents of
-a domain than elsewhere, and gives every document a posterior over the domains. Then every
+a domain than elsewhere; a logistic regression on the sums of their log odds gives every
+document a posterior over the domains. Then every
 document gets a nonnegative rate, the number of times it is to appear, so that the
 expected tokens of each domain, posterior times tokens times rate, match the targets.
 
@@ -16,8 +17,11 @@ the shared folder, so plans stay short.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 from math import log
 
+from pyspark.ml.classification import LogisticRegression
+from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame, functions as F
 
 from .common import durable, unused
@@ -37,19 +41,32 @@ def _beginnings(words: Column, buckets: int) -> Column:
         F.xxhash64(F.substring(w, 1, BEGINNING)), F.lit(buckets)).cast("int")))
 
 
-def word_weights(docs: DataFrame, labels: DataFrame, domains: Sequence[str], buckets: int = 1 << 16,
-                 per_domain: int = 10_000, least_z: float = 4.0, key: str = "doc_id", text: str = "text",
-                 domain: str = "domain") -> tuple[DataFrame, list[float]]:
-    """(_bucket, _w0, _w1, ...) and the log prior of each domain.
+@dataclass
+class Classifier:
+    """``weights`` has a row per telling bucket; evidence of domain d is ``base[d] + slopes[d] . sums of weights``."""
 
-    The weight of a bucket is its log odds ratio between the domain's documents and the
-    others, where it is ``least_z`` standard errors above zero, else 0; buckets without
-    any weight are left out, so there are at most ``buckets`` rows whatever the data.
+    weights: DataFrame
+    base: list[float]
+    slopes: list[list[float]]
+    buckets: int
 
-    Learners are rows of ``labels`` with a key of ``docs`` and a domain of ``domains``, about
-    ``per_domain`` of each by a hash of the key; of several labels of a key the first in
-    order of ``domains`` counts. Priors are the domains' shares of all labelled keys.
+
+def learn(docs: DataFrame, labels: DataFrame, domains: Sequence[str], buckets: int = 1 << 16,
+          per_domain: int = 10_000, least_z: float = 3.0, least_odds: float = 1.5, key: str = "doc_id", text: str = "text",
+          domain: str = "domain") -> Classifier:
+    """A classifier of ``domains`` from rows of ``labels`` with a key of ``docs``.
+
+    A bucket's weight for a domain is its log odds ratio between the domain's documents
+    and the others, where it is at least ``least_odds`` and ``least_z`` standard errors
+    above zero, else 0; buckets without any weight are left out, so there are at most
+    ``buckets`` rows whatever the data.
+
+    About ``per_domain`` keys of each domain learn, by a hash of the key; the regression
+    weighs them by the domains' shares of all labelled keys. Of several labels of a key the
+    first in order of ``domains`` counts. Without learners of two domains the posterior is
+    the shares alone.
     """
+    every = range(len(domains))
     order = F.array_position(F.array(*[F.lit(d) for d in domains]), F.col(domain).cast("string")).cast("int") - 1
     known = labels.filter(F.col(key).isNotNull() & F.col(domain).isNotNull()).select(F.col(key).alias("_key"), order.alias("_d"))
     known = known.filter("_d >= 0").groupBy("_key").agg(F.min("_d").alias("_d"))
@@ -60,46 +77,62 @@ def word_weights(docs: DataFrame, labels: DataFrame, domains: Sequence[str], buc
     learners = known.filter(F.pmod(F.xxhash64("_key", F.lit("mixing")), F.lit(1 << 30)) < share * (1 << 30))
     learned = durable(
         docs.select(F.col(key).alias("_key"), F.col(text)).join(F.broadcast(learners), "_key")  # bounded by per_domain
-        .select("_d", _beginnings(_words(text), buckets).alias("_buckets")), "mixing_learners")
+        .select("_key", "_d", _beginnings(_words(text), buckets).alias("_buckets")), "mixing_learners")
     sizes = {r["_d"]: r["n"] for r in learned.groupBy("_d").agg(F.count("*").alias("n")).collect()}
     everyone = sum(sizes.values())
     counts = learned.select("_d", F.explode("_buckets").alias("_bucket")).groupBy("_bucket").agg(
-        F.count("*").alias("_all"), *[F.count_if(F.col("_d") == d).alias(f"_n{d}") for d in range(len(domains))])
+        F.count("*").alias("_all"), *[F.count_if(F.col("_d") == d).alias(f"_n{d}") for d in every])
 
     def weight(d: int) -> Column:
         inside, outside = F.col(f"_n{d}") + 0.5, F.col("_all") - F.col(f"_n{d}") + 0.5
         odds = F.log(inside) - F.log(outside) + log((everyone - sizes.get(d, 0) + 1) / (sizes.get(d, 0) + 1))
-        return F.when(odds >= least_z * F.sqrt(1 / inside + 1 / outside), odds).otherwise(0.0).alias(f"_w{d}")
-
-    weighed = counts.select("_bucket", *[weight(d) for d in range(len(domains))])
-    weighed = weighed.filter(F.greatest(F.lit(0.0), *[F.col(f"_w{d}") for d in range(len(domains))]) > 0)
-    total = sum(many.values())
-    priors = [log((many.get(d, 0) + 0.5) / (total + 0.5 * len(domains))) for d in range(len(domains))]
-    return durable(weighed, "mixing_words"), priors
-
-
-def posteriors(docs: DataFrame, weights: DataFrame, priors: Sequence[float], buckets: int = 1 << 16,
-               key: str = "doc_id", text: str = "text") -> DataFrame:
+        telling = odds >= F.greatest(F.lit(least_odds), least_z * F.sqrt(1 / inside + 1 / outside))
+        return F.when(telling, odds).otherwise(0.0).alias(f"_w{d}")
+
+    weights = counts.select("_bucket", *[weight(d) for d in every])
+    weights = durable(weights.filter(F.greatest(F.lit(0.0), *[F.col(f"_w{d}") for d in every]) > 0), "mixing_words")
+    base = [log((many.get(d, 0) + 0.5) / (sum(many.values()) + 0.5 * len(domains))) for d in every]
+    slopes = [[0.0] * len(domains) for _ in every]
+    there = sorted(sizes)
+    if len(there) > 1:
+        spread = learned.select("_key", "_d", F.explode("_buckets").alias("_bucket")).join(F.broadcast(weights), "_bucket", "left")
+        sums = spread.groupBy("_key", "_d").agg(*[F.coalesce(F.sum(f"_w{d}"), F.lit(0.0)).alias(f"_s{d}") for d in every])
+        label, weigh = F.lit(0.0), F.lit(1.0)
+        for at, d in enumerate(there):
+            label = F.when(F.col("_d") == d, float(at)).otherwise(label)
+            weigh = F.when(F.col("_d") == d, many[d] / sizes[d]).otherwise(weigh)
+        rows = durable(sums.select(label.alias("label"), weigh.alias("weight"), *[f"_s{d}" for d in every]), "mixing_sums")
+        rows = VectorAssembler(inputCols=[f"_s{d}" for d in every], outputCol="features").transform(rows)
+        fitted = LogisticRegression(family="multinomial", weightCol="weight", regParam=1e-4, maxIter=60).fit(rows)
+        base = [-30.0] * len(domains)
+        for at, d in enumerate(there):
+            base[d] = float(fitted.interceptVector[at])
+            slopes[d] = [float(fitted.coefficientMatrix[at, e]) for e in every]
+    return Classifier(weights, base, slopes, buckets)
+
+
+def posteriors(docs: DataFrame, classifier: Classifier, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(_key, _hash, _n, tokens, _p0, _p1, ...) for every distinct (key, text), ``_n`` rows of each.
 
-    Tokens are words between white space. The evidence for a domain is its prior and the
-    weights of the document's distinct word beginnings; the softmax is the posterior. A
-    text without words has the prior and no tokens.
+    Tokens are words between white space. The posterior is the softmax of the evidence, to
+    which each distinct word beginning of the text counts once. A text without words has
+    no tokens and the posterior of a text without telling words.
     """
-    domains = range(len(priors))
+    domains = range(len(classifier.base))
     body, words = F.coalesce(F.col(text), F.lit("")), _words(text)
     rows = docs.select(F.col(key).alias("_key"), F.xxhash64(body).alias("_hash"), words.alias("_words")).select(
         "_key", "_hash", F.when(F.col("_words")[0] == "", 0).otherwise(F.size("_words")).alias("_tokens"),
-        F.posexplode(_beginnings(F.col("_words"), buckets)).alias("_at", "_bucket"))
+        F.posexplode(_beginnings(F.col("_words"), classifier.buckets)).alias("_at", "_bucket"))
     # at most one row per bucket, 65,536 by default, whatever the data
-    scored = rows.join(F.broadcast(weights), "_bucket", "left")
+    scored = rows.join(F.broadcast(classifier.weights), "_bucket", "left")
     sums = scored.groupBy("_key", "_hash").agg(
         F.count_if(F.col("_at") == 0).alias("_n"), F.max("_tokens").cast("long").alias("tokens"),
         *[F.coalesce(F.sum(f"_w{d}"), F.lit(0.0)).alias(f"_s{d}") for d in domains])
-    sums = sums.select("_key", "_hash", "_n", "tokens",
-                       *[(F.col(f"_s{d}") / F.col("_n") + priors[d]).alias(f"_s{d}") for d in domains])
-    top = F.array_max(F.array(*[F.col(f"_s{d}") for d in domains]))
-    parts = [F.exp(F.col(f"_s{d}") - top) for d in domains]
+    evidence = [sum((F.col(f"_s{e}") / F.col("_n") * slope for e, slope in enumerate(classifier.slopes[d])),
+                    F.lit(classifier.base[d])).alias(f"_e{d}") for d in domains]
+    sums = sums.select("_key", "_hash", "_n", "tokens", *evidence)
+    top = F.array_max(F.array(*[F.col(f"_e{d}") for d in domains]))
+    parts = [F.exp(F.col(f"_e{d}") - top) for d in domains]
     total = sum(parts[1:], parts[0])
     return sums.select("_key", "_hash", "_n", "tokens", *[(p / total).alias(f"_p{d}") for d, p in enumerate(parts)])
 
@@ -149,15 +182,16 @@ def mix(docs: DataFrame, labels: DataFrame, weights: dict[str, float], budget: f
     or down by a hash of key and text with the right chance. With ``floor`` 1 no document
     is lost.
 
-    Null keys are a key of their own; null, empty and blank texts have no tokens, the prior
-    as posterior and with it some rate. Repeated rows share one result row and count as
+    Null keys are a key of their own; null, empty and blank texts have no tokens, the
+    posterior of a text without known words and with it some rate. Repeated rows share one result row and count as
     often as they occur in the totals. Targets that the floor or ceiling forbids are
-    approached as near as these allow. An empty table gives no rows; without labels all
-    posteriors are even and the rates meet the budget alone.
+    approached as near as these allow, also where the posteriors do not let domains be told
+    apart. An empty table gives no rows; without labels all posteriors are even and the
+    rates meet the budget alone.
     """
     names = list(weights)
-    words, priors = word_weights(docs, labels, names, buckets, key=key, text=text, domain=domain)
-    members = durable(posteriors(docs, words, priors, buckets, key=key, text=text), "mixing_members")
+    classifier = learn(docs, labels, names, buckets, key=key, text=text, domain=domain)
+    members = durable(posteriors(docs, classifier, key, text), "mixing_members")
     total = members.agg(F.sum(F.col("tokens") * F.col("_n")).alias("t")).first()["t"] or 0
     whole = sum(weights.values())
     rated = rates(members, len(names), [budget * total * w / whole for w in weights.values()], floor, ceiling)

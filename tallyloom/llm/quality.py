@@ -93,7 +93,7 @@ def _widen(z: np.ndarray) -> np.ndarray:
 def fit(good: np.ndarray, bad: np.ndarray, pairs: int = 400_000, ridge: float = 1e-6, steps: int = 4000,
         seed: int = 7) -> Model:
     """Bradley-Terry weights from ``pairs`` random preferences of good over bad rows."""
-    both = np.concatenate([good, bad])
+    both = np.concatenate([good, bad]) if len(good) + len(bad) else np.zeros((1, good.shape[1]))
     mean, scale = both.mean(axis=0), both.std(axis=0)
     scale[scale == 0] = 1.0
     high, low = _widen((good - mean) / scale), _widen((bad - mean) / scale)

@@ -12,7 +12,7 @@ from __future__ import annotations
 
 from bisect import bisect_left
 from collections import deque
-from zlib import crc32
+from hashlib import blake2b
 
 from pyspark.sql import DataFrame, Window, functions as F
 
@@ -23,11 +23,16 @@ Run = tuple[int, int, int, int, int]
 
 
 def virtual_nodes(shards: int, each: int, cells: int) -> list[tuple[int, int]]:
-    """(cell, shard) of every virtual node in ring order; the lowest shard wins a shared cell."""
+    """(cell, shard) of every virtual node in ring order; one that meets a taken cell goes to the next free one."""
+    if shards * each > cells:
+        raise ValueError(f"{shards} shards of {each} virtual nodes need more than {cells} cells")
     taken: dict[int, int] = {}
     for shard in range(shards):
         for copy in range(each):
-            taken.setdefault(crc32(f"shard {shard} node {copy}".encode()) % cells, shard)
+            cell = int.from_bytes(blake2b(f"shard {shard} node {copy}".encode(), digest_size=8).digest()) % cells
+            while cell in taken:
+                cell = (cell + 1) % cells
+            taken[cell] = shard
     return sorted(taken.items())
 
 
