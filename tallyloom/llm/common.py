@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..session import scratch_path
 
@@ -16,6 +16,11 @@ from ..session import scratch_path
 BLANKS = b" \t\n\x0b\x0c\r"
 
 
+def small_batches(spark: SparkSession, most: str = "8m") -> None:
+    """Hand texts to Python in batches of so many bytes, however many rows these are."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", most)
+
+
 def durable(df: DataFrame, name: str) -> DataFrame:
     """Write a frame to the shared folder and read it back: lineage ends here, lost executors cost nothing."""
     path = scratch_path(df.sparkSession, name)
@@ -63,7 +68,7 @@ def unused(columns: Iterable[str], name: str) -> str:
 
 
 #: Odd multiplier of the word hash, and how many bytes one piece of a text may have.
-_PRIME, _PIECE = 0x9E3779B97F4A7C15 | 1, 1 << 22
+_PRIME, _PIECE = 0x9E3779B97F4A7C15 | 1, 1 << 20
 _tables: dict[str, np.ndarray] = {}
 
 
@@ -86,7 +91,7 @@ def word_hashes(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     """(64-bit hash of every word, number of words before each text and in all).
 
     Words are runs of bytes that are no ASCII blank; A-Z counts as a-z. Texts are pieces
-    of ``raw`` between ``offsets`` and are hashed together, a few megabytes at a time.
+    of ``raw`` between ``offsets`` and are hashed together, a megabyte at a time.
     """
     up, down, low, blanks = _powers()
     base, end = int(offsets[0]), int(offsets[-1])
@@ -134,7 +139,7 @@ def word_hashes(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     return np.concatenate(hashes), np.searchsorted(begin, offsets)
 
 
-def byte_blocks(batch: pa.RecordBatch, column: int, most: int = 1 << 23) -> Iterator[pa.RecordBatch]:
+def byte_blocks(batch: pa.RecordBatch, column: int, most: int = 1 << 22) -> Iterator[pa.RecordBatch]:
     """Slices of a batch with about ``most`` bytes in a column; a longer value is a slice alone."""
     sizes = np.cumsum(pc.binary_length(batch.column(column)).to_numpy(zero_copy_only=False), dtype=np.int64)
     at = 0

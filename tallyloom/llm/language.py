@@ -18,7 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from .common import byte_blocks, mix, utf8
+from .common import byte_blocks, mix, small_batches, utf8
 
 GRAM = 3
 _WINDOW = 1 << 20
@@ -148,6 +148,7 @@ def learn(docs: DataFrame, per_language: int = 2000, least_share: float = 0.01,
     At most (mean distinct n-grams per document) / ``least_share`` n-grams of a language
     can pass, which bounds what reaches the driver.
     """
+    small_batches(docs.sparkSession)
     known = docs.filter(F.col(lang).isNotNull() & F.col(text).isNotNull())
     rows = known.groupBy(F.col(lang).cast("string").alias("lang")).agg(F.count("*").alias("n")).collect()
     many = {r["lang"]: r["n"] for r in rows}
@@ -193,6 +194,7 @@ def identify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     most learners and score 0; equal votes go to the alphabetically first language. An
     empty table gives no rows.
     """
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     kept = [f for f in docs.schema if f.name.lower() not in ("lang_pred", "score")]
     out = T.StructType([*kept, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])

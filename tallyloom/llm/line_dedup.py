@@ -24,7 +24,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from .common import BLANKS, durable, unused, utf8
+from .common import BLANKS, durable, small_batches, unused, utf8
 
 #: Bits of one piece of a filter; pieces are merged apart.
 PIECE_BITS = 1 << 19
@@ -177,6 +177,7 @@ def dedup_lines(docs: DataFrame, least: int = 10, max_filter_bits: int = 1 << 29
     lose lines nor make others lose theirs. An empty table gives no rows.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     body = F.coalesce(F.col(text), F.lit(""))
     lines = docs.agg(F.sum((F.length(body) - F.length(F.replace(body, F.lit("\n"))) + 1)).alias("n")).first()["n"] or 0
     bits = 1 << max(13, min((16 * lines - 1).bit_length(), max_filter_bits.bit_length() - 1))

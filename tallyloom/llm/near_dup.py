@@ -24,7 +24,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from .common import byte_blocks, durable, mix, packed, unused, utf8, word_hashes
+from .common import byte_blocks, durable, mix, packed, small_batches, unused, utf8, word_hashes
 
 SYMBOLS, CHUNK, ERRORS = 80, 5, 1
 #: One less than what would spoil every chunk.
@@ -311,6 +311,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, key: str
     ``text_hash`` is Spark's xxhash64 of the text, null being empty. Other columns are
     ignored, and an empty table gives no rows.
     """
+    small_batches(docs.sparkSession)
     plain = docs.select(F.col(key).alias("_doc"), utf8(text).alias("_text"), text_hash(text).alias("text_hash"))
     out = T.StructType([T.StructField("_doc", docs.schema[key].dataType), T.StructField("text_hash", T.LongType()),
                         T.StructField("n_shingles", T.LongType()),

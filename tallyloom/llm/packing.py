@@ -23,16 +23,16 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window, functions as F, types as T
 
-from .common import byte_blocks, durable, packed
+from .common import byte_blocks, durable, packed, small_batches
 
-#: Words of at most so many bytes are remembered, so many of them per worker.
-_WORD_BYTES, _WORDS = 48, 900_000
+#: Words of at most so many bytes are remembered, two generations of about so many per worker.
+_WORD_BYTES, _WORDS = 48, 250_000
 #: Marks that may end a word; after an ASCII letter or digit they are tokens of their own.
 _MARKS = b".,!?;:"
 #: Letters that case folding and normalization leave alone.
 _PLAIN = re.compile(rb"(?:[a-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+")
 _tokenizers: dict[str, object] = {}
-_words: dict[str, dict[bytes, bytes]] = {}
+_words: dict[str, tuple[dict[bytes, bytes], dict[bytes, bytes]]] = {}
 
 
 def _tokenizer(path: str) -> tuple:
@@ -70,8 +70,16 @@ def _encode_words(words: list[bytes], path: str) -> list[bytes]:
 
 def _ids_of(words: list[bytes], path: str) -> list[bytes]:
     """Ids of distinct words, most of them remembered."""
-    known = _words.setdefault(path, {})
+    known, older = _words.get(path, ({}, {}))
+    if len(known) > _WORDS:
+        known, older = {}, known
+    _words[path] = known, older
     ids = list(map(known.get, words))
+    if older:
+        again = [at for at, x in enumerate(ids) if x is None]
+        for at, found in zip(again, map(older.get, map(words.__getitem__, again)), strict=True):
+            if found is not None:
+                known[words[at]] = ids[at] = found
     missing = [at for at, x in enumerate(ids) if x is None]
     stems = [word.rstrip(_MARKS) if word[-1:] in _MARKS else word for word in (words[at] for at in missing)]
     cut = [stem if stem[-1:].isalnum() else words[at] for stem, at in zip(stems, missing, strict=True)]
@@ -81,8 +89,6 @@ def _ids_of(words: list[bytes], path: str) -> list[bytes]:
     for stem, at in zip(cut, missing, strict=True):
         word = words[at]
         ids[at] = (found.get(stem) or known.get(stem, b"")) + found[word[len(stem):]]
-    if len(known) + 2 * len(missing) > _WORDS:
-        known.clear()
     known.update((w, x) for w, x in found.items() if len(w) <= _WORD_BYTES)
     known.update((words[at], ids[at]) for at in missing if len(words[at]) <= _WORD_BYTES)
     return ids
@@ -117,7 +123,7 @@ def _cut(path: str, capacity: int, end: int, ids: bool) -> Callable:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in byte_blocks(whole, 1, 1 << 24):
+            for batch in byte_blocks(whole, 1, 1 << 23):
                 rows, numbers, starts, lengths, sums, bodies = [], [], [], [], [], []
                 for row, tokens in enumerate(encode(batch.column(1), path)):
                     tokens += last
@@ -147,6 +153,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = 2048, end: int = 0,
     Returns doc_id, piece, start, length, ids_crc32, and with ``ids`` the token ids.
     A null or empty text is the single id ``end``. Each row of ``docs`` is cut for itself.
     """
+    small_batches(docs.sparkSession)
     out = T.StructType([
         T.StructField("doc_id", docs.schema[key].dataType), T.StructField("piece", T.IntegerType()),
         T.StructField("start", T.LongType()), T.StructField("length", T.LongType()),

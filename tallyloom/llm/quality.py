@@ -18,7 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from .common import byte_blocks, packed, utf8, word_hashes
+from .common import byte_blocks, packed, small_batches, utf8, word_hashes
 
 #: Kinds of bytes a text is counted by.
 KINDS = {
@@ -39,8 +39,8 @@ def features(raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     for at, kind in enumerate(KINDS.values()):
         table = np.zeros(256, np.uint8)
         table[list(kind)] = 1
-        for begin in range(int(offsets[0]), int(offsets[-1]), 1 << 22):
-            end = min(begin + (1 << 22), int(offsets[-1]))
+        for begin in range(int(offsets[0]), int(offsets[-1]), 1 << 20):
+            end = min(begin + (1 << 20), int(offsets[-1]))
             total = np.concatenate([[0], np.cumsum(table[raw[begin:end]], dtype=np.int64)])
             inside = np.clip(offsets, begin, end) - begin
             counts[at] += total[inside[1:]] - total[inside[:-1]]
@@ -152,6 +152,7 @@ def learn(docs: DataFrame, labels: DataFrame, per_label: int = 20_000, key: str
     0 and 1 and null keys or labels are ignored; of several labels of a key the largest
     counts. Without learners of both labels every document gets the one score.
     """
+    small_batches(docs.sparkSession)
     known = labels.filter(F.col(key).isNotNull() & F.col(label).isin(0, 1)).groupBy(F.col(key).alias("_key")).agg(
         F.max(label).cast("int").alias("_label"))
     many = {r["_label"]: r["n"] for r in known.groupBy("_label").agg(F.count("*").alias("n")).collect()}
@@ -186,6 +187,7 @@ def classify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     zero and get a score like any other text. Rows are scored one by one: repeated rows
     get equal scores, and an empty table gives no rows.
     """
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     kept = [f for f in docs.schema if f.name.lower() not in ("score", "predicted")]
     out = T.StructType([*kept, T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())])

@@ -32,7 +32,7 @@ from pyspark.sql.datasource import (
     StringStartsWith, WriterCommitMessage,
 )
 
-from .common import durable, utf8
+from .common import durable, small_batches, utf8
 
 SCHEMA = ("record_id string, record_type string, target_uri string, date string, payload_digest string, "
           "payload_bytes long, refers_to string, headers map<string,string>, payload binary")
@@ -349,6 +349,7 @@ class WarcSource(DataSource):
 
 def register(spark: SparkSession) -> None:
     """Make the format known and let predicates reach it."""
+    small_batches(spark)
     spark.dataSource.register(WarcSource)
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
 
