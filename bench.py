@@ -16,7 +16,7 @@ import time
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 from tallyloom import plans  # noqa: E402
-from tallyloom.session import local_session  # noqa: E402
+from tallyloom.session import drop_scratch, local_session  # noqa: E402
 
 HEADLINE = [
     "error_rate", "counter_increase", "counter_rate", "rate_5m", "range_query", "sum_by", "topk_per_step",
@@ -45,6 +45,7 @@ def main() -> None:
             plans.QUERIES[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
             if run:
                 taken.append(time.perf_counter() - started)
+            drop_scratch(spark)
         timings[name] = round(statistics.median(taken), 3)
         print(f"{name} {timings[name]}", file=sys.stderr, flush=True)
     spark.stop()

@@ -6,7 +6,10 @@ import re
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import StringType, StructType
+
+#: ISO 8601 times, with or without parts of a second.
+ISO_TIME = "yyyy-MM-dd'T'HH:mm:ss[.SSSSSS]"
 
 
 def typed_props(
@@ -66,3 +69,28 @@ def stable_id(columns: Sequence[str | Column]) -> Column:
         for c in columns
     ]
     return F.substring(F.sha2(F.concat_ws("|", *texts).cast("binary"), 256), 1, 16)
+
+
+def json_error(value: str | Column, schema: str | StructType) -> tuple[Column, Column]:
+    """(payload typed by ``schema``, why it is not: null, missing_payload, malformed_json or wrong_type).
+
+    A payload is good if it is exactly one JSON object whose fields fit. Text behind the
+    object, a second object or an array make it malformed; a field of another type makes
+    it ``wrong_type``. The text is read inside an array and inside an object: what ends
+    the one early does not end the other.
+    """
+    text = F.col(value) if isinstance(value, str) else value
+    fields = schema if isinstance(schema, StructType) else StructType.fromDDL(schema)
+    corrupt = "_corrupt_record"
+    options = {"columnNameOfCorruptRecord": corrupt, "mode": "PERMISSIVE",
+               "timestampFormat": ISO_TIME, "timestampNTZFormat": ISO_TIME}
+    parsed = F.from_json(text, StructType(fields.fields).add(corrupt, StringType()), options)
+    listed = F.from_json(F.concat(F.lit("["), text, F.lit("]")), "array<string>")
+    held = F.from_json(F.concat(F.lit('{"r":'), text, F.lit("}")), f"r string, {corrupt} string", options)
+    one = (F.size(listed) == 1) & held[corrupt].isNull() & F.ltrim(held["r"]).startswith("{")
+    error = (
+        F.when(text.isNull() | (F.trim(text) == ""), "missing_payload")
+        .when(~F.coalesce(one, F.lit(False)), "malformed_json")
+        .when(parsed[corrupt].isNotNull(), "wrong_type")
+    )
+    return parsed, error

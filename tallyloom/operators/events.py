@@ -44,13 +44,14 @@ def label_cardinality(
 ) -> DataFrame:
     """Distinct values per label and whether they exceed the limit.
 
-    ``labels`` is a list of label columns or the name of a label map. Columns are
-    first reduced to distinct label sets, so samples are never multiplied.
+    ``labels`` is a list of label columns or the name of a label map. Each task reduces
+    its samples to distinct (label, value) pairs, and only these are shuffled: one label
+    without bound does not make the others travel with it.
     """
     if isinstance(labels, str):
         pairs = samples.select(F.explode(labels).alias("label", "label_value"))
     else:
-        series = samples.select(*[label(n).alias(n) for n in labels]).distinct()
+        series = samples.select(*[label(n).alias(n) for n in labels])
         pairs = series.select(F.explode(F.array(*[
             F.struct(F.lit(n).alias("label"), F.col(n).alias("label_value")) for n in labels
         ])).alias("_p")).select("_p.*").filter("label_value <> ''")

@@ -23,13 +23,17 @@ def ridge(
 
     Minimises the squared error plus ``alpha`` times the squared coefficients; the
     intercept is not penalised. One pass gathers the means and covariances of the
-    training part; only these few numbers reach the driver.
+    training part; only these few numbers reach the driver. Rows that lack a feature, the
+    label or the part they belong to are left out of everything and counted as ``left_out``.
     """
     rows = df.select(*[F.col(f).cast("double").alias(f) for f in features],
                      F.col(label).cast("double").alias("_y"), test.alias("_test"))
     columns = [*features, "_y"]
     pairs = [(i, j) for i in range(len(features)) for j in range(i, len(columns))]
-    moments = rows.filter(~F.col("_test")).agg(
+    complete = F.col("_test").isNotNull()
+    for c in columns:
+        complete = complete & F.col(c).isNotNull()
+    moments = rows.filter(complete & ~F.col("_test")).agg(
         F.count(F.lit(1)).alias("n"),
         *[F.avg(c).alias(f"m{i}") for i, c in enumerate(columns)],
         *[F.covar_pop(columns[i], columns[j]).alias(f"c{i}_{j}") for i, j in pairs],
@@ -49,11 +53,12 @@ def ridge(
         Column.__add__, [F.col(f) * F.lit(w) for f, w in zip(features, weights)], F.lit(float(intercept)))
     error = F.col("_y") - predicted
     return rows.agg(
-        F.count_if(~F.col("_test")).alias("train_rows"),
-        F.count_if("_test").alias("test_rows"),
-        F.avg(F.when(F.col("_test"), error * error)).alias("mse"),
+        F.count_if(complete & ~F.col("_test")).alias("train_rows"),
+        F.count_if(complete & F.col("_test")).alias("test_rows"),
+        F.count_if(~complete).alias("left_out"),
+        F.avg(F.when(complete & F.col("_test"), error * error)).alias("mse"),
     ).select(
-        "train_rows", "test_rows", F.lit(float(intercept)).alias("intercept"),
+        "train_rows", "test_rows", "left_out", F.lit(float(intercept)).alias("intercept"),
         *[F.lit(w).alias(f"coef_{f}") for f, w in zip(features, weights)], "mse",
     )
 

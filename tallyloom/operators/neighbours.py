@@ -9,10 +9,7 @@ from functools import reduce
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
-
-# A query batch larger than this is answered in several blocks, each broadcast on its own.
-BLOCK_BYTES = 64 * 1024 * 1024
-
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 def centroids(table: DataFrame, label: str, vector: str, dimensions: int) -> DataFrame:
     """Mean vector per label, averaged before the shuffle."""
@@ -33,75 +30,80 @@ def _best(similarity: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray,
     return similarity[order], ids[order]
 
 
+def _names(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
+    """Row ids as an array that sorts: numbers as they are, anything else as text."""
+    if pa.types.is_integer(column.type):
+        return column.to_numpy(zero_copy_only=False) if isinstance(column, pa.Array) else column.to_numpy()
+    return np.array([str(v) for v in column.to_pylist()], dtype=str)
+
+
 def _block_knn(table: DataFrame, block: DataFrame, k: int, row_id: str, query_id: str, vector: str,
-               id_type: str, query_type: str) -> DataFrame:
-    rows = block.collect()
-    names = [row[query_id] for row in rows]
-    matrix = np.array([row[vector] for row in rows], dtype="float64")
+               dimensions: int) -> DataFrame:
+    rows = block.toArrow()
+    flat = rows.column(vector).combine_chunks().flatten().to_numpy(zero_copy_only=False)
+    matrix = flat.astype("float64").reshape(rows.num_rows, dimensions)
     norms = np.linalg.norm(matrix, axis=1)
-    matrix = matrix[norms > 0] / norms[norms > 0][:, None]
-    names = [name for name, norm in zip(names, norms) if norm > 0]
-    shared = table.sparkSession.sparkContext.broadcast((matrix, [str(name) for name in names]))
-    dimensions = matrix.shape[1]
+    names = rows.column("_query").filter(pa.array(norms > 0)).combine_chunks()
+    shared = table.sparkSession.sparkContext.broadcast((matrix[norms > 0] / norms[norms > 0][:, None], names))
+    usable = table.filter(
+        F.col(row_id).isNotNull() & (F.size(vector) == dimensions) & ~F.exists(vector, lambda x: x.isNull())
+    ).select(F.col(row_id).alias("_row"), vector)
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         queries, query_names = shared.value
-        found = [(np.empty(0), np.empty(0, dtype="int64"))] * len(queries)
+        found: list[tuple[np.ndarray, np.ndarray] | None] = [None] * len(queries)
+        kind = None
         for batch in batches:
-            ids = batch.column(0).to_numpy(zero_copy_only=False)
-            flat = batch.column(1).flatten().to_numpy(zero_copy_only=False)
-            vectors = flat.astype("float64").reshape(-1, dimensions)
+            kind = batch.schema.field(0).type
+            ids = _names(batch.column(0))
+            vectors = batch.column(1).flatten().to_numpy(zero_copy_only=False).astype("float64").reshape(-1, dimensions)
             lengths = np.linalg.norm(vectors, axis=1)
             real = lengths > 0
             ids, vectors = ids[real], vectors[real] / lengths[real][:, None]
             for i, similarity in enumerate(queries @ vectors.T):
-                held, held_ids = found[i]
-                found[i] = _best(np.concatenate([held, similarity]), np.concatenate([held_ids, ids]), k)
-        named = [name for name, f in zip(query_names, found) for _ in range(len(f[1]))]
+                if found[i] is not None:
+                    similarity = np.concatenate([found[i][0], similarity])
+                found[i] = _best(similarity, ids if found[i] is None else np.concatenate([found[i][1], ids]), k)
+        if kind is None or not len(queries):
+            return
+        sizes = [len(f[1]) for f in found]
         yield pa.RecordBatch.from_arrays(
-            [
-                pa.array(named, pa.string()),
-                pa.array(np.concatenate([f[1] for f in found]).astype("int64")),
-                pa.array(np.concatenate([f[0] for f in found])),
-            ],
-            names=["_query", row_id, "similarity"],
-        )
+            [query_names.take(pa.array(np.repeat(np.arange(len(queries)), sizes))),
+             pa.array(np.concatenate([f[1] for f in found]).tolist()).cast(kind),
+             pa.array(np.concatenate([f[0] for f in found]))], names=["_query", "_row", "similarity"])
 
-    usable = table.filter(
-        (F.size(vector) == dimensions) & ~F.exists(vector, lambda x: x.isNull())
-    ).select(F.col(row_id).cast("long").alias(row_id), vector)
-    local = usable.mapInArrow(search, f"_query string, {row_id} long, similarity double")
-    order = Window.partitionBy("_query").orderBy(F.col("similarity").desc(), row_id)
+    out = StructType([block.schema["_query"], usable.schema["_row"], StructField("similarity", DoubleType())])
+    local = usable.mapInArrow(search, out)
+    order = Window.partitionBy("_query").orderBy(F.col("similarity").desc(), "_row")
     return (
         local.withColumn("rank", F.row_number().over(order))
         .filter(F.col("rank") <= k)
-        .select(F.col("_query").cast(query_type).alias(query_id), F.col(row_id).cast(id_type).alias(row_id),
-                "rank", "similarity")
+        .select(F.col("_query").alias(query_id), F.col("_row").alias(row_id), "rank", "similarity")
     )
 
 
 def knn(
     table: DataFrame, queries: DataFrame, k: int, row_id: str = "vec_id",
-    query_id: str = "query_id", vector: str = "embedding",
+    query_id: str = "query_id", vector: str = "embedding", block: int = 4096,
 ) -> DataFrame:
     """``k`` nearest rows for every query: ``query_id``, ``row_id``, ``rank``, ``similarity``.
 
-    The table stays where it is: each task compares its rows with the whole query
-    batch and sends on ``k`` candidates per query. The batch is sized first; if it
-    is over ``BLOCK_BYTES`` it is split by a hash of its id and each block is
-    answered in a pass of its own.
+    The table stays where it is: each task compares its rows with a block of queries and
+    sends on ``k`` candidates per query. Queries are cut into blocks of about ``block`` by a
+    hash of their id; each block is a broadcast of that many vectors and a pass over the
+    table, so ``block`` times the vector size is what the driver holds.
+
+    Vectors have to be of one length, that of the longest query. Queries and rows of
+    another length, without an id, null, all zero or with null components take no part.
+    Without queries there are no rows. Ids keep their type; equal similarity goes to the
+    smaller id, and ids that are no integers compare as text.
     """
-    size = queries.agg(
-        F.count(F.lit(1)).alias("n"), F.coalesce(F.max(F.size(vector)), F.lit(0)).alias("d")
-    ).first()
-    blocks = max(1, math.ceil(size["n"] * size["d"] * 8 / BLOCK_BYTES))
-    id_type = table.schema[row_id].dataType.simpleString()
-    query_type = queries.schema[query_id].dataType.simpleString()
-    chosen = queries.select(query_id, vector).filter(F.col(vector).isNotNull())
-    if blocks == 1:
-        return _block_knn(table, chosen, k, row_id, query_id, vector, id_type, query_type)
-    in_block = F.pmod(F.xxhash64(query_id), F.lit(blocks))
+    found = queries.filter(F.col(query_id).isNotNull() & F.col(vector).isNotNull()
+                           & ~F.exists(vector, lambda x: x.isNull()))
+    size = found.agg(F.coalesce(F.max(F.size(vector)), F.lit(0)).alias("d")).first()["d"]
+    chosen = found.filter(F.size(vector) == size).select(F.col(query_id).alias("_query"), vector)
+    blocks = max(1, math.ceil(chosen.count() / block))
+    in_block = F.pmod(F.xxhash64("_query"), F.lit(blocks))
     return reduce(DataFrame.unionByName, [
-        _block_knn(table, chosen.filter(in_block == b), k, row_id, query_id, vector, id_type, query_type)
-        for b in range(blocks)
+        _block_knn(table, chosen.filter(in_block == b), k, row_id, query_id, vector, size) for b in range(blocks)
     ])

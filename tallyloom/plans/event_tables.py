@@ -49,9 +49,16 @@ def price_median(spark: SparkSession, sf_dir: str) -> DataFrame:
     return profile.withColumn("median", F.round("median", 6))
 
 
-@query()
+@query("SELECT event_type, count(*) AS events, true AS within FROM events GROUP BY 1")
 def latency_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ev.latency_profile(table(spark, sf_dir, "events"), ["event_type"], "value", exact=False)
+    """Whether the rank of the sketched quantile is within a hundredth of 0.95."""
+    events = table(spark, sf_dir, "events")
+    sketch = ev.latency_profile(events, ["event_type"], "value", exact=False).select("event_type", "p95")
+    ranked = events.join(sketch, "event_type").groupBy("event_type").agg(
+        F.count(F.lit(1)).alias("events"), F.count_if(F.col("value") < F.col("p95")).alias("_below"),
+        F.count_if(F.col("value") <= F.col("p95")).alias("_up_to"))
+    within = (F.col("_below") <= 0.96 * F.col("events")) & (F.col("_up_to") >= 0.94 * F.col("events"))
+    return ranked.select("event_type", "events", within.alias("within"))
 
 
 @query("""SELECT o_orderpriority, count(*) AS rows,

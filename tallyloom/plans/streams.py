@@ -13,8 +13,6 @@ from .inputs import COMMITS_SQL, LOG_SQL, table
 
 _PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 _ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-# no event is older than this against the newest one
-_WHOLE_RANGE = "40 days"
 
 
 @contextmanager
@@ -27,17 +25,28 @@ def _rocksdb(spark: SparkSession):
         spark.conf.set(_PROVIDER, before)
 
 
-def _event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = f"{sf_dir}/events.parquet"
-    return logs.stream_files(spark, path, spark.read.parquet(path).schema)
+def _event_stream(spark: SparkSession, sf_dir: str, parts: int = 3) -> DataFrame:
+    """The events as files that came one after another, a batch for each."""
+    events = table(spark, sf_dir, "events")
+    source = scratch_path(spark, "source")
+    top = events.agg(F.max("event_id").alias("m")).scalar()
+    for part in range(parts):
+        inside = F.least(F.floor(F.col("event_id") * parts / (top + 1)), F.lit(parts - 1)) == part
+        events.filter(inside).write.mode("append").parquet(source)
+    return logs.stream_files(spark, source, events.schema, max_files=1)
+
 
+def _whole_range(spark: SparkSession, sf_dir: str) -> str:
+    """A watermark that no event is behind."""
+    span = table(spark, sf_dir, "events").agg(F.datediff(F.max("ts"), F.min("ts"))).first()[0]
+    return f"{(span or 0) + 1} days"
 
-def _run(spark: SparkSession, stream: DataFrame, mode: str = "append", source: str | None = None) -> str:
+
+def _run(spark: SparkSession, stream: DataFrame, mode: str = "append", checkpoint: str | None = None) -> str:
     """Run to the end into an idempotent sink; returns the sink's path."""
     path = scratch_path(spark, "sink")
     sinks.run_available(
-        stream, scratch_path(spark, "checkpoint"), sinks.idempotent_sink(path), mode,
-        partitions=sinks.state_partitions(spark, source) if source else None)
+        stream, checkpoint or scratch_path(spark, "checkpoint"), sinks.idempotent_sink(path), mode)
     return path
 
 
@@ -76,13 +85,33 @@ def read_log_from_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
 def read_log_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """From the end: only the record added to each partition afterwards is seen."""
     path, stored = _stored_log(spark, sf_dir)
-    stream = logs.read_log(spark, path, stored.schema, "latest")
-    added = stored.groupBy("partition").agg((F.max("offset") + 1).alias("offset")).select(
+    checkpoint = scratch_path(spark, "checkpoint")
+    stream = logs.read_log(spark, path, stored.schema, "latest", checkpoint=checkpoint)
+    _append_to_log(stored, path, 1)
+    return sinks.appended(spark, _run(spark, stream.select("partition", "offset"), checkpoint=checkpoint))
+
+
+def _append_to_log(stored: DataFrame, path: str, ahead: int) -> None:
+    """One more record for each partition, ``ahead`` of what ``stored`` held."""
+    added = stored.groupBy("partition").agg((F.max("offset") + ahead).alias("offset")).select(
         F.lit("events").alias("topic"), "partition", "offset", F.lit(-1).cast("long").alias("key"),
         F.lit("{}").alias("value"), F.lit("2024-01-31 00:00:00").cast("timestamp_ntz").alias("timestamp"),
         F.lit(-1).cast("long").alias("event_id"))
     added.write.mode("append").parquet(path)
-    return sinks.appended(spark, _run(spark, stream.select("partition", "offset")))
+
+
+@query(f"""WITH {LOG_SQL}, last AS (SELECT "partition", max("offset") AS o FROM log GROUP BY 1)
+SELECT "partition", o + n AS "offset" FROM last, range(1, 4) AS r(n)""")
+def read_log_latest_restart(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """From the end, stopped and started twice: what came in between is read as well."""
+    path, stored = _stored_log(spark, sf_dir)
+    checkpoint, sink = scratch_path(spark, "checkpoint"), scratch_path(spark, "sink")
+    for ahead in (0, 1, 1, 1):
+        if ahead:
+            _append_to_log(spark.read.parquet(path), path, ahead)
+        stream = logs.read_log(spark, path, stored.schema, "latest", checkpoint=checkpoint)
+        sinks.run_available(stream.select("partition", "offset"), checkpoint, sinks.idempotent_sink(sink))
+    return sinks.appended(spark, sink)
 
 
 _WINDOWS_SQL = """SELECT user_id, time_bucket(INTERVAL 5 MINUTE, ts) AS window_start,
@@ -91,9 +120,13 @@ _WINDOWS_SQL = """SELECT user_id, time_bucket(INTERVAL 5 MINUTE, ts) AS window_s
 
 @query(_WINDOWS_SQL)
 def stream_windowed_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    counts = stateful.windowed_counts(_event_stream(spark, sf_dir), "5 minutes", ["user_id"])
-    path = _run(spark, counts, "update", f"{sf_dir}/events.parquet")
-    return sinks.sink_table(spark, path, ["user_id", "window_start", "window_end"])
+    sink = scratch_path(spark, "sink")
+    _in_order(
+        spark, sf_dir,
+        [lambda e: F.col("event_id") < _split_at(e), lambda e: F.col("event_id") >= _split_at(e)],
+        lambda stream: stateful.windowed_counts(stream, "5 minutes", ["user_id"]),
+        "update", scratch_path(spark, "checkpoint"), sink)
+    return sinks.sink_table(spark, sink, ["user_id", "window_start", "window_end"])
 
 
 def _split_at(events: DataFrame):
@@ -102,21 +135,22 @@ def _split_at(events: DataFrame):
     return F.floor((top + 1) * 6 / 10)
 
 
-def _in_order(spark: SparkSession, sf_dir: str, parts: list, job, mode: str, checkpoint: str, sink: str) -> list:
+def _in_order(spark: SparkSession, sf_dir: str, parts: list, job, mode: str, checkpoint: str, sink: str) -> None:
     """Add one part of the events at a time and run the job after each, on one checkpoint."""
     events = table(spark, sf_dir, "events")
     source = scratch_path(spark, "source")
-    size = sinks.state_partitions(spark, f"{sf_dir}/events.parquet")
-    finished = []
     for part in parts:
         events.filter(part(events)).write.mode("append").parquet(source)
         stream = logs.stream_files(spark, source, events.schema)
-        finished.append(sinks.run_available(
-            job(stream), checkpoint, sinks.idempotent_sink(sink), mode, size))
-    return finished
+        sinks.run_available(job(stream), checkpoint, sinks.idempotent_sink(sink), mode)
 
 
 _LATE, _ON_TIME = "event_id % 97 = 0", "event_id % 97 <> 0"
+_LATE_LAST = [
+    lambda e: F.expr(_ON_TIME) & (F.col("event_id") < _split_at(e)),
+    lambda e: F.expr(_ON_TIME) & (F.col("event_id") >= _split_at(e)),
+    lambda e: F.expr(_LATE),
+]
 
 
 @query("""WITH e AS (SELECT *, event_id % 97 = 0 AS late FROM events),
@@ -128,15 +162,26 @@ def stream_late_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Late rows come last; those whose window the watermark has closed are not counted."""
     sink = scratch_path(spark, "sink")
     _in_order(
-        spark, sf_dir,
-        [lambda e: F.expr(_ON_TIME) & (F.col("event_id") < _split_at(e)),
-         lambda e: F.expr(_ON_TIME) & (F.col("event_id") >= _split_at(e)),
-         lambda e: F.expr(_LATE)],
-        lambda stream: stateful.windowed_counts(stream, "5 minutes", ["event_type"]),
+        spark, sf_dir, _LATE_LAST, lambda stream: stateful.windowed_counts(stream, "5 minutes", ["event_type"]),
         "update", scratch_path(spark, "checkpoint"), sink)
     return sinks.sink_table(spark, sink, ["event_type", "window_start", "window_end"])
 
 
+@query("""WITH e AS (SELECT *, event_id % 97 = 0 AS late FROM events),
+m AS (SELECT max(ts) FILTER (WHERE NOT late) - INTERVAL 1 HOUR AS watermark FROM e)
+SELECT count(*) AS late_rows FROM e, m
+WHERE late AND time_bucket(INTERVAL 5 MINUTE, ts) + INTERVAL 5 MINUTE <= watermark""")
+def late_row_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows that ``stream_late_rows`` drops, most of them several to a window."""
+    events = table(spark, sf_dir, "events")
+    source, checkpoint, path = (scratch_path(spark, n) for n in ("source", "checkpoint", "late"))
+    for part in _LATE_LAST:
+        events.filter(part(events)).write.mode("append").parquet(source)
+        counted = sinks.late_rows(
+            logs.stream_files(spark, source, events.schema), checkpoint, path, "5m", watermark="1h")
+    return counted
+
+
 @query(_WINDOWS_SQL.replace("user_id", "event_type"))
 def stream_restart(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Stopped after part of the input and started again: counts and position go on together."""
@@ -153,9 +198,8 @@ def stream_restart(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stream_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     stream = _event_stream(spark, sf_dir)
     copies = _event_stream(spark, sf_dir).filter("event_id % 10 = 0")
-    once = stateful.dedup(stream.unionByName(copies), "event_id", _WHOLE_RANGE)
-    return sinks.appended(spark, _run(
-        spark, once.select("event_id", "event_type", "value"), source=f"{sf_dir}/events.parquet"))
+    once = stateful.dedup(stream.unionByName(copies), "event_id", _whole_range(spark, sf_dir))
+    return sinks.appended(spark, _run(spark, once.select("event_id", "event_type", "value")))
 
 
 @query("""SELECT event_id, user_id, c_mktsegment FROM events LEFT JOIN customer ON user_id = c_custkey""")
@@ -174,9 +218,9 @@ def stream_enrich_moving(spark: SparkSession, sf_dir: str) -> DataFrame:
     bought = stream.filter("event_type = 'purchase'").select("event_id", "user_id", "ts")
     clicks = stream.filter("event_type = 'click'").select(
         F.col("event_id").alias("click_id"), "user_id", F.col("ts").alias("click_ts"))
-    paired = stateful.enrich_moving(bought, clicks, "user_id", "ts", "click_ts", "10m")
-    return sinks.appended(spark, _run(
-        spark, paired.select("event_id", "click_id"), source=f"{sf_dir}/events.parquet"))
+    paired = stateful.enrich_moving(
+        bought, clicks, "user_id", "ts", "click_ts", "10m", watermark=_whole_range(spark, sf_dir))
+    return sinks.appended(spark, _run(spark, paired.select("event_id", "click_id")))
 
 
 @query("""SELECT user_id AS key, min(ts) AS ts, arg_min(event_id, ts) AS id FROM events
@@ -185,17 +229,35 @@ def stream_first_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     with _rocksdb(spark):
         first = stateful.first_match(
             _event_stream(spark, sf_dir), "user_id", F.col("event_type") == "purchase", "event_id")
-        path = _run(spark, first, source=f"{sf_dir}/events.parquet")
+        path = _run(spark, first)
+    return sinks.appended(spark, path)
+
+
+@query("""WITH RECURSIVE m AS (SELECT user_id, ts, event_id FROM events WHERE event_type = 'purchase'),
+said(user_id, ts, event_id) AS (
+  SELECT user_id, ts, event_id FROM m QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) = 1
+  UNION ALL
+  SELECT user_id, n.ts, n.event_id FROM (
+    SELECT m.user_id, m.ts, m.event_id, row_number() OVER (PARTITION BY m.user_id ORDER BY m.ts, m.event_id) AS r
+    FROM said s JOIN m ON m.user_id = s.user_id AND m.ts >= s.ts + INTERVAL 1 DAY) AS n WHERE n.r = 1)
+SELECT user_id AS key, ts, event_id AS id FROM said""")
+def stream_first_match_ttl(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A user's purchases, none within a day of the one before it that was handed on."""
+    with _rocksdb(spark):
+        first = stateful.first_match(
+            _event_stream(spark, sf_dir), "user_id", F.col("event_type") == "purchase", "event_id", ttl="1d",
+            watermark=_whole_range(spark, sf_dir))
+        path = _run(spark, first)
     return sinks.appended(spark, path)
 
 
 def _dead_letters(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     path, stored = _stored_log(spark, sf_dir, broken=True)
-    good, dead = scratch_path(spark, "good"), scratch_path(spark, "dead")
+    letters = scratch_path(spark, "letters")
     sinks.run_available(
-        logs.read_log(spark, path, stored.schema), scratch_path(spark, "checkpoint"),
-        sinks.dead_letter_sink("k int", good, dead))
-    return sinks.appended(spark, good), sinks.appended(spark, dead)
+        logs.read_log(spark, path, stored.schema, max_files=1), scratch_path(spark, "checkpoint"),
+        sinks.dead_letter_sink("k int", letters))
+    return sinks.stored_letters(spark, letters, "k int")
 
 
 @query(f"""WITH {LOG_SQL} SELECT 'events' AS topic, "partition", "offset", key, "timestamp", event_id,
@@ -220,6 +282,18 @@ def idempotent_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sinks.appended(spark, path)
 
 
+@query("""SELECT event_id % 1000 AS id, max(event_id) AS event_id, arg_max(value, event_id) AS value
+FROM events GROUP BY 1""")
+def keyed_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per key, the latest, also after all of it is read again on a new checkpoint."""
+    path = scratch_path(spark, "keyed")
+    stream = _event_stream(spark, sf_dir).select((F.col("event_id") % 1000).alias("id"), "event_id", "value")
+    for _ in range(2):
+        sinks.run_available(stream, scratch_path(spark, "checkpoint"),
+                            sinks.idempotent_sink(path, ["id"], ["event_id"], buckets=8))
+    return sinks.keyed_table(spark, path)
+
+
 @query(f"""WITH {LOG_SQL}, last AS (SELECT * FROM log QUALIFY row_number() OVER (
   PARTITION BY key ORDER BY "timestamp" DESC, "partition" DESC, "offset" DESC) = 1)
 SELECT key, "timestamp", "offset", value FROM last WHERE event_id % 5 <> 0""")

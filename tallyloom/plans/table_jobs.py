@@ -185,6 +185,55 @@ def retention_trim(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(path).groupBy("event_date").agg(F.count(F.lit(1)).alias("rows"))
 
 
+@query("""SELECT CAST(strftime(ts, '%Y%m') AS INTEGER) AS event_month, count(*) AS rows FROM (
+  SELECT ts FROM events UNION ALL SELECT ts - INTERVAL 40 DAY FROM events) WHERE ts >= TIMESTAMP '2024-01-01' GROUP BY 1""")
+def retention_trim_month(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events of this month and earlier ones, by month; months that ended before it go."""
+    path = scratch_path(spark, "retained")
+    events = table(spark, sf_dir, "events")
+    earlier = events.withColumn("ts", F.col("ts") - F.expr("interval 40 days"))
+    tables.write_events(events.unionByName(earlier), path, "month")
+    tables.retention_trim(spark, path, "2024-01-15", "event_month")
+    return spark.read.parquet(path).groupBy("event_month").agg(F.count(F.lit(1)).alias("rows"))
+
+
+@query("""SELECT CAST(ts AS DATE) AS day, event_type, count(*) AS rows FROM events
+WHERE CAST(ts AS DATE) <> DATE '2024-01-09' GROUP BY 1, 2""")
+def rollup_emptied_day(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A day whose raw rows are all gone is gone from the rollup after its refresh."""
+    path = scratch_path(spark, "rollup")
+    events = table(spark, sf_dir, "events")
+    tables.refresh_rollup(events, events, path, ["event_type"], "value")
+    emptied = F.to_date("ts") == F.lit("2024-01-09").cast("date")
+    tables.refresh_rollup(events.filter(~emptied), events.filter(emptied), path, ["event_type"], "value")
+    return spark.read.parquet(path).groupBy("day", "event_type").agg(F.sum("rows").alias("rows"))
+
+
+@query("SELECT event_id, event_type, round(value * 2, 6) AS value FROM events WHERE event_id % 2 = 0")
+def replace_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A table made from a query, twice, then replaced by a query on itself."""
+    path = scratch_path(spark, "replaced")
+    events = table(spark, sf_dir, "events").select("event_id", "event_type", "value")
+    for _ in range(2):
+        tables.replace_table(events, path)
+    doubled = spark.read.parquet(path).filter("event_id % 2 = 0").withColumn("value", F.col("value") * 2)
+    tables.replace_table(doubled, path)
+    return spark.read.parquet(path).withColumn("value", F.round("value", 6))
+
+
+@query("""SELECT CAST(ts AS DATE) AS event_date, count(*) AS rows, 1 AS files FROM events GROUP BY 1""")
+def compact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Days written in four appends have one file each afterwards, and the same rows."""
+    path = scratch_path(spark, "crowded")
+    events = table(spark, sf_dir, "events")
+    for part in range(4):
+        tables.write_events(events.filter(F.col("event_id") % 4 == part), path, "day", files_hint=1, mode="append")
+    tables.compact(spark, path, "event_date")
+    found = spark.read.parquet(path).select("event_date", F.col("_metadata.file_path").alias("file"))
+    return found.groupBy("event_date").agg(
+        F.count(F.lit(1)).alias("rows"), F.countDistinct("file").cast("int").alias("files"))
+
+
 @query("SELECT event_type, count(*) AS rows FROM events GROUP BY 1")
 def summary_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "report")

@@ -40,6 +40,29 @@ def is_file(spark: SparkSession, path: str) -> bool:
     return system.exists(entry) and system.getFileStatus(entry).isFile()
 
 
-def total_bytes(spark: SparkSession, path: str) -> int:
+def read_text(spark: SparkSession, path: str) -> str | None:
+    """A small text file, or None if there is none."""
     system, entry = _folder(spark, path)
-    return system.getContentSummary(entry).getLength()
+    if not system.exists(entry):
+        return None
+    stream = system.open(entry)
+    try:
+        return bytes(stream.readAllBytes()).decode()
+    finally:
+        stream.close()
+
+
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    """Write a small text file that does not exist yet."""
+    system, entry = _folder(spark, path)
+    stream = system.create(entry, False)
+    try:
+        stream.write(bytearray(text.encode()))
+    finally:
+        stream.close()
+
+
+def rename(spark: SparkSession, old: str, new: str) -> None:
+    system, entry = _folder(spark, old)
+    if not system.rename(entry, spark._jvm.org.apache.hadoop.fs.Path(new)):
+        raise OSError(f"could not rename {old} to {new}")

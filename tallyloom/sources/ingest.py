@@ -5,61 +5,67 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StringType, StructType
 
+from ..functions.records import ISO_TIME, json_error
+
 _CORRUPT = "_corrupt_record"
-_ISO = "yyyy-MM-dd'T'HH:mm:ss[.SSSSSS]"
 
 
-def _split(raw: DataFrame, schema: StructType) -> tuple[DataFrame, DataFrame]:
-    # Always true, but it makes both results read every field: a record must not turn
-    # good because a later select leaves its broken field out.
-    every_field = F.length(F.concat_ws("", *[F.col(f).cast("string") for f in schema.fieldNames()])) >= 0
-    parsed = raw.filter(every_field)
-    good = parsed.filter(F.col(_CORRUPT).isNull()).select(*schema.fieldNames())
-    bad = parsed.filter(F.col(_CORRUPT).isNotNull()).select(
-        F.col(_CORRUPT).alias("record"), F.col("_metadata.file_path").alias("file")
-    )
-    return good, bad
+def _declared(schema: str | StructType) -> StructType:
+    return schema if isinstance(schema, StructType) else StructType.fromDDL(schema)
 
 
-def _declared(schema: str | StructType) -> tuple[StructType, StructType]:
-    fields = schema if isinstance(schema, StructType) else StructType.fromDDL(schema)
-    return fields, StructType(fields.fields).add(_CORRUPT, StringType())
+def _lines(spark: SparkSession, path: str) -> DataFrame:
+    """Lines that are not blank, with their file."""
+    lines = spark.read.text(path).select(F.col("value").alias("record"), F.col("_metadata.file_path").alias("file"))
+    return lines.filter(F.trim("record") != "")
 
 
 def ingest_jsonl(
     spark: SparkSession, path: str, schema: str | StructType
 ) -> tuple[DataFrame, DataFrame]:
-    """JSON lines as (typed rows, malformed lines with their file); times are ISO 8601."""
-    fields, read_as = _declared(schema)
-    raw = (
-        spark.read.schema(read_as)
-        .option("mode", "PERMISSIVE")
-        .option("columnNameOfCorruptRecord", _CORRUPT)
-        .option("timestampFormat", _ISO)
-        .option("timestampNTZFormat", _ISO)
-        .json(path)
-    )
-    return _split(raw, fields)
+    """JSON lines as (typed rows, bad lines with their file and the class of the error).
+
+    Every line that is not blank is in exactly one of the two; see ``json_error`` for what
+    is bad. Times are ISO 8601.
+    """
+    fields = _declared(schema)
+    parsed, error = json_error("record", fields)
+    marked = _lines(spark, path).withColumns({"_parsed": parsed, "error_class": error})
+    good = marked.filter(F.col("error_class").isNull()).select(
+        *[F.col(f"_parsed.{f}").alias(f) for f in fields.fieldNames()])
+    return good, marked.filter(F.col("error_class").isNotNull()).select("record", "file", "error_class")
 
 
 def ingest_csv(
-    spark: SparkSession, path: str, schema: str | StructType
+    spark: SparkSession, path: str, schema: str | StructType, multiline: bool = False
 ) -> tuple[DataFrame, DataFrame]:
-    """CSV with a header as (typed rows, malformed lines with their file).
+    """CSV with a header as (typed rows, bad records with their file).
+
+    The header names the schema's columns in their order. All columns are parsed for both
+    results, so a record is bad for one exactly if it is not good for the other.
 
-    The header must name the schema's columns. All columns are parsed for both
-    results, so a row is bad for one exactly if it is not good for the other.
+    Without ``multiline`` a record is a line, and one that leaves a quote open is bad: half
+    a value is never presented as a whole one. With it a quoted value may hold line ends;
+    then Spark reads each file as a whole, in one task.
     """
-    fields, read_as = _declared(schema)
-    raw = (
-        spark.read.schema(read_as)
-        .option("mode", "PERMISSIVE")
-        .option("columnNameOfCorruptRecord", _CORRUPT)
-        .option("columnPruning", False)
-        .option("enforceSchema", False)
-        .option("escape", '"')
-        .option("timestampFormat", _ISO)
-        .option("timestampNTZFormat", _ISO)
-        .csv(path, header=True)
-    )
-    return _split(raw, fields)
+    fields = _declared(schema)
+    read_as = StructType(fields.fields).add(_CORRUPT, StringType())
+    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": _CORRUPT, "escape": '"',
+               "timestampFormat": ISO_TIME, "timestampNTZFormat": ISO_TIME}
+    if multiline:
+        raw = spark.read.schema(read_as).options(
+            **options, columnPruning=False, enforceSchema=False, multiLine=True).csv(path, header=True)
+        # always true, but it makes both results read every field: a record must not turn
+        # good because a later select leaves its broken field out
+        every = F.length(F.concat_ws("", *[F.col(f).cast("string") for f in fields.fieldNames()])) >= 0
+        raw = raw.filter(every)
+        bad = raw.filter(F.col(_CORRUPT).isNotNull()).select(
+            F.col(_CORRUPT).alias("record"), F.col("_metadata.file_path").alias("file"))
+        return raw.filter(F.col(_CORRUPT).isNull()).select(*fields.fieldNames()), bad
+    header = F.regexp_replace(F.trim("record"), '["\ufeff]', "") == ",".join(fields.fieldNames())
+    quotes = F.length("record") - F.length(F.replace("record", F.lit('"')))
+    parsed = F.from_csv("record", read_as.toDDL(), options)
+    marked = _lines(spark, path).filter(~header).withColumn("_parsed", parsed)
+    broken = (quotes % 2 == 1) | F.col(f"_parsed.{_CORRUPT}").isNotNull()
+    good = marked.filter(~broken).select(*[F.col(f"_parsed.{f}").alias(f) for f in fields.fieldNames()])
+    return good, marked.filter(broken).select("record", "file")

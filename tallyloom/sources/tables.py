@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import re
 import uuid
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
+from contextlib import contextmanager
 from datetime import date, timedelta
 
 from py4j.protocol import Py4JJavaError
@@ -41,8 +43,10 @@ def write_events(
 def overwrite_partitions(df: DataFrame, path: str, partition: str) -> None:
     """Replace exactly the partitions that occur in ``df``; others keep their files.
 
-    The new files are moved in when the job commits, so a failed attempt leaves the
-    old partition and a retry cannot duplicate rows. The rebalance hint gathers a
+    The new files are moved in when the job commits, so a job that fails before that
+    leaves the old partitions, and a retry cannot duplicate rows. The move itself is one
+    rename per partition on a file system; on object stores, which copy, a reader may see
+    it half done and a crash within it calls for a rerun. The rebalance hint gathers a
     small partition into one file and splits a large one by size, whatever its keys.
     """
     (
@@ -67,11 +71,14 @@ def overwrite_partition(
         files.remove(spark, folder)
 
 
-def _observed(seen: Observation, names: Sequence[str]) -> dict:
-    """What a write observed. An input that Spark finds empty while planning reports nothing."""
+def _observed(df: DataFrame, seen: Observation, names: Sequence[str]) -> dict:
+    """What a write observed. An input that Spark finds empty while planning reports nothing;
+    any other failure to report is an error."""
     try:
         return seen.get
     except Py4JJavaError:
+        if not df.isEmpty():
+            raise
         return {name: 0 if name == "rows" else None for name in names}
 
 
@@ -114,13 +121,17 @@ def upsert(
     untouched = base.join(changed, list(keys), "left_anti").select(*columns)
     rivals = base.join(changed, list(keys), "left_semi").select(*columns).unionByName(
         changes.select(*columns))
-    order = [*order_by, *[c for c in columns if c not in keys and c not in order_by]]
-    last = (
-        rivals.groupBy(*keys)
+    return untouched.unionByName(last_of(rivals, keys, order_by))
+
+
+def last_of(rows: DataFrame, keys: Sequence[str], order_by: Sequence[str]) -> DataFrame:
+    """Of each key the row with the largest ``order_by``; ties go to the other columns."""
+    order = [*order_by, *[c for c in rows.columns if c not in keys and c not in order_by]]
+    return (
+        rows.groupBy(*keys)
         .agg(F.max(F.struct(*order)).alias("_last"))
-        .select(*[F.col(c) if c in keys else F.col(f"_last.{c}").alias(c) for c in columns])
+        .select(*[F.col(c) if c in keys else F.col(f"_last.{c}").alias(c) for c in rows.columns])
     )
-    return untouched.unionByName(last)
 
 
 def backfill(src: DataFrame, path: str, columns: Mapping[str, Column] | Sequence[str],
@@ -138,7 +149,7 @@ def backfill(src: DataFrame, path: str, columns: Mapping[str, Column] | Sequence
     writer = src.observe(seen, F.count(F.lit(1)).alias("rows")).select(*shape).write.mode("overwrite")
     (writer.partitionBy(partition) if partition else writer).parquet(path)
     return spark.read.parquet(path).agg(
-        F.lit(_observed(seen, ["rows"])["rows"]).cast("long").alias("source_rows"),
+        F.lit(_observed(src, seen, ["rows"])["rows"]).cast("long").alias("source_rows"),
         F.count(F.lit(1)).alias("target_rows"),
     ).withColumn("equal", F.col("source_rows") == F.col("target_rows"))
 
@@ -169,19 +180,20 @@ def backfill_days(
 
     Days of the range without rows lose their partition, as a run of their own would do.
     """
-    spark = df.sparkSession
     first, last = date.fromisoformat(start), date.fromisoformat(end)
-    overwrite_partitions(_summaries(df, first, last, by, measure, ts), path, "run_date")
-    wanted = {f"run_date={first + timedelta(days=i)}" for i in range((last - first).days)}
-    stale = wanted & set(files.subfolders(spark, path))
-    if stale:
-        filled = {
-            f"run_date={r[0]}"
-            for r in df.filter((F.col(ts) >= F.lit(start).cast(df.schema[ts].dataType))
-                               & (F.col(ts) < F.lit(end).cast(df.schema[ts].dataType)))
-            .select(F.to_date(ts)).distinct().collect()
-        }
-        for name in sorted(stale - filled):
+    days = [f"run_date={first + timedelta(days=i)}" for i in range((last - first).days)]
+    with _without_leftovers(df.sparkSession, path, days):
+        overwrite_partitions(_summaries(df, first, last, by, measure, ts), path, "run_date")
+
+
+@contextmanager
+def _without_leftovers(spark: SparkSession, path: str, folders: Sequence[str]) -> Iterator[None]:
+    """Of these partition folders, those that a write gives no new files are removed after it."""
+    there = set(files.subfolders(spark, path))
+    before = {name: files.file_names(spark, f"{path}/{name}") for name in folders if name in there}
+    yield
+    for name, old in before.items():
+        if files.file_names(spark, f"{path}/{name}") == old:
             files.remove(spark, f"{path}/{name}")
 
 
@@ -207,7 +219,8 @@ def refresh_rollup(
 ) -> None:
     """Bring a rollup table up to date: only days with changed rows are computed again.
 
-    Rows per (bucket, group): count, sum and mean of the measure; partitioned by day.
+    Rows per (bucket, group): count, sum and mean of the measure; partitioned by day. A
+    changed day that has no raw rows left loses its partition.
     The changed days, a list no longer than the calendar, become time ranges on the
     raw table, and a filter on its day partition column if it has one.
     """
@@ -218,7 +231,8 @@ def refresh_rollup(
     fresh = touched.groupBy(
         F.to_date(ts).alias("day"), calendar(ts, grain, is_ntz(raw, ts)).alias("bucket"), *by
     ).agg(F.count(F.lit(1)).alias("rows"), F.sum(measure).alias("total"), F.avg(measure).alias("mean"))
-    overwrite_partitions(fresh, path, "day")
+    with _without_leftovers(raw.sparkSession, path, [f"day={day}" for day in days]):
+        overwrite_partitions(fresh, path, "day")
 
 
 def layout_audit(spark: SparkSession, path: str, small_file: int = 16 * 1024 * 1024) -> DataFrame:
@@ -264,7 +278,7 @@ def materialize(
     observed = df.observe(
         seen, F.count(F.lit(1)).alias("rows"), F.min(ts).alias("first"), F.max(ts).alias("last"))
     overwrite_partitions(observed, path, partition)
-    facts = _observed(seen, ["rows", "first", "last"])
+    facts = _observed(df, seen, ["rows", "first", "last"])
     row = spark.range(1).select(
         F.lit(asset).alias("asset"), F.lit(owner).alias("owner"),
         F.lit(partition).alias("partitioned_by"), F.lit(facts["rows"]).cast("long").alias("rows"),
@@ -276,19 +290,62 @@ def materialize(
     return spark.read.option("basePath", evidence_path).parquet(target)
 
 
+def _end_of(value: str) -> date:
+    """The first day after a partition named by day (2024-01-31) or month (202401)."""
+    if re.fullmatch(r"\d{4}-\d{2}-\d{2}", value):
+        return date.fromisoformat(value) + timedelta(days=1)
+    if re.fullmatch(r"\d{6}", value):
+        year, month = int(value[:4]), int(value[4:])
+        return date(year + month // 12, month % 12 + 1, 1)
+    raise ValueError(f"partition {value!r} is neither a day nor a month")
+
+
 def retention_trim(spark: SparkSession, path: str, older_than: str, partition: str = "event_date"
                    ) -> list[str]:
-    """Drop the day partitions before ``older_than``; a listing and deletes, no data is read."""
-    limit = f"{partition}={date.fromisoformat(older_than)}"
-    expired = [
-        name for name in files.subfolders(spark, path)
-        if name.startswith(f"{partition}=") and name < limit and "__HIVE" not in name
-    ]
+    """Drop the day or month partitions that end before ``older_than``.
+
+    A listing and deletes, no data is read. Rows without a date stay; a partition named
+    in another way is an error, and then nothing is dropped.
+    """
+    limit, prefix = date.fromisoformat(older_than), f"{partition}="
+    named = [n for n in files.subfolders(spark, path) if n.startswith(prefix) and "__HIVE" not in n]
+    expired = [name for name in named if _end_of(name.removeprefix(prefix)) <= limit]
     for name in expired:
         files.remove(spark, f"{path}/{name}")
     return expired
 
 
+def replace_table(df: DataFrame, path: str, partition: str | None = None) -> None:
+    """Create a table from a query, or replace the one there; a rerun leaves one copy.
+
+    The rows are written beside the table first, so the query may read the table it
+    replaces, and a query that fails leaves it. The swap is two renames.
+    """
+    spark = df.sparkSession
+    fresh, old = (f"{path.rstrip('/')}-{kind}-{uuid.uuid4().hex}" for kind in ("new", "old"))
+    (df.write.partitionBy(partition) if partition else df.write).parquet(fresh)
+    there = files.exists(spark, path)
+    if there:
+        files.rename(spark, path, old)
+    files.rename(spark, fresh, path)
+    if there:
+        files.remove(spark, old)
+
+
+def compact(spark: SparkSession, path: str, partition: str, small_file: int = 16 * 1024 * 1024) -> list[str]:
+    """Rewrite the partitions that have more than one small file; returns their folder names.
+
+    Finds them by the layout audit. Rows are gathered by size, so large partitions keep
+    several files; partitions in good shape are neither read nor written.
+    """
+    audit = layout_audit(spark, path, small_file).filter("small_files > 1").select("partition").collect()
+    crowded = sorted(row["partition"] for row in audit)
+    if crowded:
+        rows = spark.read.option("basePath", path).parquet(*[f"{path}/{name}" for name in crowded])
+        overwrite_partitions(rows, path, partition)
+    return crowded
+
+
 def save_report(df: DataFrame, path: str) -> None:
     """A small summary as one CSV file with a header."""
     df.coalesce(1).write.mode("overwrite").option("header", True).csv(path)

@@ -6,6 +6,7 @@ A log is any frame, streaming or not, with ``partition``, ``offset``, ``key``,
 
 from __future__ import annotations
 
+import json
 from collections.abc import Mapping
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
@@ -51,17 +52,21 @@ def read_log(
     schema: str | StructType | None = None,
     defaults: Mapping[str, object] | None = None,
     max_files: int | None = None,
+    checkpoint: str | None = None,
 ) -> DataFrame:
     """Stream a log from ``"earliest"``, ``"latest"`` or after given offsets per partition.
 
-    ``latest`` means after what the log holds now. A query with a checkpoint resumes
-    where it stopped, whatever ``start`` says the log held at first. ``schema`` types
-    the payload: fields it does not name are ignored, fields the payload lacks take
-    their default.
+    ``latest`` means after what the log held when the query first started. These positions
+    are kept next to the query's ``checkpoint``, which ``latest`` needs, and used again by
+    every later start, so that what arrives between two runs is read. A checkpoint that
+    was begun without them resumes where it stopped. ``schema`` types the payload: fields
+    it does not name are ignored, fields the payload lacks take their default.
     """
     records = stream_files(spark, path, log_schema, max_files)
     if start == "latest":
-        start = end_positions(spark.read.schema(log_schema).parquet(path))
+        if not checkpoint:
+            raise ValueError("latest needs the checkpoint of the query that reads")
+        start = _first_end(spark, path, log_schema, checkpoint)
     if start != "earliest":
         records = records.filter(_after(start))
     if schema is None:
@@ -69,6 +74,19 @@ def read_log(
     return typed_props(records, schema, "value", defaults)
 
 
+def _first_end(spark: SparkSession, path: str, log_schema: StructType, checkpoint: str) -> str | dict[int, int]:
+    """Where the log ended when the checkpoint was new."""
+    kept = f"{checkpoint.rstrip('/')}.start.json"
+    text = files.read_text(spark, kept)
+    if text is not None:
+        return {int(partition): offset for partition, offset in json.loads(text).items()}
+    if files.exists(spark, checkpoint):
+        return "earliest"
+    ends = end_positions(spark.read.schema(log_schema).parquet(path))
+    files.write_text(spark, kept, json.dumps(ends))
+    return ends
+
+
 def consumer_lag(log: DataFrame, commits: DataFrame) -> DataFrame:
     """Records between each group's committed position and the end of each partition.
 
@@ -124,6 +142,6 @@ def order_check(log: DataFrame) -> DataFrame:
 def key_skew(log: DataFrame, hot_share: float = 0.1) -> DataFrame:
     """Records and share of the log per key, with the keys that are hot marked."""
     counts = log.groupBy("key").agg(F.count(F.lit(1)).alias("records"))
-    total = log.agg(F.count(F.lit(1)).alias("n")).scalar()
+    total = counts.agg(F.sum("records").alias("n")).scalar()
     share = F.try_divide(F.col("records"), total)
     return counts.select("key", "records", share.alias("share"), (share >= hot_share).alias("hot"))

@@ -6,33 +6,24 @@ from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.types import StringType, StructType
-
-from ..sources import files
-
-_CORRUPT = "_corrupt_record"
+from pyspark.sql.types import StructType
 
+from ..functions.records import json_error
+from ..functions.timeaxis import seconds
+from ..sources import files, tables
 
 _SHUFFLE = "spark.sql.shuffle.partitions"
-_STATE_BYTES = 64 * 1024 * 1024
-
-
-def state_partitions(spark: SparkSession, path: str) -> int:
-    """State partitions for an input of this size, never more than the session allows.
-
-    Every partition of a stateful job writes its own state files for every batch, and
-    the number is fixed by the first run of a checkpoint.
-    """
-    allowed = int(spark.conf.get(_SHUFFLE))
-    wanted = files.total_bytes(spark, path) // _STATE_BYTES + 1
-    return min(allowed, max(wanted, spark.sparkContext.defaultParallelism))
 
 
 def run_available(
     stream: DataFrame, checkpoint: str, each_batch: Callable[[DataFrame, int], None],
     mode: str = "append", partitions: int | None = None,
 ) -> StreamingQuery:
-    """Process everything there is, then stop. The same checkpoint continues next time."""
+    """Process everything there is, then stop. The same checkpoint continues next time.
+
+    ``partitions`` is the number of state partitions, by default the session's shuffle
+    partitions. The first run of a checkpoint fixes it: choose it for the stream to come.
+    """
     spark = stream.sparkSession
     before = spark.conf.get(_SHUFFLE)
     spark.conf.set(_SHUFFLE, str(partitions or before))
@@ -50,12 +41,41 @@ def run_available(
     return query
 
 
-def idempotent_sink(path: str) -> Callable[[DataFrame, int], None]:
-    """A batch goes to the folder of its number, so a repeated batch replaces itself."""
-    def write(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
+def idempotent_sink(
+    path: str, keys: Sequence[str] | None = None, order_by: Sequence[str] = (), buckets: int = 64,
+) -> Callable[[DataFrame, int], None]:
+    """A batch written again leaves the sink as it was.
 
-    return write
+    Without ``keys`` a batch goes to the folder of its number, so a repeated batch replaces
+    itself; such a sink belongs to one checkpoint. With ``keys`` the sink is a table with
+    one row per key, cut into ``buckets`` by a hash of the key: a batch rewrites the buckets
+    it touches, and of a key's rows the one with the largest ``order_by`` stays. That also
+    holds for a run on a new checkpoint, which sees old rows again.
+    """
+    if keys is None:
+        def write(batch: DataFrame, batch_id: int) -> None:
+            batch.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
+
+        return write
+
+    def merge(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        bucketed = batch.withColumn("_bucket", F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int"))
+        if files.exists(spark, path):
+            touched = bucketed.select("_bucket").distinct()
+            base = spark.read.schema(bucketed.schema).parquet(path).join(F.broadcast(touched), "_bucket", "left_semi")
+            base = base.select(bucketed.columns)
+        else:
+            base = bucketed.filter(F.lit(False))
+        merged = tables.last_of(base.unionByName(bucketed), [*keys, "_bucket"], order_by)
+        tables.overwrite_partitions(merged, path, "_bucket")
+
+    return merge
+
+
+def keyed_table(spark: SparkSession, path: str) -> DataFrame:
+    """What a sink with keys holds."""
+    return spark.read.parquet(path).drop("_bucket")
 
 
 def sink_table(spark: SparkSession, path: str, keys: Sequence[str]) -> DataFrame:
@@ -74,54 +94,86 @@ def appended(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path).drop("batch_id")
 
 
-def late_rows(query: StreamingQuery) -> int:
-    """Rows the query dropped for arriving behind the watermark."""
-    return sum(
-        operator["numRowsDroppedByWatermark"]
-        for progress in query.recentProgress
-        for operator in progress["stateOperators"]
-    )
+def late_rows(
+    stream: DataFrame, checkpoint: str, path: str, window: str, ts: str = "ts", watermark: str = "1 hour",
+) -> DataFrame:
+    """Rows that ``windowed_counts`` drops: those whose window the watermark had closed.
+
+    Runs over what there is, as a reader of its own, and keeps a row per batch under
+    ``path``: ``batch_id``, ``late`` and ``newest``, the latest time so far. The watermark of
+    a batch comes from the batches before it, as Spark's does, so a run over the same
+    batches counts what the job dropped. Rows are counted one by one, before any
+    aggregation, and over all batches of the checkpoint. Returns the total, ``late_rows``.
+    """
+    spark = stream.sparkSession
+    width, delay = seconds(window), seconds(watermark)
+    log_schema = "late long, newest long"
+
+    def count(batch: DataFrame, batch_id: int) -> None:
+        newest = None
+        if files.exists(spark, path):
+            before = spark.read.schema(f"{log_schema}, batch_id long").parquet(path).filter(F.col("batch_id") < batch_id)
+            newest = before.agg(F.max("newest")).first()[0]
+        at = F.unix_micros(F.col(ts).cast("timestamp"))
+        end = (F.floor(at / (width * 1_000_000)) + 1) * width * 1_000_000
+        late = F.lit(False) if newest is None else end <= newest - delay * 1_000_000
+        batch.agg(
+            F.count_if(late).alias("late"), F.greatest(F.max(at), F.lit(newest).cast("long")).alias("newest"),
+        ).coalesce(1).write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
+
+    run_available(stream, checkpoint, count)
+    if not files.exists(spark, path):
+        return spark.range(1).select(F.lit(0).cast("long").alias("late_rows"))
+    return spark.read.schema(f"{log_schema}, batch_id long").parquet(path).agg(
+        F.coalesce(F.sum("late"), F.lit(0)).alias("late_rows"))
+
+
+def marked_letters(log: DataFrame, schema: str | StructType) -> DataFrame:
+    """Every record once: its context, the typed fields, ``error_class`` and ``payload``.
+
+    A good record has no error class and no payload; a dead one has no fields.
+    """
+    fields = schema if isinstance(schema, StructType) else StructType.fromDDL(schema)
+    parsed, error = json_error("value", fields)
+    marked = log.withColumns({"_parsed": parsed, "error_class": error})
+    good = F.col("error_class").isNull()
+    return marked.select(
+        *[c for c in log.columns if c != "value"],
+        *[F.when(good, F.col(f"_parsed.{f}")).alias(f) for f in fields.fieldNames()],
+        "error_class", F.when(~good, F.col("value")).alias("payload"))
 
 
 def split_dead_letters(log: DataFrame, schema: str | StructType) -> tuple[DataFrame, DataFrame]:
     """Records with a readable payload, typed, and the others with all their context.
 
     Works on a batch or a stream. Dead letters keep partition, offset, key, timestamp
-    and payload (and the topic, if there is one) next to the class of the error.
+    and payload (and the topic, if there is one) next to the class of the error: see
+    ``json_error``. Every record is in exactly one of the two.
     """
     fields = schema if isinstance(schema, StructType) else StructType.fromDDL(schema)
-    read_as = StructType(fields.fields).add(_CORRUPT, StringType())
-    parsed = log.withColumn(
-        "_parsed", F.from_json("value", read_as, {"columnNameOfCorruptRecord": _CORRUPT,
-                                                  "mode": "PERMISSIVE"}))
-    error = F.when(F.col("value").isNull(), "missing_payload").when(
-        F.col(f"_parsed.{_CORRUPT}").isNotNull(), "malformed_json")
-    marked = parsed.withColumn("error_class", error)
-    context = [c for c in log.columns if c != "value"]
-    good = marked.filter(F.col("error_class").isNull()).select(
-        *context, *[F.col(f"_parsed.{f}").alias(f) for f in fields.fieldNames()])
-    dead = marked.filter(F.col("error_class").isNotNull()).select(
-        *context, "error_class", F.col("value").alias("payload"))
-    return good, dead
-
-
-def dead_letter_sink(schema: str | StructType, good_path: str, dead_path: str
-                     ) -> Callable[[DataFrame, int], None]:
-    """Write both parts of each batch; the batch is read once."""
-    to_good, to_dead = idempotent_sink(good_path), idempotent_sink(dead_path)
+    marked = marked_letters(log, fields)
+    good = marked.filter(F.col("error_class").isNull()).drop("error_class", "payload")
+    return good, marked.filter(F.col("error_class").isNotNull()).drop(*fields.fieldNames())
 
+
+def dead_letter_sink(schema: str | StructType, path: str) -> Callable[[DataFrame, int], None]:
+    """Write each batch once, good and dead records in folders of their own."""
     def write(batch: DataFrame, batch_id: int) -> None:
-        batch.persist()
-        try:
-            good, dead = split_dead_letters(batch, schema)
-            to_good(good, batch_id)
-            to_dead(dead, batch_id)
-        finally:
-            batch.unpersist()
+        marked = marked_letters(batch, schema)
+        marked.withColumn("good", F.col("error_class").isNull()).write.mode("overwrite").partitionBy("good").parquet(
+            f"{path}/batch_id={batch_id}")
 
     return write
 
 
+def stored_letters(spark: SparkSession, path: str, schema: str | StructType) -> tuple[DataFrame, DataFrame]:
+    """(good records, dead letters) of a ``dead_letter_sink``."""
+    fields = schema if isinstance(schema, StructType) else StructType.fromDDL(schema)
+    rows = spark.read.parquet(path)
+    good = rows.filter("good = 'true'").drop("good", "batch_id", "error_class", "payload")
+    return good, rows.filter("good = 'false'").drop("good", "batch_id", *fields.fieldNames())
+
+
 def latest_by_key(
     df: DataFrame, key: str, order: Sequence[str], deleted: Column | None = None
 ) -> DataFrame:

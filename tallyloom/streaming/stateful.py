@@ -27,8 +27,8 @@ def windowed_counts(
 ) -> DataFrame:
     """Records per key and fixed window. Counts are combined before the shuffle.
 
-    Rows whose window closed before the watermark are dropped and counted in the
-    progress of the query, see ``late_rows``.
+    Rows whose window closed before the watermark are dropped; ``sinks.late_rows`` counts
+    them.
     """
     ntz = is_ntz(stream, ts)
     return (
@@ -41,12 +41,12 @@ def windowed_counts(
 
 
 def dedup(
-    stream: DataFrame, key: str, within: str, ts: str = "ts", salts: int = 16
+    stream: DataFrame, key: str, within: str, ts: str = "ts", salts: int = 1
 ) -> DataFrame:
     """One record per id, remembered for ``within`` of event time.
 
-    An id with very many copies is first thinned out on ``salts`` tasks, then once
-    more as a whole. ``salts=1`` leaves the first pass out and halves the state.
+    With ``salts`` an id with very many copies is first thinned out on so many tasks, then
+    once more as a whole; the first pass doubles the state.
     """
     ntz = is_ntz(stream, ts)
     marked = _timed(stream, ts, within)
@@ -59,23 +59,15 @@ def dedup(
     return marked.dropDuplicatesWithinWatermark([key]).withColumn(ts, _restored(ts, ntz))
 
 
-def _broadcastable(table: DataFrame) -> bool:
-    limit = table.sparkSession.conf.get("spark.sql.autoBroadcastJoinThreshold")
-    estimate = table._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
-    text = limit.lower().rstrip("b")
-    factor = {"k": 2**10, "m": 2**20, "g": 2**30}.get(text[-1:], 1)
-    allowed = int(text.rstrip("kmg")) * factor
-    return int(str(estimate)) <= allowed
-
-
-def enrich(stream: DataFrame, table: DataFrame, key: str, how: str = "left", salts: int = 16
+def enrich(stream: DataFrame, table: DataFrame, key: str, how: str = "left", salts: int = 1
            ) -> DataFrame:
     """Table columns added to each record by key.
 
-    A table under Spark's broadcast limit is broadcast and the stream does not move.
-    A larger one is repeated ``salts`` times, so that a hot key is joined by as many tasks.
+    Spark broadcasts the table if its size is within the broadcast limit, and then the
+    stream does not move. For a larger table and a hot key, ``salts`` repeats the table so
+    often and joins the key in as many tasks.
     """
-    if _broadcastable(table) or salts <= 1:
+    if salts <= 1:
         return stream.join(table, key, how)
     repeated = table.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     salted = stream.withColumn("_salt", F.pmod(F.spark_partition_id(), F.lit(salts)))
@@ -117,26 +109,34 @@ _SEEN = StructType([StructField("at_us", LongType())])
 
 
 class _FirstMatch(StatefulProcessor):
-    """Remembers per key that a record was handed on; forgets it after the ttl."""
+    """Remembers per key when a record was last handed on; forgets it after the ttl."""
 
-    def __init__(self, ttl_ms: int | None):
-        self.ttl_ms = ttl_ms
+    def __init__(self, ttl_us: int | None):
+        self.ttl_us = ttl_us
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.seen = handle.getValueState("seen", _SEEN)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
-        at_us, record_id = min((row["at_us"], row["id"]) for row in rows)
-        if self.seen.exists():
-            return
-        self.seen.update((at_us,))
-        if self.ttl_ms is not None:
-            self.handle.registerTimer(at_us // 1000 + self.ttl_ms)
-        yield Row(key=key[0], at_us=at_us, id=record_id)
+        last = self.seen.get()[0] if self.seen.exists() else None
+        if self.ttl_us is None:
+            ordered = [min((row["at_us"], row["id"]) for row in rows)] if last is None else []
+        else:
+            ordered = sorted((row["at_us"], row["id"]) for row in rows)
+        for at_us, record_id in ordered:
+            if last is not None and at_us - last < (self.ttl_us or 0):
+                continue
+            last = at_us
+            self.seen.update((at_us,))
+            if self.ttl_us is not None:
+                self.handle.registerTimer((at_us + self.ttl_us) // 1000)
+            yield Row(key=key[0], at_us=at_us, id=record_id)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
-        self.seen.clear()
+        # a later match has its own timer
+        if self.seen.exists() and (self.seen.get()[0] + self.ttl_us) // 1000 <= expiredTimerInfo.getExpiryTimeInMs():
+            self.seen.clear()
         return iter(())
 
     def close(self) -> None:
@@ -155,18 +155,18 @@ def first_match(
 ) -> DataFrame:
     """The first matching record of each key: ``key``, ``ts``, ``id``; later ones are silent.
 
-    Of the records of one batch the earliest counts. With a ``ttl`` a key may match
-    again once the watermark is that far past the record. Needs the RocksDB state store.
+    Of the records of one batch the earliest counts. With a ``ttl`` a key matches again
+    from a record that is at least that much later than the last one handed on; matches of
+    a key are taken in order of time and id, so that records that arrive in order give the
+    same answer however they are cut into batches. Then a key's matches of one batch
+    are sorted in memory; bound the batch by ``max_files``. Needs the RocksDB state store.
     """
     ntz = is_ntz(stream, ts)
     wanted = stream.filter(predicate).select(
         F.col(key).alias("key"), F.unix_micros(F.col(ts).cast("timestamp")).alias("at_us"),
         F.col(record_id).alias("id"))
-    timed = (
-        wanted.mapInPandas(_earliest_per_key, wanted.schema)
-        .withColumn("_ts", F.timestamp_micros("at_us"))
-        .withWatermark("_ts", watermark)
-    )
+    thinned = wanted.mapInPandas(_earliest_per_key, wanted.schema) if ttl is None else wanted
+    timed = thinned.withColumn("_ts", F.timestamp_micros("at_us")).withWatermark("_ts", watermark)
     found = timed.groupBy("key").transformWithState(
-        _FirstMatch(None if ttl is None else seconds(ttl) * 1000), wanted.schema, "Append", "EventTime")
+        _FirstMatch(None if ttl is None else seconds(ttl) * 1_000_000), wanted.schema, "Append", "EventTime")
     return found.select("key", _restored(F.timestamp_micros("at_us"), ntz).alias("ts"), "id")

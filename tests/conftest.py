@@ -6,7 +6,7 @@ import pytest
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
-from tallyloom.session import local_session  # noqa: E402
+from tallyloom.session import drop_scratch, local_session  # noqa: E402
 
 SF_DIR = "/root/testdata/sf0.001"
 
@@ -15,6 +15,7 @@ SF_DIR = "/root/testdata/sf0.001"
 def spark():
     session = local_session(4, "6g")
     yield session
+    drop_scratch(session)
     session.stop()
 
 

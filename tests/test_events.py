@@ -95,15 +95,14 @@ def vectors(spark, count, seed):
         [(i, [float(x) for x in v]) for i, v in enumerate(data)], "vec_id long, embedding array<float>")
 
 
-@pytest.mark.parametrize("block", [neighbours.BLOCK_BYTES, 300])
-def test_knn_equals_numpy(spark, monkeypatch, block):
-    monkeypatch.setattr(neighbours, "BLOCK_BYTES", block)
+@pytest.mark.parametrize("block", [4096, 2])
+def test_knn_equals_numpy(spark, block):
     data, table = vectors(spark, 120, 1)
     batch = table.filter("vec_id < 9").withColumnRenamed("vec_id", "query_id")
     unit = data / np.linalg.norm(data, axis=1, keepdims=True)
     scores = unit[:9].astype("float64") @ unit.T
     found = {}
-    for row in neighbours.knn(table.repartition(6), batch, 4).collect():
+    for row in neighbours.knn(table.repartition(6), batch, 4, block=block).collect():
         found.setdefault(row["query_id"], {})[row["rank"]] = row["vec_id"]
     for q in range(9):
         assert [found[q][r] for r in range(1, 5)] == list(np.argsort(-scores[q])[:4])
@@ -118,6 +117,32 @@ def test_knn_ties_go_to_the_smaller_id_and_zero_vectors_are_left_out(spark):
     assert [(r["query_id"], r["vec_id"]) for r in found] == [("q", 3), ("q", 5)]
 
 
+def test_knn_of_empty_ragged_and_named_rows(spark):
+    schema = "vec_id string, embedding array<double>"
+    table = spark.createDataFrame(
+        [("b", [1.0, 0.0]), ("a", [1.0, 0.0]), ("c", [0.0, 1.0]), ("d", [1.0]), ("e", None), ("f", [None, 1.0]),
+         (None, [1.0, 0.0])], schema)
+    queries = spark.createDataFrame(
+        [(1, [2.0, 0.0]), (2, [1.0]), (3, None), (4, [0.0, 0.0]), (5, [None, 1.0]), (6, [])],
+        "query_id int, embedding array<double>")
+    found = neighbours.knn(table, queries, 2).orderBy("query_id", "rank")
+    assert found.schema["vec_id"].dataType.simpleString() == "string"
+    assert [(r["query_id"], r["vec_id"], r["rank"]) for r in found.collect()] == [(1, "a", 1), (1, "b", 2)]
+    assert neighbours.knn(table, queries.limit(0), 2).count() == 0
+    assert neighbours.knn(table.limit(0), queries, 2).count() == 0
+
+
+def test_ridge_leaves_incomplete_rows_out(spark):
+    rows = [(i, float(i % 7), 3.0 * (i % 7) + 1.0) for i in range(100)]
+    gaps = rows + [(200 + i, None, 1000.0) for i in range(20)] + [(300, 1.0, None)]
+    schema = "id long, a double, y double"
+    whole, part = (models.ridge(spark.createDataFrame(r, schema), ["a"], "y", 0.1, F.col("id") % 5 == 0).first()
+                   for r in (rows, gaps))
+    assert part["left_out"] == 21 and whole["left_out"] == 0
+    assert part["intercept"] == pytest.approx(whole["intercept"]) and part["train_rows"] == whole["train_rows"]
+    assert part["mse"] == pytest.approx(whole["mse"])
+
+
 def test_ridge_equals_the_closed_form(spark):
     rng = np.random.default_rng(3)
     x = rng.normal(size=(400, 3)) * [1, 10, 0.1]

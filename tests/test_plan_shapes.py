@@ -11,7 +11,7 @@ plans.load_all()
 # these start streams or write tables when they are built; their result is a plain read
 _JOBS = {n for n, p in plans.QUERIES.items() if p.__module__.endswith(("streams", "table_jobs"))}
 _LOG_REPORTS = {"latest_by_key", "consumer_lag", "group_lag", "order_check", "key_skew"}
-_PLAIN = sorted((set(plans.QUERIES) - _JOBS - {"daily_rollup", "knn_cosine", "ridge_mse"}) | _LOG_REPORTS)
+_PLAIN = sorted((set(plans.QUERIES) - _JOBS - {"daily_rollup", "knn_cosine", "ridge_mse", "ridge_with_gaps"}) | _LOG_REPORTS)
 
 
 def physical(df):

@@ -46,10 +46,14 @@ def test_dedup_within_and_across_batches(spark, folder, salts):
 def test_late_rows_are_dropped_and_counted(spark, folder):
     feed = Feed(spark, folder, lambda s: stateful.windowed_counts(s, "5 minutes", ["key"], watermark="10 minutes"), "update")
     feed.run([(1, "a", 0, True), (2, "a", 60, True)])
-    query = feed.run([(3, "a", 1, True), (4, "a", 61, True)])
-    assert sinks.late_rows(query) == 1
+    feed.run([(i, "a", 1, True) for i in range(3, 13)] + [(13, "a", 61, True)])
     found = sinks.sink_table(spark, feed.sink, ["key", "window_start", "window_end"])
     assert sorted(r["events"] for r in found.collect()) == [1, 2]
+    # ten late rows in one window are ten rows, and a second run counts no row twice
+    stream = logs.stream_files(spark, feed.source, rows(spark, []).schema, max_files=1)
+    late = [sinks.late_rows(stream, feed.checkpoint + "-late", feed.sink + "-late", "5m", watermark="10m").first()[0]
+            for _ in range(2)]
+    assert late == [10, 10]
 
 
 def test_first_match_is_said_once(spark, folder):
@@ -60,6 +64,29 @@ def test_first_match_is_said_once(spark, folder):
     assert feed.result("key", "id") == [("a", 3), ("b", 6)]
 
 
+@pytest.mark.parametrize("cuts", [[5], [1, 1, 1, 1, 1], [2, 3]])
+def test_first_match_with_ttl_however_batches_are_cut(spark, folder, cuts):
+    """By event time: hourly matches and a ttl of half an hour give all of them but the one in between."""
+    feed = Feed(spark, folder, lambda s: stateful.first_match(s, "key", F.col("ok"), "id", ttl="30m"))
+    items = [(1, "a", 0, True), (2, "a", 60, True), (3, "a", 80, True), (4, "a", 120, True), (5, "a", 150, True)]
+    with _rocksdb(spark):
+        for n in cuts:
+            feed.run(items[:n])
+            items = items[n:]
+    assert feed.result("id") == [(1,), (2,), (4,), (5,)]
+
+
+def test_keyed_sink_holds_one_row_per_key_after_reruns(spark, folder):
+    source, sink = folder("source"), folder("sink")
+    schema = rows(spark, []).schema
+    for part in ([(1, "a", 0, True), (2, "b", 1, True)], [(3, "a", 5, True), (4, "c", 6, True)]):
+        rows(spark, part).coalesce(1).write.mode("append").parquet(source)
+    for _ in range(2):
+        sinks.run_available(logs.stream_files(spark, source, schema, max_files=1), folder("checkpoint"),
+                            sinks.idempotent_sink(sink, ["key"], ["ts"], buckets=3))
+    assert sorted((r.key, r.id) for r in sinks.keyed_table(spark, sink).collect()) == [("a", 3), ("b", 2), ("c", 4)]
+
+
 def test_first_match_is_forgotten_after_the_ttl(spark, folder):
     feed = Feed(spark, folder, lambda s: stateful.first_match(
         s, "key", F.col("ok"), "id", ttl="30m", watermark="0 seconds"))
@@ -101,6 +128,7 @@ def test_restart_reads_only_what_is_new(spark, folder):
     assert found == {0: 1, 1: 2}
 
 
+MALFORMED = ['{"k":1}garbage', '{"k":1} {"k":2}', '{"k":1},{"k":2}', '{"k":1}],[{"k":2}', '{"k":1}},{"x":{', "[1]", "5"]
 LOG = "partition int, offset long, key string, value string, timestamp timestamp_ntz"
 
 
@@ -111,11 +139,25 @@ def record(partition, offset, key="k", value="{}", minute=0):
 def test_dead_letters_name_their_error(spark):
     log = spark.createDataFrame(
         [record(0, 0, value='{"k": 1, "more": 2}'), record(0, 1, value="{"), record(0, 2, value=None),
-         record(1, 0, value='{"k": "x"}'), record(1, 1, value="{}")], LOG)
+         record(1, 0, value='{"k": "x"}'), record(1, 1, value="{}"), record(2, 0, value=" "),
+         *[record(3, i, value=v) for i, v in enumerate(MALFORMED)]], LOG)
     good, dead = sinks.split_dead_letters(log, "k int")
     assert sorted((r.partition, r.offset, r.k) for r in good.collect()) == [(0, 0, 1), (1, 1, None)]
     assert sorted((r.partition, r.offset, r.error_class, r.payload) for r in dead.collect()) == [
-        (0, 1, "malformed_json", "{"), (0, 2, "missing_payload", None), (1, 0, "malformed_json", '{"k": "x"}')]
+        (0, 1, "malformed_json", "{"), (0, 2, "missing_payload", None), (1, 0, "wrong_type", '{"k": "x"}'),
+        (2, 0, "missing_payload", " "), *[(3, i, "malformed_json", v) for i, v in enumerate(MALFORMED)]]
+    assert good.count() + dead.count() == log.count()
+
+
+def test_dead_letters_are_written_once(spark, folder):
+    log = spark.createDataFrame([record(0, i, value=v) for i, v in enumerate(['{"k": 5}', "{", "[1]"])], LOG)
+    source, letters = folder("source"), folder("letters")
+    log.coalesce(1).write.parquet(source)
+    sinks.run_available(logs.stream_files(spark, source, log.schema), folder("checkpoint"),
+                        sinks.dead_letter_sink("k int", letters))
+    good, dead = sinks.stored_letters(spark, letters, "k int")
+    assert [(r.offset, r.k) for r in good.collect()] == [(0, 5)]
+    assert sorted((r.offset, r.payload) for r in dead.collect()) == [(1, "{"), (2, "[1]")]
 
 
 def test_latest_by_key_with_deletes(spark):
@@ -153,9 +195,27 @@ def test_start_positions(spark, folder):
     log.write.parquet(path)
     def read(start):
         sink = folder("sink")
-        stream = logs.read_log(spark, path, log.schema, start).select("partition", "offset")
-        sinks.run_available(stream, folder("checkpoint"), sinks.idempotent_sink(sink))
+        checkpoint = folder("checkpoint")
+        stream = logs.read_log(spark, path, log.schema, start, checkpoint=checkpoint).select("partition", "offset")
+        sinks.run_available(stream, checkpoint, sinks.idempotent_sink(sink))
         return sorted(tuple(r) for r in sinks.appended(spark, sink).collect())
     assert len(read("earliest")) == 10
     assert read("latest") == []
     assert read({0: 3}) == [(0, 4)] + [(1, o) for o in range(5)]
+
+
+def test_latest_reads_what_comes_between_runs(spark, folder):
+    path, checkpoint, sink = folder("log"), folder("checkpoint"), folder("sink")
+    spark.createDataFrame([record(0, 0)], LOG).write.parquet(path)
+
+    def run():
+        stream = logs.read_log(spark, path, spark.read.parquet(path).schema, "latest", checkpoint=checkpoint)
+        sinks.run_available(stream.select("partition", "offset"), checkpoint, sinks.idempotent_sink(sink))
+
+    run()
+    for offset in (1, 2):
+        spark.createDataFrame([record(0, offset)], LOG).write.mode("append").parquet(path)
+        run()
+    assert sorted(tuple(r) for r in sinks.appended(spark, sink).collect()) == [(0, 1), (0, 2)]
+    with pytest.raises(ValueError, match="checkpoint"):
+        logs.read_log(spark, path, spark.read.parquet(path).schema, "latest")

@@ -180,3 +180,59 @@ def test_create_append_and_replace(spark, folder):
     assert [r.id for r in spark.read.parquet(path).orderBy("id").collect()] == [1, 2, 3, 4, 5]
     numbers.write.mode("overwrite").parquet(path)
     assert spark.read.parquet(path).count() == 3
+
+
+def test_every_line_is_good_or_bad(spark, folder):
+    path = folder("jsonl")
+    lines = ['{"id":1}', '{"id":4}trailing', '{"id":5} {"id":6}', "", '{"id":"x"}', "{", '{"id":7,"more":[1]}']
+    spark.createDataFrame([(x,) for x in lines], "l string").coalesce(1).write.text(path)
+    good, bad = ingest.ingest_jsonl(spark, path, "id int")
+    assert sorted(r.id for r in good.collect()) == [1, 7]
+    assert sorted((r.record, r.error_class) for r in bad.collect()) == sorted([
+        ('{"id":4}trailing', "malformed_json"), ('{"id":5} {"id":6}', "malformed_json"),
+        ('{"id":"x"}', "wrong_type"), ("{", "malformed_json")])
+
+
+def test_half_a_quoted_value_is_bad(spark, folder):
+    path = folder("csv")
+    spark.createDataFrame([("id,s",), ('1,"a',), ('b"',), ('2,"say ""hi"", twice"',), ("3,x",)], "l string").coalesce(
+        1).write.text(path)
+    good, bad = ingest.ingest_csv(spark, path, "id int, s string")
+    assert sorted(tuple(r) for r in good.collect()) == [(2, 'say "hi", twice'), (3, "x")]
+    assert sorted(r.record for r in bad.collect()) == ['1,"a', 'b"']
+    good, bad = ingest.ingest_csv(spark, path, "id int, s string", multiline=True)
+    assert sorted(tuple(r) for r in good.collect()) == [(1, "a\nb"), (2, 'say "hi", twice'), (3, "x")]
+    assert bad.count() == 0
+
+
+def test_months_are_trimmed_by_their_end(spark, folder):
+    path = folder("months")
+    spark.createDataFrame([(1, 202312), (2, 202401), (3, 202402), (4, 202403)], "id int, event_month int").write.partitionBy(
+        "event_month").parquet(path)
+    assert tables.retention_trim(spark, path, "2024-02-29", "event_month") == ["event_month=202312", "event_month=202401"]
+    assert tables.retention_trim(spark, path, "2024-03-01", "event_month") == ["event_month=202402"]
+    spark.createDataFrame([(1, "w5")], "id int, event_month string").write.mode("append").partitionBy("event_month").parquet(path)
+    with pytest.raises(ValueError, match="neither"):
+        tables.retention_trim(spark, path, "2030-01-01", "event_month")
+
+
+def test_replaced_table_may_be_read_by_its_query(spark, folder):
+    path = folder("replaced")
+    tables.replace_table(spark.range(10), path)
+    tables.replace_table(spark.read.parquet(path).filter("id < 3"), path)
+    assert spark.read.parquet(path).count() == 3
+    with pytest.raises(Exception, match="DIVIDE_BY_ZERO|Division"):
+        tables.replace_table(spark.range(3).selectExpr("id", "raise_error('Division') AS x"), path)
+    assert spark.read.parquet(path).count() == 3
+
+
+def test_only_crowded_partitions_are_rewritten(spark, folder):
+    path = folder("crowded")
+    rows = spark.range(40).selectExpr("id", "CASE WHEN id < 20 THEN 0 ELSE 1 END AS d")
+    rows.coalesce(1).write.partitionBy("d").parquet(path)
+    rows.filter("d = 1").coalesce(1).write.mode("append").partitionBy("d").parquet(path)
+    before = files.file_names(spark, f"{path}/d=0")
+    assert tables.compact(spark, path, "d") == ["d=1"]
+    assert files.file_names(spark, f"{path}/d=0") == before
+    assert spark.read.parquet(path).count() == 60
+    assert len([n for n in files.file_names(spark, f"{path}/d=1") if n.endswith(".parquet")]) == 1
