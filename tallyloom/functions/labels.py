@@ -32,13 +32,23 @@ def _alternatives(pattern: str) -> list[str]:
     return parts
 
 
+def _balanced(pattern: str) -> bool:
+    """Every bracket that closes was opened in the pattern itself."""
+    depth = 0
+    for char in pattern:
+        depth += (char == "(") - (char == ")")
+        if depth < 0:
+            return False
+    return depth == 0
+
+
 def _literal_prefixes(pattern: str) -> list[str]:
     """Literal beginnings of the alternatives, or [] if one of them has none.
 
     Parquet cannot skip on a regex but it can on a prefix, so the prefixes are
     added as a second, implied predicate.
     """
-    if "\\" in pattern or "[" in pattern:
+    if "\\" in pattern or "[" in pattern or not _balanced(pattern):
         return []
     prefixes = []
     for alternative in _alternatives(pattern):
