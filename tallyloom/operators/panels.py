@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.display import legend
 from ..functions.labels import Matcher, all_match
 from . import ranges
+from .histogram import histogram_profile
 
 
 @dataclass(frozen=True)
@@ -18,7 +19,8 @@ class Target:
     """One line of a panel: select series, apply a range function, aggregate, name.
 
     ``function`` is ``instant``, ``increase`` or ``rate``; ``how`` is None to keep
-    every series. ``scale`` multiplies the result.
+    every series. ``scale`` multiplies the result. With ``k`` only the ``k`` largest lines of
+    each step are shown; ties go by legend.
     """
 
     legend: str
@@ -28,6 +30,7 @@ class Target:
     how: str | None = "sum"
     by: Sequence[str] = ()
     scale: float = 1.0
+    k: int | None = None
 
 
 def _range_vector(samples: DataFrame, labels: Sequence[str], function: str, window: str, step: str,
@@ -73,8 +76,8 @@ def _fold(vector: DataFrame, labels: Sequence[str], targets: Sequence[Target]) -
     parts, lines = [], []
     for i, (target, by) in enumerate(zip(targets, groups)):
         mine = all_match(target.matchers)
-        folded = {"max": F.max, "min": F.min}.get(target.how, F.sum)
-        parts += [folded(F.when(mine, value)).alias(f"_v{i}"), F.count_if(mine).alias(f"_n{i}")]
+        reducer = {"max": F.max, "min": F.min}.get(target.how, F.sum)
+        parts += [reducer(F.when(mine, value)).alias(f"_v{i}"), F.count_if(mine).alias(f"_n{i}")]
         lines.append(F.struct(
             F.lit(i).alias("target"),
             F.array(*[F.col(name) for name in by]).cast("array<string>").alias("key"),
@@ -88,15 +91,40 @@ def _fold(vector: DataFrame, labels: Sequence[str], targets: Sequence[Target]) -
             "avg": F.col("_sum") / F.col("_n"),
         }.get(target.how, F.col("_sum"))
         final = F.when(F.col("target") == i, whole * F.lit(float(target.scale))).otherwise(final)
-    return (
+    folded = (
         vector.groupBy(*finest, "step").agg(*parts)
         .select("step", F.explode(F.array(*lines)).alias("_line"))
         .select("step", "_line.*")
         .filter("n > 0")
         .groupBy("target", "key", "legend", "step")
         .agg(F.sum("v").alias("_sum"), F.max("v").alias("_max"), F.min("v").alias("_min"), F.sum("n").alias("_n"))
-        .select("legend", "step", final.alias("value"))
+        .select("target", "key", "legend", "step", final.alias("value"))
     )
+    limits = {i: t.k for i, t in enumerate(targets) if t.k is not None}
+    if limits:
+        allowed = F.create_map(*[F.lit(x) for item in limits.items() for x in item])[F.col("target")]
+        order = Window.partitionBy("target", "step").orderBy(
+            F.nanvl("value", F.lit(None)).desc_nulls_last(), "legend", "key")
+        ranked = folded.withColumn("_rank", F.row_number().over(order))
+        folded = ranked.filter(allowed.isNull() | (F.col("_rank") <= allowed))
+    return folded.select("legend", "step", "value")
+
+
+def histogram_panel(
+    samples: DataFrame, labels: Sequence[str], quantiles: Mapping[str, float], by: Sequence[str] = (),
+    window: str = "5m", step: str = "1m", mean: str | None = None, unique: bool = False,
+) -> DataFrame:
+    """Quantiles and mean of a histogram as lines ``legend``, ``step``, ``value``: one rate pass for all.
+
+    ``samples`` are bucket counters with ``le``; the mean needs them with the sum. The
+    legend is the name of the line, with the ``by`` labels before it.
+    """
+    rates = ranges.rate(samples, [*labels, "le"], window, step, unique=unique)
+    profile = histogram_profile(quantiles, rates, by, mean=mean)
+    lines = [*quantiles, *([mean] if mean else [])]
+    line = F.explode(F.array(*[F.struct(
+        F.concat_ws(" ", *by, F.lit(name)).alias("legend"), F.col(name).alias("value")) for name in lines]))
+    return profile.select("step", line.alias("_line")).select("_line.legend", "step", "_line.value")
 
 
 def reduce_series(

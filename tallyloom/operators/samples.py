@@ -19,12 +19,17 @@ def to_counter(
     reset: str | None = "day",
     scrape: str | None = None,
     slice_width: str = "1m",
+    since: str | None = None,
+    until: str | None = None,
 ) -> DataFrame:
     """Cumulative counter per label set, starting again each ``reset`` period.
 
     One sample per series and instant (or per ``scrape`` interval, stamped at its
     start). ``amount`` is what one event adds, 1 if not given. Events are summed
     per instant before any shuffle, so a burst of copies costs one row.
+
+    ``since`` and ``until`` ask for the samples of ``[since, until)`` alone: then only events
+    from the start of the period of ``since`` are read, a range that reaches the scan.
     """
     if reset not in (None, "hour", "day", "week", "month", "quarter", "year"):
         raise ValueError(f"cannot restart each {reset}")
@@ -32,6 +37,12 @@ def to_counter(
         raise ValueError(f"slices of {slice_width} do not fit into an hour")
     names = list(labels)
     ntz = is_ntz(events, ts)
+    kind = "timestamp_ntz" if ntz else "timestamp"
+    if since is not None and reset:
+        begin = F.date_trunc(reset, F.lit(since).cast("timestamp")).cast(kind)
+        events = events.filter(F.col(ts) >= begin)
+    if until is not None:
+        events = events.filter(F.col(ts) < F.lit(until).cast(kind))
     facts = events.select(
         *[label(c).alias(n) for n, c in labels.items()],
         F.col(ts).alias("ts"),
@@ -45,7 +56,8 @@ def to_counter(
     sliced = instants.withColumn("_slice", known(floor_time("ts", slice_width), ntz))
     total = running_total(
         sliced, names, "_slice", "ts", "_amount", "value", "_period" if reset else None)
-    return total.select(*names, "ts", F.col("value").cast("double").alias("value"))
+    samples = total.select(*names, "ts", F.col("value").cast("double").alias("value"))
+    return samples if since is None else samples.filter(F.col("ts") >= F.lit(since).cast(kind))
 
 
 def to_bucket_counters(
@@ -56,11 +68,13 @@ def to_bucket_counters(
     ts: str = "ts",
     scrape: str = "1m",
     reset: str | None = "day",
+    with_sum: bool = False,
 ) -> DataFrame:
     """Cumulative histogram counters: label columns, ``le``, ``ts``, ``value``.
 
     All bounds are counted in one aggregation per scrape interval; only the
-    small result is turned into one row per bound.
+    small result is turned into one row per bound. ``with_sum`` adds the sum of the
+    measure as a bucket with the bound NaN.
     """
     names = list(labels)
     ntz = is_ntz(events, ts)
@@ -71,12 +85,11 @@ def to_bucket_counters(
         facts.withColumn("ts", floor_time("ts", scrape))
         .groupBy(*names, "ts")
         .agg(*[F.count_if(F.col(measure) <= F.lit(float(b))).alias(f"_b{i}")
-               for i, b in enumerate(bounds)])
+               for i, b in enumerate(bounds)], F.sum(measure).cast("double").alias("_sum"))
     )
-    rows = F.explode(F.array(*[
-        F.struct(F.lit(float(b)).alias("le"), F.col(f"_b{i}").alias("n"))
-        for i, b in enumerate(bounds)
-    ]))
+    parts = [(b, F.col(f"_b{i}").cast("double")) for i, b in enumerate(bounds)]
+    parts += [(float("nan"), F.col("_sum"))] if with_sum else []
+    rows = F.explode(F.array(*[F.struct(F.lit(float(b)).alias("le"), n.alias("n")) for b, n in parts]))
     by = [*names, "le"]
     long = counted.withColumn("_b", rows).select(*names, "_b.le", "ts", F.col("_b.n").alias("_n"))
     if reset:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -70,13 +70,29 @@ def share(
     )
 
 
+def combine(
+    vector: DataFrame, parts: Mapping[str, Column], formula: Callable[[Mapping[str, Column]], Column],
+    by: Sequence[str] = (),
+) -> DataFrame:
+    """``formula`` over the sums of several parts of one vector: a single pass, no join.
+
+    ``parts`` names conditions on the labels. Steps where a part has no series drop, as
+    they would in a join of the parts.
+    """
+    sums = vector.groupBy(*by, "step").agg(
+        *[F.sum(F.when(part, F.col("value"))).alias(f"_{name}") for name, part in parts.items()])
+    known = {name: F.col(f"_{name}") for name in parts}
+    return sums.dropna(subset=[f"_{name}" for name in parts]).select(*by, "step", formula(known).alias("value"))
+
+
 def topk(k: int, vector: DataFrame, by_step: bool = True) -> DataFrame:
     """The ``k`` largest series of each step, or of the whole vector; ties go by labels.
 
-    Spark keeps ``k`` rows per step on each task before the shuffle.
+    Spark keeps ``k`` rows per step on each task before the shuffle. A value that is no
+    number ranks last.
     """
     labels = [c for c in vector.columns if c not in ("step", "value")]
-    order = [F.col("value").desc(), *[F.col(c) for c in labels]]
+    order = [F.nanvl("value", F.lit(None)).desc_nulls_last(), *[F.col(c) for c in labels]]
     if not by_step:
         return vector.orderBy(*order, "step").limit(k)
     rank = F.row_number().over(Window.partitionBy("step").orderBy(*order))

@@ -8,7 +8,7 @@ from ..functions.display import format_unit, legend as legend_text, threshold_st
 from ..functions.labels import select_series as select
 from ..functions.timeaxis import calendar
 from ..operators import histogram, panels, ranges, vectors
-from ..operators.samples import bucket_counts
+from ..operators.samples import bucket_counts, to_bucket_counters, to_counter
 from . import inputs, query
 from .inputs import (
     BOUNDS, BUCKET_COUNTERS_SQL, COUNTERS_SQL, GAUGES_SQL, SERIES, TYPE_COUNTERS_SQL,
@@ -98,8 +98,11 @@ SELECT event_type, step, round(value, 9) AS value FROM rates
 WHERE step BETWEEN TIMESTAMP '2024-01-30 12:00:00' AND TIMESTAMP '2024-01-30 18:00:00'""")
 def range_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Six hours at the dashboard refresh interval."""
+    # the events are read from the start of the counters' day, and not beyond the range
+    samples = to_counter(table(spark, sf_dir, "events"), {"event_type": "event_type"},
+                         since="2024-01-30 11:00:00", until="2024-01-30 18:00:00")
     result = ranges.range_query(
-        inputs.type_counters(spark, sf_dir), "2024-01-30 12:00:00", "2024-01-30 18:00:00",
+        samples, "2024-01-30 12:00:00", "2024-01-30 18:00:00",
         lambda samples: ranges.rate(samples, _TYPE, "1h", "30s", unique=True), reach="1h")
     return _rounded(result, "value", digits=9)
 
@@ -146,10 +149,8 @@ idle AS (SELECT step, sum(value) AS v FROM now WHERE event_type = 'view' GROUP B
 whole AS (SELECT step, sum(value) AS v FROM now GROUP BY 1)
 SELECT step, round(idle.v / nullif(whole.v, 0), 6) AS value FROM idle JOIN whole USING (step)""")
 def utilisation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The ratio of two label-less sums, joined on the step."""
-    now = _now(spark, sf_dir)
-    idle = vectors.agg(select(now, [("event_type", "=", "view")]), "sum")
-    return _rounded(vectors.ratio(idle, vectors.agg(now, "sum")), "value")
+    """The ratio of two label-less sums."""
+    return _rounded(vectors.share(_now(spark, sf_dir), F.col("event_type") == "view"), "value")
 
 
 @query(f"""WITH {COUNTERS_SQL}, {_RATE_1H},
@@ -157,10 +158,18 @@ a AS (SELECT user_bucket, step, sum(value) AS v FROM rates WHERE event_type = 'p
 b AS (SELECT user_bucket, step, sum(value) AS v FROM rates GROUP BY 1, 2)
 SELECT user_bucket, step, round(a.v / nullif(b.v, 0), 6) AS value FROM a JOIN b USING (user_bucket, step)""")
 def vector_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rates = _rates(spark, sf_dir)
-    bought = vectors.agg(select(rates, [("event_type", "=", "purchase")]), "sum", ["user_bucket"])
-    everything = vectors.agg(rates, "sum", ["user_bucket"])
-    return _rounded(vectors.vector_op(bought, everything, "/", ["user_bucket"]), "value")
+    bought = vectors.share(_rates(spark, sf_dir), F.col("event_type") == "purchase", ["user_bucket"])
+    return _rounded(bought, "value")
+
+
+@query(f"""WITH {GAUGES_SQL}, {_NOW_1H}
+SELECT a.user_bucket, step, a.value - b.value AS value FROM now a JOIN now b USING (user_bucket, step)
+WHERE a.event_type = 'click' AND b.event_type = 'view'""")
+def vector_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two vectors joined by their labels and the step."""
+    now = _now(spark, sf_dir)
+    a, b = (select(now, [("event_type", "=", t)]).drop("event_type") for t in ("click", "view"))
+    return vectors.vector_op(a, b, "-")
 
 
 @query(f"""WITH {GAUGES_SQL}, {_NOW_1H}
@@ -170,9 +179,9 @@ JOIN now c ON a.user_bucket = c.user_bucket AND a.step = c.step AND c.event_type
 WHERE a.event_type = 'click' GROUP BY 1""")
 def vector_sum(spark: SparkSession, sf_dir: str) -> DataFrame:
     """sum(a + b + c) of three metrics; steps where one is missing drop."""
-    now = _now(spark, sf_dir)
-    a, b, c = (select(now, [("event_type", "=", t)]).drop("event_type") for t in ("click", "view", "error"))
-    total = vectors.vector_op(vectors.vector_op(a, b, "+"), c, "+")
+    parts = {t: F.col("event_type") == t for t in ("click", "view", "error")}
+    total = vectors.combine(
+        _now(spark, sf_dir), parts, lambda part: part["click"] + part["view"] + part["error"], ["user_bucket"])
     return _rounded(vectors.agg(total, "sum"), "value")
 
 
@@ -266,13 +275,13 @@ def histogram_quantile_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT event_type, step, round(s.value / nullif(r.value, 0), 8) AS value
 FROM sums s JOIN rates r USING (event_type, step)""")
 def histogram_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from ..operators.samples import to_counter
-    events = table(spark, sf_dir, "events")
-    sums = to_counter(events, {"event_type": "event_type"}, amount=F.col("value"))
-    counts = inputs.type_counters(spark, sf_dir)
-    return _rounded(histogram.histogram_mean(
-        ranges.rate(sums, _TYPE, "6h", "1h", unique=True),
-        ranges.rate(counts, _TYPE, "6h", "1h", unique=True), _TYPE), "value", digits=8)
+    """Both counters are series of one vector: one scan, one rate."""
+    kinds = F.array(F.struct(F.lit("sum").alias("kind"), F.col("value").alias("amount")),
+                    F.struct(F.lit("count").alias("kind"), F.lit(1.0).alias("amount")))
+    both = table(spark, sf_dir, "events").select("event_type", "ts", F.inline(kinds))
+    samples = to_counter(both, {"event_type": "event_type", "kind": "kind"}, amount=F.col("amount"))
+    rates = ranges.rate(samples, ["event_type", "kind"], "6h", "1h", unique=True)
+    return _rounded(histogram.histogram_mean(rates, by=_TYPE), "value", digits=8)
 
 
 _PANEL = [
@@ -301,6 +310,38 @@ def panel_reduce(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(panels.reduce_series(shown), "mean")
 
 
+@query(f"""{_PANEL_SQL.rsplit(", panel AS", 1)[0]}, sums AS (
+  SELECT 'all / ' || user_bucket AS legend, step, sum(value) AS value FROM grown GROUP BY 1, 2)
+SELECT legend, step, value FROM sums QUALIFY row_number() OVER (PARTITION BY step ORDER BY value DESC, legend) <= 2
+UNION ALL SELECT 'peak', step, max(value) FROM grown GROUP BY 1, 2""")
+def panel_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    targets = [
+        panels.Target("all / {{user_bucket}}", [], "increase", "6h", "sum", ["user_bucket"], k=2),
+        panels.Target("peak", [], "increase", "6h", "max"),
+    ]
+    return panels.panel(inputs.counters(spark, sf_dir), SERIES, targets, "1h", unique=True)
+
+
+@query(f"""WITH {BUCKET_COUNTERS_SQL}, amounts AS (
+  SELECT event_type, ts, CAST(sum(v) OVER (PARTITION BY event_type, CAST(ts AS DATE) ORDER BY ts) AS DOUBLE) AS value
+  FROM (SELECT event_type, time_bucket(INTERVAL 1 MINUTE, ts) AS ts, sum(value) AS v FROM events GROUP BY 1, 2)),
+{increase_sql("rates", "bucket_counters", ["event_type", "le"], "6 hours", "1 hour", "/ 21600.0")},
+{increase_sql("sums", "amounts", ["event_type"], "6 hours", "1 hour", "/ 21600.0")},
+p50 AS ({_quantile_sql(0.5, "rates", "event_type, step").replace("shaped AS", "WITH shaped AS", 1)}),
+p95 AS ({_quantile_sql(0.95, "rates", "event_type, step").replace("shaped AS", "WITH shaped AS", 1)})
+SELECT event_type || ' p50' AS legend, step, value FROM p50
+UNION ALL SELECT event_type || ' p95', step, value FROM p95
+UNION ALL SELECT r.event_type || ' mean', r.step, round(s.value / nullif(r.value, 0), 6) FROM rates r
+  LEFT JOIN sums s ON s.event_type = r.event_type AND s.step = r.step WHERE r.le = CAST('infinity' AS DOUBLE)""")
+def panel_latency(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Median, 95th percentile and mean from one rate pass."""
+    samples = to_bucket_counters(
+        table(spark, sf_dir, "events"), {"event_type": "event_type"}, "value", BOUNDS, with_sum=True)
+    lines = panels.histogram_panel(
+        samples, _TYPE, {"p50": 0.5, "p95": 0.95}, _TYPE, "6h", "1h", mean="mean", unique=True)
+    return _rounded(lines, "value")
+
+
 @query(f"""WITH {GAUGES_SQL}
 SELECT event_type || ' / ' || coalesce(region, '') AS legend, count(*) AS samples FROM gauges GROUP BY 1""")
 def legend(spark: SparkSession, sf_dir: str) -> DataFrame:
