@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 # Slices per doubling of the measure, and an offset beyond any double's exponent in slices.
 _PER_OCTAVE = 1024
 _OFFSET = 1 << 21
+# A slice that holds a rank is cut into so many equal parts.
+_PARTS = 1024
 
 
 def _value_slice(value: Column) -> Column:
@@ -24,6 +26,11 @@ def _value_slice(value: Column) -> Column:
     )
 
 
+def _part(value: Column, low: Column, high: Column) -> Column:
+    """Which of ``_PARTS`` equal parts of ``[low, high]`` the value lies in."""
+    return F.when(high > low, F.floor((value - low) / (high - low) * (_PARTS - 1))).otherwise(F.lit(0)).cast("long")
+
+
 def exact_quantile(
     df: DataFrame, by: Sequence[str], measure: str, q: float,
     count: str = "events", out: str = "quantile",
@@ -31,8 +38,11 @@ def exact_quantile(
     """Row count and interpolated quantile of ``measure`` per ``by``.
 
     Equal values are counted before the shuffle. The ranks wanted are located on
-    per-slice counts, and only the one or two slices holding them are sorted, so
-    no task handles a whole group. Nulls and NaN count as rows, not as values.
+    per-slice counts, then the one or two slices that hold them are cut into ``_PARTS``
+    equal parts between their smallest and largest value and the ranks located again.
+    Only the parts that hold a rank are sorted: also where all values lie in one narrow
+    band, a task sorts about a thousandth of a group's distinct values, unless these
+    crowd together once more. Nulls and NaN count as rows, not as values.
     """
     keys = list(by)
     value = F.col(measure).cast("double")
@@ -43,7 +53,8 @@ def exact_quantile(
         .withColumn("_slice", _value_slice(F.col("_value")))
     )
     # nulls sort first, so the slice without a value never shifts a rank
-    totals = counts.groupBy(*keys, "_slice").agg(F.sum("_n").alias("_m"))
+    totals = counts.groupBy(*keys, "_slice").agg(
+        F.sum("_n").alias("_m"), F.min("_value").alias("_min"), F.max("_value").alias("_max"))
     known = F.when(F.col("_slice").isNotNull(), F.col("_m")).otherwise(0)
     along = Window.partitionBy(*keys).orderBy("_slice")
     whole = Window.partitionBy(*keys)
@@ -55,7 +66,7 @@ def exact_quantile(
             "_size": F.sum(known).over(whole),
             count: F.sum("_m").over(whole),
         })
-        .withColumns({"_low": F.floor(rank), "_high": F.ceil(rank), "_part": rank - F.floor(rank)})
+        .withColumns({"_low": F.floor(rank), "_high": F.ceil(rank), "_frac": rank - F.floor(rank)})
     )
 
     def holds(position: str, start: Column, length: Column) -> Column:
@@ -65,21 +76,34 @@ def exact_quantile(
     unknown = (F.col("_size") == 0)
     wanted = located.filter(here | unknown).select(
         *[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)],
-        F.col("_slice").alias("_wanted"), "_before", "_low", "_high", "_part", count,
+        F.col("_slice").alias("_wanted"), "_before", "_low", "_high", "_frac", "_min", "_max", count,
     )
     same = F.col("_slice").eqNullSafe(F.col("_wanted"))
     for i, k in enumerate(keys):
         same = same & F.col(k).eqNullSafe(F.col(f"_k{i}"))
-    inside = Window.partitionBy("_slice", *keys).orderBy("_value").rowsBetween(
+    facts = ["_before", "_low", "_high", "_frac", count]
+    crowded = counts.join(wanted, same).select(
+        *keys, "_slice", _part(F.col("_value"), F.col("_min"), F.col("_max")).alias("_part"), "_value", "_n", *facts)
+    # the same once more, for the parts of a slice
+    parts = crowded.groupBy(*keys, "_slice", "_part").agg(
+        F.sum("_n").alias("_m"), *[F.first(c).alias(c) for c in facts])
+    earlier = Window.partitionBy("_slice", *keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = parts.withColumn("_before", F.col("_before") + F.coalesce(F.sum("_m").over(earlier), F.lit(0)))
+    here = holds("_low", F.col("_before"), F.col("_m")) | holds("_high", F.col("_before"), F.col("_m"))
+    parts = parts.filter(here | F.col("_slice").isNull()).select(
+        *[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.col("_slice").alias("_wanted"),
+        F.col("_part").alias("_wanted_part"), F.col("_before").alias("_start_of_part"))
+    same = same & F.col("_part").eqNullSafe(F.col("_wanted_part"))
+    inside = Window.partitionBy("_slice", "_part", *keys).orderBy("_value").rowsBetween(
         Window.unboundedPreceding, -1
     )
-    start = F.col("_before") + F.coalesce(F.sum("_n").over(inside), F.lit(0))
-    picked = counts.join(wanted, same).withColumn("_start", start)
+    start = F.col("_start_of_part") + F.coalesce(F.sum("_n").over(inside), F.lit(0))
+    picked = crowded.join(parts, same).withColumn("_start", start)
     low = F.max(F.when(holds("_low", F.col("_start"), F.col("_n")), F.col("_value")))
     high = F.max(F.when(holds("_high", F.col("_start"), F.col("_n")), F.col("_value")))
     return (
         picked.groupBy(*keys)
-        .agg(F.max(count).alias(count), low.alias("_lo"), high.alias("_hi"), F.max("_part").alias("_part"))
+        .agg(F.max(count).alias(count), low.alias("_lo"), high.alias("_hi"), F.max("_frac").alias("_frac"))
         .select(*keys, count, F.when(F.col("_lo") == F.col("_hi"), F.col("_lo")).otherwise(
-            F.col("_lo") + (F.col("_hi") - F.col("_lo")) * F.col("_part")).alias(out))
+            F.col("_lo") + (F.col("_hi") - F.col("_lo")) * F.col("_frac")).alias(out))
     )

@@ -172,3 +172,17 @@ def test_run_metrics_best_step_is_the_first(spark):
     high = models.run_metrics(df, smaller_is_better=False).first()
     assert (low["last_value"], low["last_step"], low["best_value"], low["best_step"]) == (1.5, 4, 1.0, 1)
     assert (high["best_value"], high["best_step"], high["steps"]) == (3.0, 0, 5)
+
+
+def test_quantile_of_a_narrow_band(spark):
+    """Distinct epoch milliseconds are one slice; no part of it holds more than a few hundred."""
+    n, base = 200_000, 1_706_000_000_000
+    df = spark.range(n).select((F.col("id") * 7 + base).cast("double").alias("v"), (F.col("id") % 2).alias("g"))
+    sizes = df.select(quantiles._value_slice(F.col("v")).alias("s"), quantiles._part(
+        F.col("v"), F.lit(float(base)), F.lit(float(base + 7 * (n - 1)))).alias("p")).groupBy("s", "p").count()
+    assert sizes.select("s").distinct().count() == 1
+    assert sizes.agg(F.max("count")).first()[0] <= 200
+    found = {r["g"]: r["quantile"] for r in quantiles.exact_quantile(df, ["g"], "v", 0.95).collect()}
+    for g in (0, 1):
+        values = np.arange(g, n, 2) * 7.0 + base
+        assert found[g] == pytest.approx(np.quantile(values, 0.95), rel=1e-15)
