@@ -321,7 +321,9 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, key: str
         sketch.filter("n_shingles > 0").groupBy("_set").agg(F.min("_doc").alias("_first"), F.first("_sign").alias("_sign"))
         .withColumn("_node", F.monotonically_increasing_id()), "near_classes")
     signs = classes.select("_node", "_sign")
-    keys = signs.mapInArrow(_keys, "_key long, _node long, _slot int")
+    # every class makes SYMBOLS keys: spread the classes first, so that no task holds many of them
+    width = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    keys = signs.repartition(width, "_node").mapInArrow(_keys, "_key long, _node long, _slot int")
     buckets = durable(keys.groupBy("_key").agg(F.min("_node").alias("_a"), F.count("*").alias("_n")).filter("_n > 1"),
                       "near_buckets")
     members = durable(keys.join(buckets, "_key"), "near_members")

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, Window, functions as F, types as T
 
 from .common import byte_blocks, durable, packed, small_batches
 
-#: Words of at most so many bytes are remembered, two generations of about so many per worker.
+#: Words of at most so many bytes are remembered, two generations of about so many per task.
 _WORD_BYTES, _WORDS = 48, 250_000
 #: Marks that may end a word; after an ASCII letter or digit they are tokens of their own.
 _MARKS = b".,!?;:"
@@ -143,6 +143,7 @@ def _cut(path: str, capacity: int, end: int, ids: bool) -> Callable:
                     columns.append(pa.array(bodies, pa.list_(pa.int32())))
                     names.append("ids")
                 yield pa.RecordBatch.from_arrays(columns, names)
+        _words.clear()  # the worker goes on to other tasks, some of them of other operators
     return run
 
 
