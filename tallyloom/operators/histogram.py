@@ -16,7 +16,8 @@ def histogram_quantile(
 
     Buckets are summed per ``by`` (and ``step`` if present) and bound first, before
     the shuffle. The first bucket starts at 0. A rank in the +Inf bucket gives the
-    highest finite bound. No +Inf bucket, or no observations: null.
+    highest finite bound. No +Inf bucket, or no observations: null. A count below that of
+    a smaller bound, as the restart of a counter can leave it, counts as the larger one.
     """
     return histogram_profile({"value": q}, buckets, by, le, value)
 

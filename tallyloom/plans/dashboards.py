@@ -327,11 +327,12 @@ def panel_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
   FROM (SELECT event_type, time_bucket(INTERVAL 1 MINUTE, ts) AS ts, sum(value) AS v FROM events GROUP BY 1, 2)),
 {increase_sql("rates", "bucket_counters", ["event_type", "le"], "6 hours", "1 hour", "/ 21600.0")},
 {increase_sql("sums", "amounts", ["event_type"], "6 hours", "1 hour", "/ 21600.0")},
-p50 AS ({_quantile_sql(0.5, "rates", "event_type, step").replace("shaped AS", "WITH shaped AS", 1)}),
-p95 AS ({_quantile_sql(0.95, "rates", "event_type, step").replace("shaped AS", "WITH shaped AS", 1)})
+rising AS (SELECT event_type, step, le, max(value) OVER (PARTITION BY event_type, step ORDER BY le) AS value FROM rates),
+p50 AS ({_quantile_sql(0.5, "rising", "event_type, step").replace("shaped AS", "WITH shaped AS", 1)}),
+p95 AS ({_quantile_sql(0.95, "rising", "event_type, step").replace("shaped AS", "WITH shaped AS", 1)})
 SELECT event_type || ' p50' AS legend, step, value FROM p50
 UNION ALL SELECT event_type || ' p95', step, value FROM p95
-UNION ALL SELECT r.event_type || ' mean', r.step, round(s.value / nullif(r.value, 0), 6) FROM rates r
+UNION ALL SELECT r.event_type || ' mean', r.step, round(s.value / nullif(r.value, 0), 6) FROM rising r
   LEFT JOIN sums s ON s.event_type = r.event_type AND s.step = r.step WHERE r.le = CAST('infinity' AS DOUBLE)""")
 def panel_latency(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Median, 95th percentile and mean from one rate pass."""
