@@ -69,3 +69,17 @@ def test_counters_read_their_events_once(spark, sf_dir):
     df.collect()
     final = physical(df).split("== Initial Plan ==")[0]
     assert final.count("FileScan") == 1 and "ReusedExchange" in final
+
+
+@pytest.mark.parametrize("name", ["vector_ratio", "vector_sum", "utilisation", "histogram_mean", "panel_latency"])
+def test_parts_of_a_vector_share_one_pipeline(spark, sf_dir, name):
+    """The range function runs once: its instants are gathered by one Generate of evaluation times."""
+    plan = physical(plans.QUERIES[name](spark, sf_dir)).split("== Initial Plan ==")[-1]
+    assert len(re.findall(r"Generate explode\(.*sequence", plan)) <= 1
+    # a counter reads its instants and their slice totals from one scan or an exchange that is reused
+    assert plan.count("FileScan") <= 2
+
+
+def test_range_reaches_the_events(spark, sf_dir):
+    plan = physical(plans.QUERIES["range_query"](spark, sf_dir))
+    assert "GreaterThanOrEqual(ts,2024-01-30T00:00" in plan and "LessThan(ts,2024-01-30T18:00" in plan
