@@ -24,7 +24,7 @@ from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import durable, unused
+from .common import BLANKS, durable, unused
 
 #: Characters of a word that count, so that inflected forms are one.
 BEGINNING = 4
@@ -32,7 +32,7 @@ BEGINNING = 4
 
 def _words(text: str) -> Column:
     """Lower-case words between white space; for a text without words one empty string."""
-    return F.split(F.trim(F.lower(F.coalesce(F.col(text), F.lit("")))), r"\s+")
+    return F.split(F.trim(F.lower(F.coalesce(F.col(text), F.lit(""))), F.lit(BLANKS.decode())), r"\s+")
 
 
 def _beginnings(words: Column, buckets: int) -> Column:

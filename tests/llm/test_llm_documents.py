@@ -392,6 +392,18 @@ def test_mixing_awkward_rows(spark):
     assert mixing.mix(docs, labels.limit(0), {"a": 0.7, "b": 0.3}).count() == len(rows)
 
 
+def test_mixing_counts_words_between_any_white_space(spark):
+    edges = ["\nalpha beta", "\talpha\n", "\r\n alpha beta\x0b", "\x0calpha\t beta \n\r", "alpha beta\n\n", "\n\n", "\talpha"]
+    rows = [*samples.ROWS, *((100 + i, t) for i, t in enumerate(edges))]
+    docs = samples.awkward(spark, rows)
+    labels = spark.createDataFrame([(1, "a"), (7, "b")], "doc_id long, domain string")
+    found = mixing.mix(docs, labels, {"a": 0.7, "b": 0.3}).collect()
+    expected = {(k, len(samples.WORD.findall(t or ""))) for k, t in rows}
+    assert {(r["doc_id"], r["tokens"]) for r in found} == expected
+    words = docs.filter("doc_id in (105, 106)").select("doc_id", mixing._words("text").alias("words")).collect()
+    assert {r["doc_id"]: r["words"] for r in words} == {105: [""], 106: ["alpha"]}
+
+
 def test_mixing_documents_comes_as_near_as_rates_can(spark):
     """Against many more steps of the same descent on arrays; the targets may be out of reach."""
     rows = queries.op9_soft_mixing(spark, "/root/testdata/sf0.01").collect()
