@@ -16,13 +16,15 @@ the shared folder, so plans stay short.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
+from functools import partial
 from math import log
 
+import numpy as np
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import VectorAssembler
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Row, functions as F
 
 from .common import BLANKS, durable, unused
 
@@ -137,13 +139,66 @@ def posteriors(docs: DataFrame, classifier: Classifier, key: str = "doc_id", tex
     return sums.select("_key", "_hash", "_n", "tokens", *[(p / total).alias(f"_p{d}") for d, p in enumerate(parts)])
 
 
+def _look(state: DataFrame, domains: int, floor: float, ceiling: float, prices: Sequence[float], reach: float) -> tuple[Column, Row]:
+    """The rate at ``prices`` of the domains' tokens, and sums over all rows: totals, curvature of free rows, values."""
+    price = sum((F.col(f"_p{d}") * float(x) for d, x in enumerate(prices)), F.lit(0.0))
+    inner = F.col("rate") - reach * price
+    rate = F.least(F.greatest(inner, F.lit(float(floor))), F.lit(float(ceiling)))
+    amount = F.col("tokens") * F.col("_n")
+    sums = {f"t{d}": F.col(f"_p{d}") * amount * rate for d in range(domains)}
+    sums |= {f"c{d}_{e}": F.when((inner > floor) & (inner < ceiling), F.col(f"_p{d}") * F.col(f"_p{e}") * amount)
+             for d in range(domains) for e in range(d + 1)}
+    sums["cost"] = amount * (rate * price + (rate - F.col("rate")) * (rate - F.col("rate")) / (2 * reach))
+    sums["least"] = amount * F.when(price >= 0, price * float(floor)).otherwise(price * float(ceiling))
+    return rate, state.agg(*[F.coalesce(F.sum(x), F.lit(0.0)).alias(name) for name, x in sums.items()]).first()
+
+
+def _settle(look: Callable[[Sequence[float], float], tuple[Column, Row]], targets: Sequence[float], own: Sequence[float],
+            near: Sequence[float], most: int = 300) -> Column:
+    """The rate whose totals are within ``near`` of the targets, or of the nearest totals that any rates reach.
+
+    Implicit steps of the descent: ``r = clip(r - reach * posterior . prices)`` where the
+    prices are the weighted gaps after the step, found by Newton's method with a number per
+    domain. Any prices bound the least loss from below, which tells how far the totals are
+    from the best; ``reach`` grows until that is near. More than ``most`` scans are an error.
+    """
+    goal, weigh, near = np.array(targets, float), np.array(own, float), np.array(near, float)
+    domains = range(len(goal))
+    prices, reach = np.zeros(len(goal)), 1.0
+    rate, sums = look(prices, reach)
+    step, value, fall, excess = None, 0.0, 0.0, 0.0
+    for _ in range(most):
+        totals = np.array([sums[f"t{d}"] for d in domains])
+        bound = (weigh * prices * prices).sum() / 2 + (goal * prices).sum()
+        excess = max(((totals - goal) ** 2 / weigh).sum() / 2 + bound - sums["least"], 0.0)
+        if (abs(totals - goal) <= near).all() or (np.sqrt(2 * weigh * excess) <= near).all():
+            return rate
+        at = bound - sums["cost"]
+        if step is not None and at > value - 1e-4 * fall + 1e-13 * abs(value) and abs(step).max() > 1e-12 * abs(prices).max():
+            step, fall = step / 2, fall / 2
+            prices = prices - step
+        else:
+            slope = weigh * prices + goal - totals
+            if (abs(slope) <= near / 10).all():
+                reach, step = reach * 10, None
+            else:
+                curve = np.array([[sums[f"c{max(d, e)}_{min(d, e)}"] for e in domains] for d in domains])
+                step = -np.linalg.solve(np.diag(weigh) + reach * curve, slope)
+                value, fall, prices = at, -(slope * step).sum(), prices + step
+        rate, sums = look(prices, reach)
+    raise RuntimeError(f"rates have not settled after {most} scans: totals {totals.tolist()}, targets {list(targets)}")
+
+
 def rates(members: DataFrame, domains: int, targets: Sequence[float], floor: float = 0.0, ceiling: float = 100.0,
           steps: int = 60, tolerance: float = 1e-3, per_write: int = 12) -> DataFrame:
     """``members`` (needs _n, tokens, _p0, ...) plus ``rate`` between ``floor`` and ``ceiling``.
 
     ``targets`` are expected tokens per domain. Projected gradient descent from rate 1 on
     the weighted sum of squared gaps; the gradient of a document is scaled by its tokens.
-    It ends after ``steps`` steps, or when no gap exceeds ``tolerance`` of all target tokens.
+    It ends when no gap exceeds ``tolerance`` of all target tokens. After ``steps`` plain
+    steps the steps are implicit and as long as need be; they also end where no total is
+    farther than that from the nearest totals that any rates reach. Neither within 300 scans
+    is an error.
     """
     goal = sum(targets) or 1.0
     state = durable(members.withColumn("rate", F.lit(float(min(max(1.0, floor), ceiling)))), "mixing_rates")
@@ -151,7 +206,9 @@ def rates(members: DataFrame, domains: int, targets: Sequence[float], floor: flo
                          .alias(f"_t{d}") for d in range(domains)]
     curve = state.agg(*[F.coalesce(F.sum(F.col(f"_p{d}") * F.col(f"_p{e}") * F.col("tokens") * F.col("_n")), F.lit(0.0))
                         .alias(f"_c{d}_{e}") for d in range(domains) for e in range(domains)]).first()
-    own = [curve[f"_c{d}_{d}"] or 1.0 for d in range(domains)]
+    # the curvatures sum up to all tokens; a domain with next to none of them must not outweigh the others
+    least = 1e-4 * sum(curve)
+    own = [max(curve[f"_c{d}_{d}"], least) or 1.0 for d in range(domains)]
     # gaps are weighed by the curvature of their domain; the largest row sum bounds what is left
     steepest = max((sum(curve[f"_c{d}_{e}"] / own[e] for e in range(domains)) for d in range(domains)), default=0.0)
     if not steepest:
@@ -162,14 +219,17 @@ def rates(members: DataFrame, domains: int, targets: Sequence[float], floor: flo
         totals = state.agg(*mass(rate)).first()
         gaps = [totals[f"_t{d}"] - targets[d] for d in range(domains)]
         if max(map(abs, gaps)) <= tolerance * goal:
-            break
+            return state.withColumn("rate", rate)
         pull = sum((F.col(f"_p{d}") * float(gap / own[d]) for d, gap in enumerate(gaps)), F.lit(0.0))
         rate = F.least(F.greatest(rate - eta * pull, F.lit(float(floor))), F.lit(float(ceiling)))
         taken += 1
         if taken == per_write:
             state = durable(state.withColumn("rate", rate), "mixing_rates")
             rate, taken = F.col("rate"), 0
-    return state.withColumn("rate", rate)
+    if taken:
+        state = durable(state.withColumn("rate", rate), "mixing_rates")
+    look = partial(_look, state, domains, floor, ceiling)
+    return state.withColumn("rate", _settle(look, targets, own, [tolerance * goal] * domains))
 
 
 def mix(docs: DataFrame, labels: DataFrame, weights: dict[str, float], budget: float = 1.0, floor: float = 0.0,

@@ -376,6 +376,33 @@ def test_rates_against_numpy(spark):
     assert np.allclose([r[3] for r in ours], [r[3] for r in theirs], atol=1e-6)
 
 
+@pytest.mark.parametrize("rows,spread,reachable", [(50, 0.3, True), (300, 50.0, False)])
+def test_rates_settle_where_posteriors_overlap(spark, rows, spread, reachable):
+    """Within the tolerance of the targets, or of what 200,000 steps of the same descent on arrays come to."""
+    rng = np.random.default_rng(0)
+    p, tokens = rng.dirichlet([spread] * 3, size=rows), rng.integers(1, 500, size=rows)
+    members = spark.createDataFrame([(1, int(t), *map(float, q)) for t, q in zip(tokens, p, strict=True)],
+                                    "_n long, tokens long, _p0 double, _p1 double, _p2 double")
+    total = float(tokens.sum())
+    targets = np.array([0.90, 0.07, 0.03]) * total
+    found = mixing.rates(members, 3, targets.tolist()).collect()
+    reached = np.array([sum(r[f"_p{d}"] * r["tokens"] * r["rate"] for r in found) for d in range(3)])
+    assert all(0 <= r["rate"] <= 100 for r in found)
+    mass, rate = p * tokens[:, None], np.ones(rows)
+    curve = mass.T @ p
+    own = np.diag(curve)
+    eta = 1 / max((curve / own).sum(axis=1))
+    for _ in range(0 if reachable else 200_000):
+        rate = np.clip(rate - eta * (p @ ((mass.T @ rate - targets) / own)), 0, 100)
+    assert np.abs(reached - (targets if reachable else mass.T @ rate)).max() <= 1.1e-3 * total
+
+
+def test_rates_that_do_not_settle_are_an_error():
+    sums = {"t0": 1.0, "c0_0": 0.0, "cost": 0.0, "least": -1e9}
+    with pytest.raises(RuntimeError, match="not settled"):
+        mixing._settle(lambda prices, reach: (None, sums), [5.0], [1.0], [0.1], most=3)
+
+
 def test_mixing_awkward_rows(spark):
     docs = samples.awkward(spark)
     labels = spark.createDataFrame([(1, "a"), (3, "a"), (7, "b"), (None, "a"), (9, None), (11, "c")],
