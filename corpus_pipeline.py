@@ -16,9 +16,9 @@ from tallyloom.llm.queries import domains, table, word_tokenizer
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
-#: Target shares of the domains' tokens. No document appears more than once, so clean
-#: documents keep their rate of 1 and toxic ones give way.
-WEIGHTS = {"clean": 0.99, "toxic": 0.01}
+#: What is to stay of the tokens that each domain has, whatever its share. No document
+#: appears more than once, so clean documents keep their rate of 1 and toxic ones go.
+WEIGHTS = {"clean": 1.0, "toxic": 0.0}
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -42,7 +42,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 def mix_domains(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents stay by their rate."""
     labels = domains(spark, sf_dir).filter("domain <> 'low'")
-    return mixing.resample(docs, mixing.mix(docs, labels, WEIGHTS, ceiling=1.0))
+    return mixing.resample(docs, mixing.mix(docs, labels, WEIGHTS, ceiling=1.0, of_own=True))
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

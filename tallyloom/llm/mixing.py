@@ -190,7 +190,7 @@ def _settle(look: Callable[[Sequence[float], float], tuple[Column, Row]], target
 
 
 def rates(members: DataFrame, domains: int, targets: Sequence[float], floor: float = 0.0, ceiling: float = 100.0,
-          steps: int = 60, tolerance: float = 1e-3, per_write: int = 12) -> DataFrame:
+          steps: int = 60, tolerance: float = 1e-3, per_write: int = 12, scales: Sequence[float] | None = None) -> DataFrame:
     """``members`` (needs _n, tokens, _p0, ...) plus ``rate`` between ``floor`` and ``ceiling``.
 
     ``targets`` are expected tokens per domain. Projected gradient descent from rate 1 on
@@ -198,9 +198,11 @@ def rates(members: DataFrame, domains: int, targets: Sequence[float], floor: flo
     It ends when no gap exceeds ``tolerance`` of all target tokens. After ``steps`` plain
     steps the steps are implicit and as long as need be; they also end where no total is
     farther than that from the nearest totals that any rates reach. Neither within 300 scans
-    is an error.
+    is an error. With ``scales`` the tolerance of each domain is taken of its own scale, or
+    of a ten-thousandth of them all if that is more.
     """
     goal = sum(targets) or 1.0
+    near = [tolerance * (max(scales[d], 1e-4 * sum(scales)) if scales else goal) for d in range(domains)]
     state = durable(members.withColumn("rate", F.lit(float(min(max(1.0, floor), ceiling)))), "mixing_rates")
     mass = lambda rate: [F.coalesce(F.sum(F.col(f"_p{d}") * F.col("tokens") * F.col("_n") * rate), F.lit(0.0))
                          .alias(f"_t{d}") for d in range(domains)]
@@ -218,7 +220,7 @@ def rates(members: DataFrame, domains: int, targets: Sequence[float], floor: flo
     for _ in range(steps):
         totals = state.agg(*mass(rate)).first()
         gaps = [totals[f"_t{d}"] - targets[d] for d in range(domains)]
-        if max(map(abs, gaps)) <= tolerance * goal:
+        if all(abs(gap) <= most for gap, most in zip(gaps, near, strict=True)):
             return state.withColumn("rate", rate)
         pull = sum((F.col(f"_p{d}") * float(gap / own[d]) for d, gap in enumerate(gaps)), F.lit(0.0))
         rate = F.least(F.greatest(rate - eta * pull, F.lit(float(floor))), F.lit(float(ceiling)))
@@ -229,16 +231,18 @@ def rates(members: DataFrame, domains: int, targets: Sequence[float], floor: flo
     if taken:
         state = durable(state.withColumn("rate", rate), "mixing_rates")
     look = partial(_look, state, domains, floor, ceiling)
-    return state.withColumn("rate", _settle(look, targets, own, [tolerance * goal] * domains))
+    return state.withColumn("rate", _settle(look, targets, own, near))
 
 
 def mix(docs: DataFrame, labels: DataFrame, weights: dict[str, float], budget: float = 1.0, floor: float = 0.0,
         ceiling: float = 100.0, buckets: int = 1 << 16, key: str = "doc_id", text: str = "text",
-        domain: str = "domain") -> DataFrame:
+        domain: str = "domain", of_own: bool = False) -> DataFrame:
     """(key, text hash ``_hash``, tokens, one ``p_<domain>`` per domain, rate, copies) per distinct key and text.
 
     ``weights`` are the target shares of the domains, ``budget`` the target tokens as a
-    multiple of the tokens there are. ``copies`` is the rate rounded to a whole number, up
+    multiple of the tokens there are. With ``of_own`` the weights are instead multiples of
+    the expected tokens that each domain has, whatever its share, and so is the tolerance;
+    ``budget`` does not count then. ``copies`` is the rate rounded to a whole number, up
     or down by a hash of key and text with the right chance. With ``floor`` 1 no document
     is lost.
 
@@ -252,9 +256,14 @@ def mix(docs: DataFrame, labels: DataFrame, weights: dict[str, float], budget: f
     names = list(weights)
     classifier = learn(docs, labels, names, buckets, key=key, text=text, domain=domain)
     members = durable(posteriors(docs, classifier, key, text), "mixing_members")
-    total = members.agg(F.sum(F.col("tokens") * F.col("_n")).alias("t")).first()["t"] or 0
-    whole = sum(weights.values())
-    rated = rates(members, len(names), [budget * total * w / whole for w in weights.values()], floor, ceiling)
+    if of_own:
+        has = list(members.agg(*[F.coalesce(F.sum(F.col(f"_p{d}") * F.col("tokens") * F.col("_n")), F.lit(0.0))
+                                 for d in range(len(names))]).first())
+        rated = rates(members, len(names), [w * n for w, n in zip(weights.values(), has, strict=True)], floor, ceiling, scales=has)
+    else:
+        total = members.agg(F.sum(F.col("tokens") * F.col("_n")).alias("t")).first()["t"] or 0
+        whole = sum(weights.values())
+        rated = rates(members, len(names), [budget * total * w / whole for w in weights.values()], floor, ceiling)
     chance = F.pmod(F.xxhash64("_key", "_hash", F.lit("copies")), F.lit(1 << 30)) / (1 << 30)
     rest = F.col("rate") - F.floor("rate")
     return rated.select(

@@ -65,6 +65,18 @@ def test_mixing_takes_no_clean_document(spark, stages):
     assert sum(k in after for k in clean) / len(clean) > 0.97
 
 
+@pytest.mark.parametrize("toxic", [8, 0])
+def test_toxic_documents_go_at_any_share(spark, folder, toxic):
+    """Eight toxic documents of 2,000 are far below one in a hundred; without any all stays."""
+    texts = [f"word{i % 50} word{i % 37} word{i % 11} plain" + (" nasty awful" if i < toxic else "") for i in range(2000)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    path = folder("few_toxic")
+    spark.createDataFrame([(i, 1, int(i < toxic)) for i in range(2000)], "doc_id long, quality int, toxic int").write.parquet(
+        f"{path}/labels.parquet")
+    kept = {k for k, _ in rows(pipeline.mix_domains(spark, docs, path))}
+    assert not any(k < toxic for k in kept) and len(kept) >= 0.99 * (2000 - toxic)
+
+
 def test_all_is_packed(stages):
     columns = ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
     check_packing([tuple(r) for r in stages["packing"].select(columns).collect()], rows(stages["mixing"]))
