@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import ann, language, line_dedup, mixing, near_dup, packing, quality, sharding, topk, warc
+from . import ann, language, line_dedup, mixing, near_dup, packing, prefix_trie, quality, sharding, topk, warc
 from .common import fold
 from ..session import scratch_path
 
@@ -151,3 +151,47 @@ def op9_soft_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return near_dup.near_duplicates(docs, words=4).select("doc_id", "n_shingles", "component_id", "kept")
+
+
+@query
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.conversation_trie(table(spark, sf_dir, "conversations"))
+
+
+# crc32 is spelt out: its table of 256 steps, then one step per digit of the id
+ORACLE_SQL["op13_prefix_trie"] = r"""
+WITH steps AS (
+  SELECT list_transform(range(256), lambda i: list_reduce(list_prepend(i, range(8)), lambda a, _:
+    CASE WHEN a % 2 = 1 THEN xor(a // 2, 3988292384) ELSE a // 2 END)) AS step),
+said AS (
+  SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+         row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST) AS p
+  FROM conversations WHERE conv_id IS NOT NULL),
+own AS (SELECT conv_id, list({'role': role, 'text': text} ORDER BY p) AS turns FROM said GROUP BY conv_id),
+hashed AS (
+  SELECT conv_id, turns, xor(4294967295, list_reduce(
+    list_prepend(4294967295, list_transform(range(1, length(conv_id::VARCHAR) + 1), lambda i: ascii(substr(conv_id::VARCHAR, i, 1))::BIGINT)),
+    lambda a, b: xor(a // 256, step[xor(a % 256, b) + 1]))) % 4 AS h
+  FROM own, steps),
+rebuilt AS (
+  SELECT c.conv_id, list_concat(coalesce(b.turns, [])[1:c.h], c.turns[c.h + 1:]) AS turns
+  FROM hashed c LEFT JOIN own b ON b.conv_id = c.conv_id - c.conv_id % 20),
+members AS (
+  SELECT conv_id, len(turns) AS size, unnest(range(len(turns) + 1)) AS depth, turns FROM rebuilt),
+nodes AS (
+  SELECT turns[1:depth] AS prefix, depth, min(conv_id) AS conv_id, count(*) AS n_convs,
+         coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (WHERE size = depth), '') AS ends
+  FROM members GROUP BY turns[1:depth], depth),
+kin AS (
+  SELECT n.*, p.conv_id AS parent_conv_id, c.n_children
+  FROM nodes n LEFT JOIN nodes p ON n.depth > 0 AND p.depth = n.depth - 1 AND p.prefix = n.prefix[1:n.depth - 1]
+  LEFT JOIN (SELECT prefix[1:depth - 1] AS prefix, depth - 1 AS depth, count(*) AS n_children
+             FROM nodes WHERE depth > 0 GROUP BY 1, 2) c ON c.depth = n.depth AND c.prefix = n.prefix),
+below AS (
+  SELECT prefix[1:up] AS prefix, up AS depth, count(*) FILTER (WHERE n_children IS NULL) AS n_leaves,
+         sum((n_convs - 1) * CASE WHEN depth = 0 THEN 0
+             ELSE len(regexp_extract_all(prefix[depth].text, '[^\x20\x09-\x0D]+')) END) AS saved_tokens
+  FROM (SELECT *, unnest(range(depth + 1)) AS up FROM kin) GROUP BY 1, 2)
+SELECT k.conv_id, k.depth, k.parent_conv_id, k.n_convs, coalesce(k.n_children, 0) AS n_children,
+       b.n_leaves, b.saved_tokens::BIGINT AS saved_tokens, sha256(k.ends) AS ends_sha256
+FROM kin k JOIN below b ON b.depth = k.depth AND b.prefix = k.prefix"""
