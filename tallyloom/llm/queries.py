@@ -7,7 +7,8 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import ann, language, line_dedup, mixing, near_dup, packing, prefix_trie, quality, sharding, topk, warc
+from . import (ann, html_text, language, line_dedup, mixing, near_dup, packing, prefix_trie, quality, sharding, topk, warc,
+               whitening)
 from .common import fold
 from ..session import scratch_path
 
@@ -195,3 +196,13 @@ below AS (
 SELECT k.conv_id, k.depth, k.parent_conv_id, k.n_convs, coalesce(k.n_children, 0) AS n_children,
        b.n_leaves, b.saved_tokens::BIGINT AS saved_tokens, sha256(k.ends) AS ends_sha256
 FROM kin k JOIN below b ON b.depth = k.depth AND b.prefix = k.prefix"""
+
+
+@query
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
+@query
+def op11_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.main_texts(table(spark, sf_dir, "pages"))
