@@ -24,10 +24,15 @@ def ridge(
     Minimises the squared error plus ``alpha`` times the squared coefficients; the
     intercept is not penalised. One pass gathers the means and covariances of the
     training part; only these few numbers reach the driver. Rows that lack a feature, the
-    label or the part they belong to are left out of everything and counted as ``left_out``.
+    label or the part they belong to, or have one that is NaN, are left out of everything and
+    counted as ``left_out``. Where the features do not tell one answer, as when one is constant
+    and ``alpha`` is 0, the coefficients of least squares and least length are given.
     """
-    rows = df.select(*[F.col(f).cast("double").alias(f) for f in features],
-                     F.col(label).cast("double").alias("_y"), test.alias("_test"))
+    def known(column: str) -> Column:
+        number = F.col(column).cast("double")
+        return F.when(~F.isnan(number), number)
+
+    rows = df.select(*[known(f).alias(f) for f in features], known(label).alias("_y"), test.alias("_test"))
     columns = [*features, "_y"]
     pairs = [(i, j) for i in range(len(features)) for j in range(i, len(columns))]
     complete = F.col("_test").isNotNull()
@@ -46,7 +51,8 @@ def ridge(
         if j < size:
             spread[i, j] = spread[j, i] = moments[f"c{i}_{j}"]
     against_label = np.array([moments[f"c{i}_{size}"] for i in range(size)])
-    solved = np.linalg.solve(moments["n"] * spread + alpha * np.eye(size), moments["n"] * against_label)
+    solved = np.linalg.lstsq(
+        moments["n"] * spread + alpha * np.eye(size), moments["n"] * against_label, rcond=1e-13)[0]
     weights = [float(w) for w in solved]
     intercept = moments[f"m{size}"] - sum(w * moments[f"m{i}"] for i, w in enumerate(weights))
     predicted = reduce(

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 
 def running_total(
@@ -19,25 +19,32 @@ def running_total(
     order: str,
     amount: str,
     total: str,
-    period: str | None = None,
+    period: Column | None = None,
 ) -> DataFrame:
     """Add ``total``: the sum of ``amount`` up to and including this row, per ``by``.
 
     ``by`` columns are non-null, ``order`` is unique inside a ``by`` group, and
-    ``slice_col`` never decreases along ``order``. With a ``period``, of which every
-    slice lies in one, the sum starts again in each.
+    ``slice_col`` never decreases along ``order``. With a ``period``, told from the slice,
+    which lies in one, the sum starts again in each. Rows that hold nothing but these
+    columns are shuffled once for both, the sums inside slices and those of slices.
     """
     # the slice leads: sorting then compares numbers before it compares labels
     keys = [slice_col, *by]
     inside = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    restart = [] if period is None else [period]
+    restart = [] if period is None else ["_restart"]
+    narrow = set(df.columns) == {*keys, order, amount}
+    if narrow:
+        df = df.repartition(*keys)
+    # the order is part of the totals too, so that both read the same columns of one shuffle
+    first = [F.min(order).alias("_first")] if narrow else []
     earlier = (
-        Window.partitionBy(*by, *restart).orderBy(slice_col)
+        Window.partitionBy(*by, *restart).orderBy(slice_col, *["_first"] * narrow)
         .rowsBetween(Window.unboundedPreceding, -1)
     )
     carried = (
         df.groupBy(*keys)
-        .agg(F.sum(amount).alias("_slice_total"), *[F.min(c).alias(c) for c in restart])
+        .agg(F.sum(amount).alias("_slice_total"), *first)
+        .withColumns({c: period for c in restart})
         .select(*keys, F.coalesce(F.sum("_slice_total").over(earlier), F.lit(0)).alias("_carried"))
     )
     return (

@@ -3,10 +3,12 @@
 Every function returns the label columns, ``step`` (the evaluation time, a
 multiple of the step since 1970) and ``value``. A window is ``[step - w, step)``.
 
-Shared shape: samples are reduced to one row per series and bucket, where a
-bucket divides both the window and the step; only these rows are gathered per
-series, so the rows of a series on one task are bounded by the time range over
-the bucket width, never by the number of samples.
+Shared shape: samples are reduced to one row per series and slice of time, in tasks
+that each hold one slice. Evaluation times are cut into blocks, at least an hour and
+four windows long, and a slice goes to the blocks whose windows reach it: its own and,
+from the end of a block, the next. What follows happens per series and block, so the
+rows of a series on one task are bounded by block over slice, whatever the time range
+and the number of samples.
 """
 
 from __future__ import annotations
@@ -20,13 +22,36 @@ from ..functions.labels import label
 from ..functions.timeaxis import floor_time, from_position, interval, is_ntz, seconds, to_position
 
 _MAX_SLICE = 60
+_MIN_BLOCK = 3600
 
 
-def _named(samples: DataFrame, labels: Sequence[str], ts: str, value: str) -> DataFrame:
+def _block_length(reach: int) -> int:
+    """Length of a block of evaluation times, a multiple of the window."""
+    return reach * max(4, -(-_MIN_BLOCK // reach))
+
+
+def _into_blocks(rows: DataFrame, reach: int) -> DataFrame:
+    """Repeat each row, at ``_at``, into every block ``_span`` with evaluation times in ``(_at, _at + reach]``."""
+    length = _block_length(reach)
+    # a block is longer than a window, so these are one block or two
+    spans = F.array(F.floor(F.col("_at") / length), F.floor((F.col("_at") + reach - 1) / length))
+    return rows.withColumn("_span", F.explode(F.array_distinct(spans)))
+
+
+def _in_block(first: Column, last: Column, reach: int, grid: int) -> Column:
+    """Grid positions from first to last that the row's block evaluates."""
+    length = _block_length(reach)
+    begin = F.col("_span") * length
+    return _steps(F.greatest(first, _floor(begin, grid) + grid), F.least(last, _floor(begin + length, grid)), grid)
+
+
+def _named(samples: DataFrame, labels: Sequence[str], ts: str, value: str, minute: str | None = None) -> DataFrame:
+    # labels that are spread by the minute already are texts already: as they are, Spark knows them again
     return samples.select(
-        *[label(n).alias(n) for n in labels],
+        *[label(n).alias(n) if minute is None else F.col(n) for n in labels],
         F.col(ts).alias("ts"),
         F.col(value).cast("double").alias("value"),
+        *([] if minute is None else [F.col(minute).alias("_slice")]),
     ).filter(F.col("ts").isNotNull() & F.col("value").isNotNull())
 
 
@@ -57,13 +82,16 @@ def increase(
     ts: str = "ts",
     value: str = "value",
     unique: bool = False,
+    minute: str | None = None,
 ) -> DataFrame:
     """Reset-aware growth of each counter over the window, where it has two samples or more.
 
     The sum of growth between neighbouring samples that both lie in the window;
     nothing is extrapolated to the window edges, so values differ slightly from
     engines that do. Several samples of a series at one instant count as one,
-    the largest; pass ``unique=True`` if there are none, which saves a shuffle.
+    the largest; pass ``unique=True`` if there are none. Samples are shuffled once, by
+    slice and series; name the column ``minute`` if they are spread that way already, by the
+    start of their minute, as ``to_counter`` does when told to keep it.
     """
     reach, grid = seconds(window), seconds(step)
     width = math.gcd(reach, grid)
@@ -71,14 +99,18 @@ def increase(
     ntz = is_ntz(samples, ts)
     names = list(labels)
 
-    points = _named(samples, names, ts, value).withColumn("_slice", floor_time("ts", slice_width))
-    if not unique:
-        points = points.groupBy(*names, "_slice", "ts").agg(F.max("value").alias("value"))
+    if minute is not None and slice_width == _MAX_SLICE:
+        points = _named(samples, names, ts, value, minute)
+    else:
+        points = _named(samples, names, ts, value).withColumn("_slice", floor_time("ts", slice_width))
     # the slice leads: sorting then compares numbers before it compares labels
-    in_slice = Window.partitionBy("_slice", *names).orderBy("ts")
+    in_slice = Window.partitionBy("_slice", *names).orderBy("ts", "value")
+    if not unique:
+        after = F.lead("ts").over(in_slice)
+        points = points.withColumn("_after", after).filter(F.col("_after").isNull() | (F.col("_after") != F.col("ts")))
     slices = (
         points.withColumn("_growth", _drop_aware(F.col("value"), F.lag("value").over(in_slice)))
-        .groupBy(*names, "_slice")
+        .groupBy("_slice", *names)
         .agg(
             F.sum("_growth").alias("_grown"),
             F.count(F.lit(1)).alias("_points"),
@@ -87,15 +119,18 @@ def increase(
         )
         .withColumn("_at", to_position("_slice", ntz))
     )
-    # _edge: growth between the last sample of the slice before and the first of this one
-    along = Window.partitionBy(*names).orderBy("_at")
+    slices = _into_blocks(slices.drop("_slice"), reach)
+    # _edge: growth between the last sample of the slice before and the first of this one;
+    # of a block's first slice no window holds the one before
+    keys = ["_span", *names]
+    along = Window.partitionBy(*keys).orderBy("_at")
     slices = slices.withColumn(
         "_edge", _drop_aware(F.col("_first"), F.lag("_last").over(along))
     )
     if slice_width < width:
         slices = (
             slices.withColumn("_bucket", _floor(F.col("_at"), width))
-            .groupBy(*names, "_bucket")
+            .groupBy(*keys, "_bucket")
             .agg(
                 (F.sum("_grown") + F.sum("_edge") - F.min_by("_edge", "_at")).alias("_grown"),
                 F.min_by("_edge", "_at").alias("_edge"),
@@ -105,7 +140,7 @@ def increase(
         )
     # Blocks as long as the window: a window is the end of one block and the start of
     # the next, so running sums from both sides of each block replace a sum per window.
-    block = Window.partitionBy(*names, "_block")
+    block = Window.partitionBy(*keys, "_block")
     up, down = block.orderBy("_at"), block.orderBy(F.col("_at").desc())
     upto = up.rowsBetween(Window.unboundedPreceding, 0)
     beyond = down.rowsBetween(Window.unboundedPreceding, -1)
@@ -137,15 +172,15 @@ def increase(
     )
     marker = F.array(F.struct((F.col("_at") + reach).alias("at"), F.lit(False).alias("evaluate")))
     evaluations = F.transform(
-        _steps(first, last, grid), lambda at: F.struct(at.alias("at"), F.lit(True).alias("evaluate")))
+        _in_block(first, last, reach, grid), lambda at: F.struct(at.alias("at"), F.lit(True).alias("evaluate")))
     rows = (
-        sums.select(*names, head.alias("_to"), tail.alias("_from"),
+        sums.select(*keys, head.alias("_to"), tail.alias("_from"),
                     F.explode(F.concat(marker, evaluations)).alias("_row"))
-        .select(*names, "_row.*", F.when(F.col("_row.evaluate"), F.col("_to")).alias("_to"),
+        .select(*keys, "_row.*", F.when(F.col("_row.evaluate"), F.col("_to")).alias("_to"),
                 F.when(~F.col("_row.evaluate"), F.col("_from")).alias("_from"))
     )
     backwards = (
-        Window.partitionBy(*names).orderBy(F.col("at").desc(), "evaluate")
+        Window.partitionBy(*keys).orderBy(F.col("at").desc(), "evaluate")
         .rowsBetween(Window.unboundedPreceding, 0)
     )
     opened = F.floor((F.col("at") - reach) / reach)
@@ -174,9 +209,10 @@ def rate(
     ts: str = "ts",
     value: str = "value",
     unique: bool = False,
+    minute: str | None = None,
 ) -> DataFrame:
     """Growth per second: ``increase`` over the window length."""
-    grown = increase(samples, labels, window, step, ts, value, unique)
+    grown = increase(samples, labels, window, step, ts, value, unique, minute)
     return grown.withColumn("value", F.col("value") / F.lit(float(seconds(window))))
 
 
@@ -208,15 +244,15 @@ def instant(
         .agg(latest.alias("value"))
         .select(*names, to_position("_bucket", ntz).alias("_at"), "value")
     )
-    following = F.lead("_at").over(Window.partitionBy(*names).orderBy("_at"))
+    following = F.lead("_at").over(Window.partitionBy("_span", *names).orderBy("_at"))
     first = _floor(F.col("_at"), grid) + grid
     last = F.least(
         _floor(F.col("_at") + reach, grid),
         F.coalesce(_floor(F.col("_next"), grid), F.col("_at") + reach),
     )
     return (
-        buckets.withColumn("_next", following)
-        .select(*names, F.explode(_steps(first, last, grid)).alias("_step"), "value")
+        _into_blocks(buckets, reach).withColumn("_next", following)
+        .select(*names, F.explode(_in_block(first, last, reach, grid)).alias("_step"), "value")
         .select(*names, from_position("_step", ntz).alias("step"), "value")
     )
 
@@ -252,7 +288,8 @@ def range_query(
     """Evaluate an expression for every step from start to end, both included.
 
     ``reach`` is how far back the expression looks; samples outside
-    ``[start - reach, end)`` are never read.
+    ``[start - reach, end)`` are never read if they are stored. Counters made of events
+    are told their range by ``since`` and ``until`` of ``to_counter``.
     """
     kind = "timestamp_ntz" if is_ntz(samples, ts) else "timestamp"
     first, last = F.lit(start).cast(kind), F.lit(end).cast(kind)

@@ -21,6 +21,7 @@ def to_counter(
     slice_width: str = "1m",
     since: str | None = None,
     until: str | None = None,
+    minute: str | None = None,
 ) -> DataFrame:
     """Cumulative counter per label set, starting again each ``reset`` period.
 
@@ -30,6 +31,8 @@ def to_counter(
 
     ``since`` and ``until`` ask for the samples of ``[since, until)`` alone: then only events
     from the start of the period of ``since`` are read, a range that reaches the scan.
+    ``minute`` names a column to keep, the start of the slice by which the samples lie
+    together: range functions that are told of it do not shuffle them again.
     """
     if reset not in (None, "hour", "day", "week", "month", "quarter", "year"):
         raise ValueError(f"cannot restart each {reset}")
@@ -51,12 +54,11 @@ def to_counter(
     if scrape:
         facts = facts.withColumn("ts", floor_time("ts", scrape))
     instants = facts.groupBy(*names, "ts").agg(F.sum("_amount").alias("_amount"))
-    if reset:
-        instants = instants.withColumn("_period", known(calendar("ts", reset, ntz), ntz))
     sliced = instants.withColumn("_slice", known(floor_time("ts", slice_width), ntz))
-    total = running_total(
-        sliced, names, "_slice", "ts", "_amount", "value", "_period" if reset else None)
-    samples = total.select(*names, "ts", F.col("value").cast("double").alias("value"))
+    period = known(calendar("_slice", reset, ntz), ntz) if reset else None
+    total = running_total(sliced, names, "_slice", "ts", "_amount", "value", period)
+    kept = [] if minute is None else [F.col("_slice").alias(minute)]
+    samples = total.select(*names, "ts", F.col("value").cast("double").alias("value"), *kept)
     return samples if since is None else samples.filter(F.col("ts") >= F.lit(since).cast(kind))
 
 
@@ -92,10 +94,9 @@ def to_bucket_counters(
     rows = F.explode(F.array(*[F.struct(F.lit(float(b)).alias("le"), n.alias("n")) for b, n in parts]))
     by = [*names, "le"]
     long = counted.withColumn("_b", rows).select(*names, "_b.le", "ts", F.col("_b.n").alias("_n"))
-    if reset:
-        long = long.withColumn("_period", known(calendar("ts", reset, ntz), ntz))
     long = long.withColumn("_slice", known(calendar("ts", "hour", ntz), ntz))
-    total = running_total(long, by, "_slice", "ts", "_n", "value", "_period" if reset else None)
+    period = known(calendar("_slice", reset, ntz), ntz) if reset else None
+    total = running_total(long, by, "_slice", "ts", "_n", "value", period)
     return total.select(*names, "le", "ts", F.col("value").cast("double").alias("value"))
 
 

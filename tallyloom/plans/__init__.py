@@ -25,4 +25,4 @@ def query(sql: str | None = None, name: str | None = None) -> Callable[[Plan], P
 
 
 def load_all() -> None:
-    from . import dashboards, event_tables, joins, models, streams, table_jobs  # noqa: F401
+    from . import dashboards, event_tables, joins, models, rollups, streams, table_jobs  # noqa: F401

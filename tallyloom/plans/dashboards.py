@@ -23,11 +23,11 @@ _NOW_1H = instant_sql("now", "gauges", SERIES, "15 minutes", "1 hour")
 
 
 def _rates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ranges.rate(inputs.counters(spark, sf_dir), SERIES, "1h", "15m", unique=True)
+    return ranges.rate(inputs.counters(spark, sf_dir, "minute"), SERIES, "1h", "15m", unique=True, minute="minute")
 
 
 def _type_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ranges.rate(inputs.type_counters(spark, sf_dir), _TYPE, "1h", "5m", unique=True)
+    return ranges.rate(inputs.type_counters(spark, sf_dir, "minute"), _TYPE, "1h", "5m", unique=True, minute="minute")
 
 
 def _now(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -77,8 +77,21 @@ def counter_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH {TYPE_COUNTERS_SQL}, {increase_sql("rates", "counters", _TYPE, "5 minutes", "1 minute", "/ 300.0")}
 SELECT event_type, step, round(value, 9) AS value FROM rates""")
 def rate_5m(spark: SparkSession, sf_dir: str) -> DataFrame:
-    samples = inputs.type_counters(spark, sf_dir)
-    return _rounded(ranges.rate(samples, _TYPE, "5m", "1m", unique=True), "value", digits=9)
+    samples = inputs.type_counters(spark, sf_dir, "minute")
+    return _rounded(ranges.rate(samples, _TYPE, "5m", "1m", unique=True, minute="minute"), "value", digits=9)
+
+
+@query(f"""WITH counters AS (
+  SELECT CASE WHEN event_id % 3 = 0 THEN 'hot' ELSE CAST(user_id % 40 AS VARCHAR) END AS series, ts,
+    CAST(count(*) OVER (PARTITION BY CASE WHEN event_id % 3 = 0 THEN 'hot' ELSE CAST(user_id % 40 AS VARCHAR) END, CAST(ts AS DATE)
+      ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS DOUBLE) AS value FROM events),
+{increase_sql("rates", "counters", ["series"], "2 hours", "20 minutes", "/ 7200.0")}
+SELECT series, step, round(value, 9) AS value FROM rates""")
+def rate_skewed_series(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A third of the samples are of one series."""
+    series = F.when(F.col("event_id") % 3 == 0, "hot").otherwise((F.col("user_id") % 40).cast("string"))
+    samples = to_counter(table(spark, sf_dir, "events"), {"series": series}, minute="minute")
+    return _rounded(ranges.rate(samples, ["series"], "2h", "20m", unique=True, minute="minute"), "value", digits=9)
 
 
 @query(f"""WITH {COUNTERS_SQL}, doubled AS (SELECT * FROM counters UNION ALL SELECT * REPLACE (value - 0.5 AS value) FROM counters),

@@ -16,16 +16,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def counters(spark: SparkSession, sf_dir: str) -> DataFrame:
+def counters(spark: SparkSession, sf_dir: str, minute: str | None = None) -> DataFrame:
     """Running event count per type and user bucket, starting again each day."""
     return to_counter(
         table(spark, sf_dir, "events"),
-        {"event_type": "event_type", "user_bucket": F.col("user_id") % 8},
+        {"event_type": "event_type", "user_bucket": F.col("user_id") % 8}, minute=minute,
     )
 
 
-def type_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return to_counter(table(spark, sf_dir, "events"), {"event_type": "event_type"})
+def type_counters(spark: SparkSession, sf_dir: str, minute: str | None = None) -> DataFrame:
+    return to_counter(table(spark, sf_dir, "events"), {"event_type": "event_type"}, minute=minute)
 
 
 def gauges(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ..operators import joins
+from ..operators import asof, joins
+from ..functions.timeaxis import floor_time
 from . import query
 from .inputs import table
 
@@ -68,3 +69,40 @@ def target_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     up = recent.select(F.col("o_custkey").alias("target"), F.col("o_orderdate").alias("ts"),
                        (F.col("o_totalprice") - 200000).alias("value"))
     return joins.target_status(expected, up, ["target"])
+
+
+_ASOF_SQL = """WITH o AS (
+  SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN -1 ELSE o_custkey % 150 END AS user_id,
+    TIMESTAMP '2024-01-01' + INTERVAL 1 HOUR * (date_diff('day', TIMESTAMP '1995-01-01', o_orderdate) % 720) AS at FROM orders),
+e AS (SELECT event_id, CASE WHEN event_id % 3 = 0 THEN -1 ELSE user_id END AS user_id,
+  time_bucket(INTERVAL 10 MINUTE, ts) AS ts, value FROM events WHERE event_type <> 'view'),
+pairs AS (SELECT o.*, e.ts, e.event_id, e.value FROM o JOIN e ON e.user_id = o.user_id AND {when}
+  QUALIFY row_number() OVER (PARTITION BY o_orderkey ORDER BY e.ts DESC, event_id DESC) = 1)"""
+
+
+def _orders_and_events(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Orders put into the month of the events; a third of both sides has one user, and times repeat."""
+    hour = (F.datediff("o_orderdate", F.lit("1995-01-01")) % 720) * F.expr("interval 1 hour")
+    orders = table(spark, sf_dir, "orders").select(
+        "o_orderkey", F.when(F.col("o_orderkey") % 3 == 0, -1).otherwise(F.col("o_custkey") % 150).alias("user_id"),
+        (F.lit("2024-01-01").cast("timestamp_ntz") + hour).alias("at"))
+    events = table(spark, sf_dir, "events").filter("event_type <> 'view'").select(
+        F.when(F.col("event_id") % 3 == 0, -1).otherwise(F.col("user_id")).alias("user_id"),
+        floor_time("ts", "10m").alias("ts"), "event_id", "value")
+    return orders, events
+
+
+@query(_ASOF_SQL.format(when="e.ts <= o.at") + """
+SELECT o.o_orderkey, o.user_id, o.at, p.ts, p.event_id, p.value FROM o LEFT JOIN pairs p USING (o_orderkey)""")
+def asof_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last event of each order's user up to it, however long ago; ties go to the larger id."""
+    orders, events = _orders_and_events(spark, sf_dir)
+    return asof.asof_join(orders, events, ["user_id"], "at", "ts")
+
+
+@query(_ASOF_SQL.format(when="e.ts < o.at AND e.ts >= o.at - INTERVAL 2 HOUR") + """
+SELECT o_orderkey, user_id, "at", ts, event_id, value FROM pairs""")
+def asof_join_recent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Only events before the order and at most two hours ago; orders without one are left out."""
+    orders, events = _orders_and_events(spark, sf_dir)
+    return asof.asof_join(orders, events, ["user_id"], "at", "ts", within="2h", how="inner", strict=True)

@@ -7,7 +7,7 @@ from contextlib import contextmanager
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..session import scratch_path
-from ..streaming import log as logs, sinks, stateful
+from ..streaming import log as logs, offset_log, sinks, stateful
 from . import inputs, query
 from .inputs import COMMITS_SQL, LOG_SQL, table
 
@@ -114,6 +114,58 @@ def read_log_latest_restart(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sinks.appended(spark, sink)
 
 
+def _appended_log(spark: SparkSession, sf_dir: str, parts: int = 1) -> tuple[str, list[DataFrame]]:
+    """A log by offsets that holds the first of ``parts`` stretches of records, and all stretches."""
+    path, stored = _stored_log(spark, sf_dir)
+    log = scratch_path(spark, "offset-log")
+    sizes = stored.groupBy("partition").agg(F.max("offset").alias("_top"))
+    stretch = F.floor(F.col("offset") * parts / (F.col("_top") + 1))
+    marked = stored.join(sizes, "partition").withColumn("_stretch", stretch)
+    stretches = [marked.filter(F.col("_stretch") == n).select(stored.columns) for n in range(parts)]
+    offset_log.append(stretches[0], log)
+    return log, stretches
+
+
+@query(f"""WITH {LOG_SQL} SELECT "partition", max("offset") + 1 AS "offset", -1 AS key FROM log GROUP BY 1""")
+def log_source_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """From the end of a log by offsets: the record added to each partition afterwards."""
+    log, (stored,) = _appended_log(spark, sf_dir)
+    checkpoint = scratch_path(spark, "checkpoint")
+    stream = offset_log.read(spark, log, "latest", checkpoint)
+    added = stored.groupBy("partition").agg((F.max("offset") + 1).alias("offset")).select(
+        F.lit("events").alias("topic"), "partition", "offset", F.lit(-1).cast("long").alias("key"),
+        F.lit("{}").alias("value"), F.lit("2024-01-31 00:00:00").cast("timestamp_ntz").alias("timestamp"),
+        F.lit(-1).cast("long").alias("event_id"))
+    offset_log.append(added, log)
+    return sinks.appended(spark, _run(spark, stream.select("partition", "offset", "key"), checkpoint=checkpoint))
+
+
+@query(f"""WITH {LOG_SQL} SELECT "partition", "offset", key, value, "timestamp", event_id FROM log""")
+def log_source_restart(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stopped and started twice on one checkpoint while the log grows: every record once."""
+    log, stretches = _appended_log(spark, sf_dir, 3)
+    checkpoint, sink = scratch_path(spark, "checkpoint"), scratch_path(spark, "sink")
+    for number, records in enumerate(stretches):
+        if number:
+            offset_log.append(records, log)
+        stream = offset_log.read(spark, log, "earliest", checkpoint).drop("topic")
+        sinks.run_available(stream, checkpoint, sinks.idempotent_sink(sink))
+    return sinks.appended(spark, sink)
+
+
+@query(f"""WITH {LOG_SQL}, {COMMITS_SQL}
+SELECT l."partition", l."offset" FROM log l JOIN commits c ON c."group" = 'behind' AND c."partition" = l."partition"
+WHERE l."offset" >= c."offset" """)
+def log_source_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """From a group's committed offsets, which are the next to read."""
+    log, stretches = _appended_log(spark, sf_dir, 4)
+    behind = inputs.commits(inputs.log(spark, sf_dir)).filter("group = 'behind'").collect()
+    for records in stretches[1:]:
+        offset_log.append(records, log)
+    stream = offset_log.read(spark, log, {row["partition"]: row["offset"] for row in behind})
+    return sinks.appended(spark, _run(spark, stream.select("partition", "offset")))
+
+
 _WINDOWS_SQL = """SELECT user_id, time_bucket(INTERVAL 5 MINUTE, ts) AS window_start,
   time_bucket(INTERVAL 5 MINUTE, ts) + INTERVAL 5 MINUTE AS window_end, count(*) AS events FROM events GROUP BY 1, 2, 3"""
 

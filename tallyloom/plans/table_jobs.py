@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..session import scratch_path
-from ..sources import ingest, tables
+from ..sources import ingest, rollups, tables
 from ..functions.timeaxis import interval
 from . import query
 from .inputs import table
@@ -56,6 +56,19 @@ def ingest_csv_bad(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bad.select(F.split("record", ",")[0].cast("long").alias("event_id"))
 
 
+@query("SELECT event_id, event_type, value FROM events WHERE event_id % 50 <> 0")
+def ingest_csv_reordered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files of one folder that name their columns in different orders, one with a column more."""
+    path = scratch_path(spark, "events-csv")
+    value = F.when(F.expr(_BAD), "n/a").otherwise(F.col("value").cast("string"))
+    events = table(spark, sf_dir, "events").withColumn("value", value)
+    for part, columns in enumerate((["event_id", "event_type", "value"], ["value", "event_id", "event_type"],
+                                    ["event_type", "props", "value", "event_id"])):
+        events.filter(F.col("event_id") % 3 == part).select(columns).write.mode("append").option("header", True).option(
+            "escape", '"').csv(path)
+    return ingest.ingest_csv(spark, path, "event_id long, event_type string, value double")[0]
+
+
 @query("""SELECT event_id, ts, user_id, event_type, value, props, CAST(ts AS DATE) AS event_date FROM events""")
 def write_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "events-by-day")
@@ -209,6 +222,27 @@ def rollup_emptied_day(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(path).groupBy("day", "event_type").agg(F.sum("rows").alias("rows"))
 
 
+@query("""WITH final AS (
+  SELECT ts, event_type, CASE WHEN event_id % 7 = 0 THEN value * 2 ELSE value END AS value FROM events WHERE event_id % 11 <> 0)
+SELECT CAST(ts AS DATE) AS day, date_trunc('hour', ts) AS bucket, event_type, count(*) AS rows,
+  round(sum(value), 6) AS total, round(avg(value), 6) AS mean FROM final GROUP BY 1, 2, 3""")
+def rollup_deltas(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Loaded, added to, updated, folded, deleted from, and one batch sent again: always only by changes."""
+    path = scratch_path(spark, "rollup")
+    events = table(spark, sf_dir, "events").select("event_id", "ts", "event_type", "value")
+    late, doubled = events.filter("event_id % 10 = 3"), events.filter("event_id % 7 = 0")
+    gone = events.filter("event_id % 11 = 0").withColumn(
+        "value", F.when(F.col("event_id") % 7 == 0, F.col("value") * 2).otherwise(F.col("value")))
+    batches = [rollups.changes(events.filter("event_id % 10 <> 3")), rollups.changes(late),
+               rollups.changes(doubled.withColumn("value", F.col("value") * 2), doubled), rollups.changes(deleted=gone)]
+    for number, batch in enumerate(batches):
+        rollups.apply_changes(batch, path, ["event_type"], "value", f"batch-{number}")
+        if number == 2:
+            rollups.fold(spark, path)
+            rollups.apply_changes(batches[1], path, ["event_type"], "value", "batch-1")
+    return rollups.read_rollup(spark, path).withColumns({"total": F.round("total", 6), "mean": F.round("mean", 6)})
+
+
 @query("SELECT event_id, event_type, round(value * 2, 6) AS value FROM events WHERE event_id % 2 = 0")
 def replace_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A table made from a query, twice, then replaced by a query on itself."""
@@ -234,6 +268,21 @@ def compact(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.count(F.lit(1)).alias("rows"), F.countDistinct("file").cast("int").alias("files"))
 
 
+@query("""SELECT CASE user_id % 4 WHEN 0 THEN '007' WHEN 1 THEN 'a+b c' WHEN 2 THEN '1e3' END AS shop, count(*) AS rows, 1 AS files
+FROM events GROUP BY 1""")
+def compact_text_partitions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Partitions whose names read like numbers, hold signs or are null keep their names and rows."""
+    path = scratch_path(spark, "crowded")
+    shop = F.when(F.col("user_id") % 4 == 0, "007").when(F.col("user_id") % 4 == 1, "a+b c").when(F.col("user_id") % 4 == 2, "1e3")
+    events = table(spark, sf_dir, "events").withColumn("shop", shop)
+    for part in range(3):
+        events.filter(F.col("event_id") % 3 == part).coalesce(1).write.mode("append").partitionBy("shop").parquet(path)
+    tables.compact(spark, path, "shop")
+    found = spark.read.schema("event_id long, shop string").parquet(path).select("shop", F.col("_metadata.file_path").alias("file"))
+    return found.groupBy("shop").agg(
+        F.count(F.lit(1)).alias("rows"), F.countDistinct("file").cast("int").alias("files"))
+
+
 @query("SELECT event_type, count(*) AS rows FROM events GROUP BY 1")
 def summary_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "report")

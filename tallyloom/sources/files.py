@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import SparkSession
 
 
@@ -66,3 +68,37 @@ def rename(spark: SparkSession, old: str, new: str) -> None:
     system, entry = _folder(spark, old)
     if not system.rename(entry, spark._jvm.org.apache.hadoop.fs.Path(new)):
         raise OSError(f"could not rename {old} to {new}")
+
+
+def first_line(spark: SparkSession, path: str) -> str | None:
+    """The first line of a text file that is not blank, unpacked if it is compressed; None if there is none."""
+    system, entry = _folder(spark, path)
+    codec = spark._jvm.org.apache.hadoop.io.compress.CompressionCodecFactory(spark._jsc.hadoopConfiguration()).getCodec(entry)
+    stream = system.open(entry)
+    try:
+        if codec is not None:
+            stream = codec.createInputStream(stream)
+        text = b""
+        while True:
+            part = bytes(stream.readNBytes(1 << 16))
+            text = (text + part).lstrip(b"\xef\xbb\xbf \t\r\n")
+            if b"\n" in text or b"\r" in text or not part:
+                return text.splitlines()[0].decode() if text else None
+    finally:
+        stream.close()
+
+
+def publish_text(spark: SparkSession, path: str, text: str) -> None:
+    """Write a small text file that appears whole or not at all; one that is there already is an error."""
+    temporary = f"{path.rsplit('/', 1)[0]}/.{uuid.uuid4().hex}.tmp"
+    write_text(spark, temporary, text)
+    fs = spark._jvm.org.apache.hadoop.fs
+    source, target = fs.Path(temporary), fs.Path(path)
+    system = source.getFileSystem(spark._jsc.hadoopConfiguration())
+    context = fs.FileContext.getFileContext(system.getUri(), spark._jsc.hadoopConfiguration())
+    try:
+        context.rename(system.makeQualified(source), system.makeQualified(target),
+                       spark.sparkContext._gateway.new_array(getattr(fs, "Options$Rename"), 0))
+    except Exception:
+        system.delete(source, False)
+        raise

@@ -245,7 +245,9 @@ def layout_audit(spark: SparkSession, path: str, small_file: int = 16 * 1024 * 1
         .groupBy(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_size").alias("size"))
         .agg(F.count(F.lit(1)).alias("_rows"))
     )
-    folder = F.regexp_extract(F.url_decode("file"), r"((?:/[^/=]+=[^/]+)*)/[^/]+$", 1)
+    # a path is escaped by %XX alone: a plus sign in it is one
+    plain = F.url_decode(F.replace("file", F.lit("+"), F.lit("%2B")))
+    folder = F.regexp_extract(plain, r"((?:/[^/=]+=[^/]+)*)/[^/]+$", 1)
     return (
         per_file.groupBy(F.ltrim(folder, F.lit("/")).alias("partition"))
         .agg(
@@ -319,30 +321,73 @@ def replace_table(df: DataFrame, path: str, partition: str | None = None) -> Non
     """Create a table from a query, or replace the one there; a rerun leaves one copy.
 
     The rows are written beside the table first, so the query may read the table it
-    replaces, and a query that fails leaves it. The swap is two renames.
+    replaces, and a query that fails leaves it. The swap is two renames, between which a
+    reader finds no table; if the second fails the old table is put back. A crash between
+    them leaves the old table as ``<path>-old-...``. Object stores copy on a rename.
     """
     spark = df.sparkSession
-    fresh, old = (f"{path.rstrip('/')}-{kind}-{uuid.uuid4().hex}" for kind in ("new", "old"))
+    fresh = f"{path.rstrip('/')}-new-{uuid.uuid4().hex}"
     (df.write.partitionBy(partition) if partition else df.write).parquet(fresh)
+    _swap(spark, fresh, path.rstrip("/"))
+
+
+def _swap(spark: SparkSession, fresh: str, path: str) -> None:
+    """Put a folder in the place of another, which goes, or comes back if that fails."""
+    old = f"{fresh}-old"
     there = files.exists(spark, path)
     if there:
         files.rename(spark, path, old)
-    files.rename(spark, fresh, path)
+    try:
+        files.rename(spark, fresh, path)
+    except Exception:
+        if there:
+            files.rename(spark, old, path)
+        raise
     if there:
         files.remove(spark, old)
 
 
+@contextmanager
+def _setting(spark: SparkSession, key: str, value: str) -> Iterator[None]:
+    before = spark.conf.get(key)
+    spark.conf.set(key, value)
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def compact(spark: SparkSession, path: str, partition: str, small_file: int = 16 * 1024 * 1024) -> list[str]:
     """Rewrite the partitions that have more than one small file; returns their folder names.
 
     Finds them by the layout audit. Rows are gathered by size, so large partitions keep
-    several files; partitions in good shape are neither read nor written.
+    several files; partitions in good shape are neither read nor written. Partition values
+    are kept as the texts their folders say, and nested partitions stay nested. The new
+    files are written beside the table and a folder is put in place only once all of them hold
+    as many rows as before.
     """
-    audit = layout_audit(spark, path, small_file).filter("small_files > 1").select("partition").collect()
-    crowded = sorted(row["partition"] for row in audit)
-    if crowded:
+    path = path.rstrip("/")
+    audit = layout_audit(spark, path, small_file).filter(
+        (F.col("small_files") > 1) & F.startswith("partition", F.lit(f"{partition}="))).collect()
+    rows_of = {row["partition"]: row["rows"] for row in audit}
+    crowded = sorted(rows_of)
+    if not crowded:
+        return []
+    levels = [level.split("=", 1)[0] for level in crowded[0].split("/")]
+    with _setting(spark, "spark.sql.sources.partitionColumnTypeInference.enabled", "false"):
         rows = spark.read.option("basePath", path).parquet(*[f"{path}/{name}" for name in crowded])
-        overwrite_partitions(rows, path, partition)
+    fresh = f"{path}-compact-{uuid.uuid4().hex}"
+    rows.hint("rebalance", *levels).write.partitionBy(*levels).parquet(fresh)
+    written = {row["partition"]: row["rows"] for row in layout_audit(spark, fresh, small_file).collect()}
+    if written != rows_of:
+        files.remove(spark, fresh)
+        raise ValueError(f"rewriting {path} changed its partitions: {rows_of} became {written}")
+    for name in crowded:
+        # beside the table: a folder inside would be read as part of it
+        moved = f"{fresh}-{uuid.uuid4().hex}"
+        files.rename(spark, f"{fresh}/{name}", moved)
+        _swap(spark, moved, f"{path}/{name}")
+    files.remove(spark, fresh)
     return crowded
 
 

@@ -186,3 +186,11 @@ def test_quantile_of_a_narrow_band(spark):
     for g in (0, 1):
         values = np.arange(g, n, 2) * 7.0 + base
         assert found[g] == pytest.approx(np.quantile(values, 0.95), rel=1e-15)
+
+
+def test_ridge_of_nan_and_constant_features(spark):
+    nan = float("nan")
+    given = [(i, float(i % 7), 3.0, 2.0 * (i % 7) + 1) for i in range(20)] + [(20, nan, 3.0, 1.0), (21, 1.0, 3.0, nan)]
+    row = models.ridge(spark.createDataFrame(given, "id int, a double, c double, y double"), ["a", "c"], "y", 0.0, F.col("id") % 5 == 0).first()
+    assert row["left_out"] == 2 and row["train_rows"] == 16 and row["mse"] == pytest.approx(0, abs=1e-18)
+    assert row["coef_a"] == pytest.approx(2) and row["coef_c"] == 0 and row["intercept"] == pytest.approx(1)

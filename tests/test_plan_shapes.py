@@ -5,6 +5,7 @@ import re
 import pytest
 
 from tallyloom import plans
+from tallyloom.operators import ranges
 
 plans.load_all()
 
@@ -83,3 +84,36 @@ def test_parts_of_a_vector_share_one_pipeline(spark, sf_dir, name):
 def test_range_reaches_the_events(spark, sf_dir):
     plan = physical(plans.QUERIES["range_query"](spark, sf_dir))
     assert "GreaterThanOrEqual(ts,2024-01-30T00:00" in plan and "LessThan(ts,2024-01-30T18:00" in plan
+
+
+_RATES = ["error_rate", "counter_rate", "rate_5m", "rate_skewed_series", "increase_repeated_samples", "instant_lookup",
+          "vector_ratio", "histogram_quantile"]
+
+
+@pytest.mark.parametrize("name", _RATES)
+def test_no_series_is_one_task(spark, sf_dir, name):
+    """Windows over samples, slices and buckets of a series are cut by a slice, a block or a period."""
+    plan = physical(plans.QUERIES[name](spark, sf_dir)).split("== Initial Plan ==")[-1]
+    for line in plan.splitlines():
+        if re.search(r"\bWindow \[", line):
+            # the partition is the last list but one: Window [functions], [partition], [order]
+            partition = re.findall(r"\[([^\[\]]*)\]", line)[-2]
+            assert re.search(r"_slice|_span|_restart|step", partition), line
+
+
+@pytest.mark.parametrize("name", ["error_rate", "counter_rate", "rate_5m"])
+def test_rates_shuffle_samples_once(spark, sf_dir, name):
+    """Counters made of events lie by minute already, and the range function leaves them there."""
+    df = plans.QUERIES[name](spark, sf_dir)
+    df.collect()
+    final = physical(df).split("== Initial Plan ==")[0]
+    exchanges = [line for line in final.splitlines() if "Exchange hashpartitioning" in line and "ReusedExchange" not in line]
+    assert len(exchanges) <= 5, exchanges
+
+
+def test_stored_samples_are_shuffled_once(spark, folder):
+    """Exchanges of a rate over stored samples: one of samples, one of slices."""
+    path = folder("samples")
+    spark.range(1000).selectExpr("'a' AS job", "timestamp_seconds(id * 7) AS ts", "CAST(id AS DOUBLE) AS value").write.parquet(path)
+    plan = physical(ranges.rate(spark.read.parquet(path), ["job"], "5m", "1m")).split("== Initial Plan ==")[-1]
+    assert plan.count("Exchange hashpartitioning") == 2

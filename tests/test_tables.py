@@ -236,3 +236,75 @@ def test_only_crowded_partitions_are_rewritten(spark, folder):
     assert files.file_names(spark, f"{path}/d=0") == before
     assert spark.read.parquet(path).count() == 60
     assert len([n for n in files.file_names(spark, f"{path}/d=1") if n.endswith(".parquet")]) == 1
+
+
+def test_compacted_partitions_keep_names_and_rows(spark, folder):
+    """Text that reads like numbers, signs that paths escape, null, and two levels."""
+    path = folder("crowded")
+    values = ["007", "7", "a+b", "a b", "x%20y", "p/q", "k=v", None]
+    rows = spark.createDataFrame([(i, v, i // 8 % 2) for i, v in enumerate(values * 3)], "id int, k string, n int")
+    for _ in range(2):
+        rows.coalesce(1).write.mode("append").partitionBy("k", "n").parquet(path)
+    read = lambda: sorted(
+        (r["id"], str(r["k"]), r["n"]) for r in spark.read.schema("id int, k string, n int").parquet(path).collect())
+    before, folders = read(), files.subfolders(spark, path)
+    assert len(tables.compact(spark, path, "k")) == 2 * len(values)
+    assert read() == before and files.subfolders(spark, path) == folders
+    assert tables.compact(spark, path, "k") == []
+    assert all(r["files"] == 1 for r in tables.layout_audit(spark, path).collect())
+
+
+def test_compaction_that_would_change_rows_is_refused(spark, folder, monkeypatch):
+    path = folder("crowded")
+    for _ in range(2):
+        spark.range(4).withColumn("k", F.lit("a")).coalesce(1).write.mode("append").partitionBy("k").parquet(path)
+    audit, calls = tables.layout_audit, []
+
+    def wrong(*args):
+        calls.append(1)
+        found = audit(*args)
+        return found if len(calls) == 1 else found.withColumn("rows", F.lit(7).cast("long"))
+
+    monkeypatch.setattr(tables, "layout_audit", wrong)
+    with pytest.raises(ValueError, match="changed its partitions"):
+        tables.compact(spark, path, "k")
+    assert spark.read.parquet(path).count() == 8 and files.subfolders(spark, path) == ["k=a"]
+
+
+def test_failed_swap_puts_the_old_table_back(spark, folder, monkeypatch):
+    path = folder("replaced")
+    tables.replace_table(spark.range(5), path)
+    rename = files.rename
+
+    def failing(session, old, new):
+        if new == path and not old.endswith("-old"):
+            raise OSError("no")
+        rename(session, old, new)
+
+    monkeypatch.setattr(files, "rename", failing)
+    with pytest.raises(OSError):
+        tables.replace_table(spark.range(9), path)
+    assert spark.read.parquet(path).count() == 5
+
+
+@pytest.mark.parametrize("multiline", [False, True])
+def test_csv_columns_go_by_each_files_header(spark, folder, multiline):
+    """Other orders, further columns, quoted names, blank lines first, and records that equal the header."""
+    path = folder("csv")
+    for lines in (["a,b", "1,2", "a,b"], ["", '"b","a"', "2,1", "b,a", "x,3"], ["c,b,a", "9,2,1", "8,4"], ["a,b"]):
+        spark.createDataFrame([(x,) for x in lines], "l string").coalesce(1).write.mode("append").text(path)
+    spark.createDataFrame([("b,a",), ("6,5",)], "l string").coalesce(1).write.mode("append").option("compression", "gzip").text(path)
+    good, bad = ingest.ingest_csv(spark, path, "a int, b int", multiline=multiline)
+    assert sorted(tuple(r) for r in good.collect()) == [(1, 2), (1, 2), (1, 2), (5, 6)]
+    assert sorted(r.record for r in bad.collect()) == ["8,4", "a,b", "b,a", "x,3"]
+    assert good.columns == ["a", "b"] and good.select("b").count() == 4
+    spark.createDataFrame([("a,z",), ("1,2",)], "l string").coalesce(1).write.mode("append").text(path)
+    with pytest.raises(ValueError, match="does not name b"):
+        ingest.ingest_csv(spark, path, "a int, b int", multiline=multiline)
+
+
+def test_csv_of_nothing(spark, folder):
+    path = folder("csv")
+    spark.createDataFrame([], "l string").write.text(path)
+    good, bad = ingest.ingest_csv(spark, path, "a int")
+    assert good.count() == bad.count() == 0 and good.columns == ["a"]
