@@ -21,15 +21,45 @@ from pyspark.sql import DataFrame, Window, functions as F
 from .common import durable
 from .vectors import matrix, vectors
 
-#: Integers a component may have, so that a score of a thousand components fits a long.
-LARGEST = 1 << 26
+#: Doubles hold all whole numbers up to here, and beyond it only whole numbers. A score is a long.
+EXACT, LARGEST = 1 << 53, (1 << 63) - 1
 
 
 def quantized(table: DataFrame, key: str, vector: str) -> DataFrame:
     """(_id, _dim, _vec) with components floor(256 x), as doubles that hold them exactly."""
-    whole = vectors(table, key, vector, zero=True).withColumn(
-        "_vec", F.transform("_vec", lambda x: F.floor(x * 256).cast("double")))
-    return whole.filter(F.forall("_vec", lambda x: F.abs(x) <= LARGEST))
+    def whole(x):
+        return F.when(F.abs(x * 256) < EXACT, F.floor(x * 256).cast("double")).otherwise(x * 256)
+
+    return vectors(table, key, vector, zero=True).withColumn("_vec", F.transform("_vec", whole))
+
+
+_whole = np.frompyfunc(int, 1, 1)
+
+
+def products(asked: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Exact inner products of rows of whole numbers as longs; an error if one is none.
+
+    Where no sum can pass 2**53 doubles are exact; the few larger rows are multiplied as
+    Python integers, with those queries that are too large for doubles too.
+    """
+    reach, top = np.abs(asked).sum(axis=1), np.abs(x).max(axis=1, initial=0.0)
+    if reach.max(initial=0.0) * top.max(initial=0.0) < EXACT:
+        return (asked @ x.T).astype(np.int64)
+    score = np.zeros((len(asked), len(x)), np.int64)
+    large = reach.max() * top >= EXACT
+    score[:, ~large] = (asked @ x[~large].T).astype(np.int64)
+    wide = reach * top.max() >= EXACT
+    score[np.ix_(~wide, large)] = (asked[~wide] @ x[large].T).astype(np.int64)
+    exact = _whole(asked[wide]) @ _whole(x[large]).T
+    if exact.size and max(exact.max(), -exact.min()) > LARGEST:
+        raise OverflowError("an inner product does not fit a long")
+    score[np.ix_(wide, large)] = exact.astype(np.int64)
+    return score
+
+
+def _above(low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """high - low without a sign, as it may pass a long."""
+    return high.astype(np.uint64) - low.astype(np.uint64)
 
 
 class _Block:
@@ -37,19 +67,17 @@ class _Block:
 
     def __init__(self, ids: np.ndarray, rows: np.ndarray, low: np.ndarray, high: np.ndarray, wanted: np.ndarray, bins: int):
         self.ids, self.rows, self.low, self.high, self.wanted, self.bins = ids, rows, low, high, wanted, bins
-        self.width = np.maximum(-(-(high - low) // bins), 1)
+        self.width = (_above(low, high) - np.uint64(1)) // np.uint64(bins) + np.uint64(1)
 
     def scores(self, batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """(ids of some rows, their exact integer scores per query); the query's own rows are lowest."""
-        exact = float if LARGEST * np.abs(self.rows).sum(axis=1).max(initial=0) < 2 ** 53 else object
         step = max(1, (1 << 21) // max(len(self.ids), 1))
-        asked = self.rows.astype(exact)
         for batch in batches:
             for at in range(0, batch.num_rows, step):
                 some = batch.slice(at, step)
                 ids = some.column(0).to_numpy(zero_copy_only=False)
                 x = matrix(some.column(1), self.rows.shape[1])
-                score = (asked @ (x.astype(np.int64).astype(object) if exact is object else x).T).astype(np.int64)
+                score = products(self.rows, x)
                 score[self.ids[:, None] == ids[None, :]] = np.iinfo(np.int64).min
                 yield ids, score
 
@@ -60,8 +88,8 @@ def _count(shared) -> Callable:
         n, bins = len(block.ids), block.bins
         counts = np.zeros((n, bins), np.int64)
         for _, score in block.scores(batches):
-            at = (score - block.low[:, None]) // block.width[:, None]
             inside = (score >= block.low[:, None]) & (score < block.high[:, None])
+            at = (_above(block.low[:, None], score) // block.width[:, None]).astype(np.int64)
             query, _ = np.nonzero(inside)
             counts += np.bincount(query * bins + at[inside], minlength=n * bins).reshape(n, bins)
         above = counts[:, ::-1].cumsum(axis=1)[:, ::-1] - counts
@@ -96,7 +124,7 @@ def _answer(block: _Block, data: DataFrame) -> DataFrame:
     """All passes for one block of queries of one length."""
     spark = data.sparkSession
     n, lowest = len(block.ids), int(block.low.min())
-    while (block.high - block.low > 1).any():
+    while (_above(block.low, block.high) > 1).any():
         counts = data.mapInArrow(_count(spark.sparkContext.broadcast(block)), "_query int, _bin int, _n long")
         down = Window.partitionBy("_query").orderBy(F.desc("_bin"))
         located = (
@@ -110,8 +138,11 @@ def _answer(block: _Block, data: DataFrame) -> DataFrame:
         query, at, before = query[hit], at[hit], (total - own)[hit]
         # a query with too few candidates takes them all: its kth value is below every score
         low, high, left = np.full(n, lowest - 1), np.full(n, lowest), np.zeros(n, np.int64)
-        low[query] = block.low[query] + at * block.width[query]
-        high[query] = np.minimum(low[query] + block.width[query], block.high[query])
+        from_low = at.astype(np.uint64) * block.width[query]
+        whole = _above(block.low[query], block.high[query])
+        low[query] = (block.low[query].astype(np.uint64) + from_low).astype(np.int64)
+        up_to = from_low + np.minimum(block.width[query], whole - from_low)
+        high[query] = (block.low[query].astype(np.uint64) + up_to).astype(np.int64)
         left[query] = block.wanted[query] - before
         block = _Block(block.ids, block.rows, low, high, left, block.bins)
     return data.mapInArrow(_fetch(spark.sparkContext.broadcast(block)), "query_id long, vec_id long, score long")
@@ -124,8 +155,8 @@ def search(queries: DataFrame, table: DataFrame, k: int = 5, bins: int = 1024, b
     Components count as floor(256 x). Returns query_id, rank (from 1), vec_id, score; ties
     go to the smaller id; fewer than ``k`` candidates are all returned. Rows with the id of
     the query are its own. Vectors that are null, empty or hold null or non-finite
-    components, or components beyond 2**26 after scaling, take no part, nor do rows without
-    an id; vectors are scored against those of their own length. Rows that repeat an id are
+    components take no part, nor do rows without an id; an inner product beyond a long is an
+    error. Vectors are scored against those of their own length. Rows that repeat an id are
     answered once for each id, and stand in answers as often as they occur. An empty table
     gives no rows. Queries are taken in blocks of about ``block``; each block is one
     broadcast and a few scans of the table.
@@ -140,7 +171,7 @@ def search(queries: DataFrame, table: DataFrame, k: int = 5, bins: int = 1024, b
         dim, parts = group["_dim"], -(-group["n"] // block)
         if dim not in longest:
             continue
-        bound = int(group["norm"] * longest[dim] * (1 + 1e-9)) + 1
+        bound = min(int(group["norm"] * longest[dim] * (1 + 1e-9)) + 1, LARGEST - 1)
         data = rows.filter(F.col("_dim") == dim).select("_id", "_vec")
         for part in range(parts):
             taken = asked.filter((F.col("_dim") == dim) & (F.pmod(F.xxhash64("_id"), F.lit(parts)) == part)).orderBy("_id").toArrow()

@@ -78,6 +78,19 @@ def test_ann_recall(spark):
             assert abs(score - np.dot(np.float64(x[q]), np.float64(x[i]))) < 1e-12
 
 
+@pytest.mark.parametrize("size", [1, 2, 15, 21, 40])
+def test_ann_gives_all_there_are(spark, size):
+    """Tables so small that a query's buckets hold fewer rows than it asks for."""
+    rng = np.random.default_rng(size)
+    rows = [(i, rng.normal(size=64).astype(np.float32).tolist()) for i in range(size)] + [(100, [1.0, 2.0]), (120, [2.0, 1.0])]
+    table = vectors(spark, rows)
+    found = answers(ann.search(table.filter("vec_id % 20 = 0"), table))
+    expected = {q: v for q, v in brute(rows, [r for r in rows if r[0] % 20 == 0], 20, "ann").items() if v}
+    assert {q: len(v) for q, v in found.items()} == {q: len(v) for q, v in expected.items()}
+    if size <= 21:
+        assert {q: [i for i, _ in v] for q, v in found.items()} == {q: [i for i, _ in v] for q, v in expected.items()}
+
+
 def test_rotation_keeps_angles():
     x = np.random.default_rng(1).normal(size=(20, 13))
     for signs in ann.rotations(13, 3, 1):
@@ -100,6 +113,35 @@ def test_topk_of_many_ties(spark):
     assert found == brute(rows, rows[:3], 7, "topk")
 
 
+@pytest.mark.parametrize("large", [3e5, 1e12, 2.0 ** 40 + 3])
+def test_topk_of_large_components(spark, large):
+    """Components beyond what doubles multiply exactly, next to small ones."""
+    rows = [(0, [1.0, 0.0]), (1, [float(np.float32(large)), 0.0]), (2, [1.0, 1.0]), (3, [-float(np.float32(large)), 3.0]),
+            (4, [float(np.float32(large)), 1.0]), (5, [0.5, 0.25])]
+    expected = brute(rows, rows[:1] + rows[2:3] + rows[5:], 4, "topk")
+    found = answers(topk.search(vectors(spark, rows[:1] + rows[2:3] + rows[5:]), vectors(spark, rows).repartition(3), k=4))
+    assert found == expected and found[0][0][0] in (1, 4)
+
+
+def test_topk_products_are_exact():
+    rng = np.random.default_rng(3)
+    asked, x = rng.integers(-9, 9, (5, 4)).astype(float), rng.integers(-9, 9, (7, 4)).astype(float)
+    asked[1] *= 2.0 ** 50
+    x[2] *= 2.0 ** 3
+    x[5, 0] = 2.0 ** 57
+    asked[1, 0] = 1.0
+    whole = np.vectorize(int, otypes=[object])
+    assert (topk.products(asked, x) == (whole(asked) @ whole(x).T).astype(np.int64)).all()
+    with pytest.raises(OverflowError):
+        topk.products(np.array([[2.0 ** 40]]), np.array([[2.0 ** 23]]))
+    assert topk.products(np.array([[2.0 ** 40]]), np.array([[2.0 ** 22]]))[0, 0] == 1 << 62
+
+
+def test_topk_of_scores_near_the_ends_of_a_long(spark):
+    rows = [(0, [2.0 ** 22]), (1, [11744051.0]), (2, [-11744051.0]), (3, [11744051.0]), (4, [-(2.0 ** 22)]), (5, [0.0])]
+    assert answers(topk.search(vectors(spark, rows), vectors(spark, rows), k=4)) == brute(rows, rows, 4, "topk")
+
+
 def test_sql_agrees(spark, sf_dir):
     for name in ("op10_histogram_topk", "op5_warc"):
         good, text = compare(spark, connect(sf_dir), queries.QUERIES[name], queries.ORACLE_SQL[name], sf_dir)
