@@ -15,6 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
+from .common import durable
 from .vectors import matrix, vectors
 
 _HASHED = "_id long, _dim int, _table int, _code int, _vec binary"
@@ -144,13 +145,30 @@ def search(queries: DataFrame, table: DataFrame, k: int = 20, tables: int = 8, p
     are all rows with another id. Vectors that are null, empty, zero or hold null or
     non-finite components take no part, nor do rows without an id; vectors are compared
     with those of their own length only. Rows that repeat an id count once if they are
-    equal. Buckets are cut into blocks of about ``block`` vectors and ``block`` queries,
+    equal. A query that meets fewer than ``k`` rows in its buckets is compared with all
+    rows, so that it gets ``k`` answers, or all there are. Buckets are cut into blocks of about ``block`` vectors and ``block`` queries,
     however many rows share one. An empty table gives no rows. Hashing looks at
     directions: for vectors of very different lengths recall is not what it is for unit
     vectors.
     """
-    data = vectors(table, key, vector).mapInArrow(_hash(tables, 1, seed), _HASHED)
-    asked = vectors(queries, key, vector).mapInArrow(_hash(tables, probes, seed), _HASHED)
+    data, asked = vectors(table, key, vector), vectors(queries, key, vector)
+    found = durable(_search(asked, data, k, tables, probes, seed, block), "ann_found")
+    many = found.groupBy(F.col("query_id").alias("_id")).agg(F.count("*").alias("_n"))
+    few = durable(asked.join(many, "_id", "left").filter(F.coalesce("_n", F.lit(0)) < k).select(asked.columns), "ann_few")
+    if few.isEmpty():
+        return found
+    # one table whose every axis is probed holds all rows
+    again = _search(few, data, k, 1, _EVERY, seed, block)
+    return found.join(few.select(F.col("_id").alias("query_id")).distinct(), "query_id", "left_anti").unionByName(again)
+
+
+_EVERY = 1 << 30
+
+
+def _search(queries: DataFrame, table: DataFrame, k: int, tables: int, probes: int, seed: int, block: int) -> DataFrame:
+    """The best of the rows (_id, _dim, _vec) that share a bucket with a query."""
+    data = table.mapInArrow(_hash(tables, 1, seed), _HASHED)
+    asked = queries.mapInArrow(_hash(tables, probes, seed), _HASHED)
     bucket = ["_dim", "_table", "_code"]
 
     def blocks(df: DataFrame, name: str) -> DataFrame:
