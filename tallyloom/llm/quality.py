@@ -123,7 +123,7 @@ def quantile_cut(up: np.ndarray, down: np.ndarray) -> float:
     Best is the largest sum of both labels' shares on their own side.
     """
     if not len(up) or not len(down):
-        return -1.0 if len(up) else 1.0
+        return -1.0
     strengths = np.concatenate([up, down])
     order = np.argsort(strengths, kind="stable")
     label = np.concatenate([np.ones(len(up)), np.zeros(len(down))])[order]
@@ -150,7 +150,9 @@ def learn(docs: DataFrame, labels: DataFrame, per_label: int = 20_000, key: str
 
     About ``per_label`` rows of each label learn, by a hash of the key. Labels other than
     0 and 1 and null keys or labels are ignored; of several labels of a key the largest
-    counts. Without learners of both labels every document gets the one score.
+    counts. Rows that repeat a key are one learner, that with the smallest features, so no
+    more rows than keys reach the driver. Without learners of both labels nothing tells
+    good from bad: every document gets the one score, and none is rejected.
     """
     small_batches(docs.sparkSession)
     known = labels.filter(F.col(key).isNotNull() & F.col(label).isin(0, 1)).groupBy(F.col(key).alias("_key")).agg(
@@ -159,9 +161,12 @@ def learn(docs: DataFrame, labels: DataFrame, per_label: int = 20_000, key: str
     share = F.when(F.col("_label") == 1, per_label / max(many.get(1, 0), 1)).otherwise(per_label / max(many.get(0, 0), 1))
     chosen = known.filter(F.pmod(F.xxhash64("_key", F.lit("quality")), F.lit(1 << 30)) < share * (1 << 30))
     learners = docs.select(F.col(key).alias("_key"), utf8(text).alias("_text")).join(
-        F.broadcast(chosen), "_key")  # about per_label rows of each label
-    rows = learners.select("_label", "_text").mapInArrow(
-        _features_of("_label"), "_label int, features array<double>").toArrow()
+        F.broadcast(chosen), "_key")  # about per_label keys of each label
+    kind = docs.schema[key].dataType
+    read = learners.select("_key", "_text").mapInArrow(
+        _features_of("_key"), T.StructType([T.StructField("_key", kind), T.StructField("features", T.ArrayType(T.DoubleType()))]))
+    rows = read.groupBy("_key").agg(F.min("features").alias("features")).join(F.broadcast(chosen), "_key").select(
+        "_label", "features").toArrow()
     y = rows.column("_label").to_numpy()
     x = np.array(rows.column("features").to_pylist(), float).reshape(len(y), len(NAMES))
     order = np.lexsort([*x.T, y])  # the same model however the rows arrive
