@@ -18,7 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from .common import byte_blocks, mix, small_batches, utf8
+from .common import byte_blocks, durable, mix, small_batches, utf8
 
 GRAM = 3
 _WINDOW = 1 << 20
@@ -138,7 +138,7 @@ def _flush(held: dict[str, dict[int, int]]) -> Iterator[pa.RecordBatch]:
              pa.array(list(known.values()), pa.int64())], ["lang", "gram", "n"])
 
 
-def learn(docs: DataFrame, per_language: int = 2000, least_share: float = 0.01, least_ratio: float = 0.3,
+def learn(docs: DataFrame, per_language: int = 2000, most_languages: int = 10_000, least_share: float = 0.01, least_ratio: float = 0.3,
           bits: int = 18, key: str = "doc_id", text: str = "text", lang: str = "lang") -> Model:
     """Model of the languages of ``docs``; pass learners only. Rows without language or text are ignored.
 
@@ -146,21 +146,24 @@ def learn(docs: DataFrame, per_language: int = 2000, least_share: float = 0.01,
     texts are read whole. An n-gram belongs to a language if at least ``least_share`` of
     its documents have it, and at least ``least_ratio`` of the share it has in any language.
     At most (mean distinct n-grams per document) / ``least_share`` n-grams of a language
-    can pass, which bounds what reaches the driver.
+    can pass, which bounds what reaches the driver. More than ``most_languages`` values of
+    ``lang`` are an error: a column with so many holds something else.
     """
     small_batches(docs.sparkSession)
-    known = docs.filter(F.col(lang).isNotNull() & F.col(text).isNotNull())
-    rows = known.groupBy(F.col(lang).cast("string").alias("lang")).agg(F.count("*").alias("n")).collect()
-    many = {r["lang"]: r["n"] for r in rows}
+    known = docs.filter(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(
+        F.col(key).alias("_key"), F.col(lang).cast("string").alias("lang"), F.col(text).alias("_text"))
+    rows = durable(known.groupBy("lang").agg(F.count("*").alias("rows")), "languages")
+    if rows.count() > most_languages:
+        raise ValueError(f"more than {most_languages} languages")
+    many = {r["lang"]: r["rows"] for r in rows.collect()}
     if not many:
         return Model.build({}, {}, bits)
-    share = F.lit(1.0)
-    for language, n in many.items():
-        share = F.when(F.col(lang).cast("string") == language, per_language / n).otherwise(share)
-    chosen = known.filter(F.pmod(F.xxhash64(key, F.lit("language")), F.lit(1 << 30)) < share * (1 << 30))
-    sampled = chosen.select(F.col(lang).cast("string").alias("lang"), utf8(text).alias("_text"))
+    share = F.lit(float(per_language)) / F.col("rows")
+    chosen = known.join(F.broadcast(rows), "lang").filter(
+        F.pmod(F.xxhash64("_key", F.lit("language")), F.lit(1 << 30)) < share * (1 << 30))
+    sampled = chosen.select("lang", utf8("_text").alias("_text"))
     counts = sampled.mapInArrow(_count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-    sizes = chosen.groupBy(F.col(lang).cast("string").alias("lang")).agg(F.count("*").alias("docs"))
+    sizes = chosen.groupBy("lang").agg(F.count("*").alias("docs"))
     shares = counts.join(F.broadcast(sizes), "lang").withColumn("share", F.col("n") / F.col("docs"))
     common = shares.filter(F.col("share") >= least_share).collect()
     top: dict[int, float] = {}
