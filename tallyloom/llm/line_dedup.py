@@ -10,8 +10,9 @@ Three passes over the text, none of which shuffles ordinary lines:
    smallest document of each;
 3. each document drops the lines the second pass has convicted.
 
-The filters have 16 bits per line up to ``max_filter_bits``, which bounds what is sent
-to the tasks. Beyond that more lines become suspects; the result stays exact.
+Filters of tasks are merged in a tree. They have 16 bits per line up to
+``max_filter_bits``, which bounds what is sent to the tasks. Beyond that more lines become
+suspects; the result stays exact.
 """
 
 from __future__ import annotations
@@ -22,6 +23,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from .common import BLANKS, durable, small_batches, unused, utf8
@@ -79,9 +81,14 @@ def _held(bitmap: np.ndarray, at: np.ndarray) -> np.ndarray:
     return (bitmap[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1
 
 
+#: Filters of how many tasks are merged at a time.
+FAN = 64
+
+
 def _fill(bits: int, least: int) -> Callable:
     """Task side of pass 1: pieces of this task's two filters."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part = TaskContext.get().partitionId()
         once, twice = np.zeros(bits // 8, np.uint8), np.zeros(bits // 8, np.uint8)
 
         def add(hashes: list[int]) -> None:
@@ -102,18 +109,49 @@ def _fill(bits: int, least: int) -> Callable:
         again = dict(_pieces(twice))
         for piece, packed in _pieces(once):
             yield pa.RecordBatch.from_pydict({
-                "piece": pa.array([piece], pa.int32()), "once": pa.array([packed], pa.binary()),
+                "piece": pa.array([piece], pa.int32()), "part": pa.array([part], pa.int32()),
+                "once": pa.array([packed], pa.binary()),
                 "twice": pa.array([again.get(piece)], pa.binary())})
     return run
 
 
+_FILTERS = "piece int, part int, once binary, twice binary"
+
+
+def merged(filled: DataFrame, parts: int, width: int) -> DataFrame:
+    """The second filter of each piece, of those of about ``parts`` tasks.
+
+    They are merged ``FAN`` at a time, so that no group grows with the number of tasks.
+    """
+    while parts > FAN:
+        parts = -(-parts // FAN)
+        filled = filled.withColumn("part", F.floor(F.col("part") / FAN).cast("int")).groupBy("piece", "part").applyInArrow(
+            _meet(width), _FILTERS)
+    return filled.groupBy("piece").applyInArrow(_merge(width), "piece int, twice binary")
+
+
+def _joined(table: pa.Table, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """The two filters of several pairs of them."""
+    once, twice = np.zeros(width, np.uint8), np.zeros(width, np.uint8)
+    for own, again in zip(table.column("once"), table.column("twice"), strict=True):
+        own = _bitmap(own.as_py(), width)
+        twice |= _bitmap(again.as_py(), width) | (once & own)
+        once |= own
+    return once, twice
+
+
+def _meet(width: int) -> Callable:
+    """Some tasks' filters of a piece become one task's."""
+    def run(table: pa.Table) -> pa.Table:
+        packed = [pa.array([b"b" + bitmap.tobytes()], pa.binary()) for bitmap in _joined(table, width)]
+        return pa.table([table.column("piece")[:1], table.column("part")[:1], *packed], ["piece", "part", "once", "twice"])
+    return run
+
+
 def _merge(width: int) -> Callable:
+    """The second filter of a piece."""
     def run(table: pa.Table) -> pa.Table:
-        once, twice = np.zeros(width, np.uint8), np.zeros(width, np.uint8)
-        for own, again in zip(table.column("once"), table.column("twice"), strict=True):
-            own = _bitmap(own.as_py(), width)
-            twice |= _bitmap(again.as_py(), width) | (once & own)
-            once |= own
+        twice = _joined(table, width)[1]
         return pa.table({"piece": table.column("piece")[:1], "twice": pa.array([twice.tobytes()], pa.binary())})
     return run
 
@@ -183,10 +221,10 @@ def dedup_lines(docs: DataFrame, least: int = 10, max_filter_bits: int = 1 << 29
     bits = 1 << max(13, min((16 * lines - 1).bit_length(), max_filter_bits.bit_length() - 1))
     width = min(PIECE_BITS, bits) // 8
     known = docs.filter(F.col(key).isNotNull()).select(F.col(key).alias("_doc"), utf8(text).alias("_text"))
-    filled = known.select("_text").mapInArrow(_fill(bits, least), "piece int, once binary, twice binary")
-    merged = filled.groupBy("piece").applyInArrow(_merge(width), "piece int, twice binary")
+    filled = known.select("_text").mapInArrow(_fill(bits, least), _FILTERS)
+    whole = merged(filled, known.rdd.getNumPartitions(), width)
     second = bytearray(bits // 8)
-    for row in merged.toLocalIterator():  # pieces of a filter of bounded size
+    for row in whole.toLocalIterator():  # pieces of a filter of bounded size
         second[row["piece"] * width:(row["piece"] + 1) * width] = row["twice"]
     shared = spark.sparkContext.broadcast(bytes(second))
     kind = docs.schema[key].dataType

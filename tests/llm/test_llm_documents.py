@@ -3,12 +3,14 @@
 import hashlib
 import os
 import sys
+import re
 import zlib
 from array import array
 from collections import Counter, defaultdict
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
@@ -17,6 +19,7 @@ import samples  # noqa: E402
 from pyspark.sql import functions as F  # noqa: E402
 
 from tallyloom.llm import language, line_dedup, mixing, near_dup, packing, quality, queries, sharding  # noqa: E402
+from tallyloom.llm.common import packed, utf8  # noqa: E402
 
 CAPACITY = 2048
 
@@ -482,3 +485,111 @@ def test_lines_hash_like_sql(spark, sf_dir):
     good, text = compare(spark, connect(sf_dir), queries.op3_line_dedup, queries.ORACLE_SQL["op3_line_dedup"], sf_dir)
     assert good, text
     assert duckdb.sql("SELECT sha256('a')").fetchall()[0][0] == hashlib.sha256(b"a").hexdigest()
+
+
+def test_quality_learns_one_row_per_key(spark):
+    """Documents that repeat an id are one learner, however many they are."""
+    from pyspark.sql import functions as F
+    docs = spark.range(20_000).select(F.lit(1).cast("long").alias("doc_id"), F.concat(F.lit("Some words number "), F.col("id") % 7).alias("text"))
+    docs = docs.unionByName(spark.createDataFrame([(2, "|||| 12 ##"), (3, None)], "doc_id long, text string"))
+    labels = spark.createDataFrame([(1, 1), (2, 0), (3, 0)], "doc_id long, quality int")
+    seen, fit = [], quality.fit
+
+    def watched(good, bad, *rest):
+        seen.append((len(good), len(bad)))
+        return fit(good, bad, *rest)
+
+    quality.fit = watched
+    try:
+        quality.learn(docs, labels, per_label=10)
+    finally:
+        quality.fit = fit
+    assert seen == [(1, 2)]
+
+
+def test_without_labels_nothing_is_rejected(spark):
+    docs = spark.createDataFrame([(1, "a text"), (2, None)], "doc_id long, text string")
+    for rows in ([], [(1, 0)], [(1, 1)]):
+        model = quality.learn(docs, spark.createDataFrame(rows, "doc_id long, quality int"))
+        assert [r["predicted"] for r in quality.classify(docs, model).collect()] == [1, 1]
+
+
+def plain_features(text):
+    """The features of a text, counted one by one."""
+    import math
+    data = text.encode()
+    words = [w.translate(str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")) for w in re.findall(r"[^ \t\n\x0b\x0c\r]+", text)]
+    if not words:
+        return [0.0] * len(quality.NAMES)
+    n, by = len(words), {k: sum(b in kind for b in data) for k, kind in quality.KINDS.items()}
+    times = {w: words.count(w) for w in words}
+    return [c / len(data) for c in by.values()] + [
+        math.log1p(n), (len(data) - by["blank"] - by["line"]) / n, len(times) / n,
+        sum(a == b for a, b in zip(words, words[1:], strict=False)) / n, sum(a == b for a, b in zip(words, words[2:], strict=False)) / n,
+        max(times.values()) / n, math.log1p(n / (1 + by["end"])), math.log1p(n / (1 + by["line"])), float(n < 20),
+        math.log1p(by["mark"]), math.log1p(by["bar"])]
+
+
+def test_quality_features_and_fit_against_plain_ones():
+    """Features counted one by one, and weights of the same loss over all pairs by plain gradient descent."""
+    import numpy as np
+    texts = ["The cat sat. The cat sat on the mat, twice!", "a a a b a b | | #1", "", "Ünï wide\n\nlines x", "word " * 30]
+    found = quality.features(*packed(pa.array([t.encode() for t in texts], pa.binary())))
+    assert np.allclose(found, [plain_features(t) for t in texts])
+    rng = np.random.default_rng(0)
+    good, bad = rng.normal(0.5, 1, (60, len(quality.NAMES))), rng.normal(-0.5, 1, (50, len(quality.NAMES)))
+    model = quality.fit(good, bad, ridge=1e-2)
+    z = [quality._widen((x - model.mean) / model.scale) for x in (good, bad)]
+    gaps = (z[0][:, None] - z[1][None]).reshape(-1, z[0].shape[1])
+    weights = np.zeros(gaps.shape[1])
+    for _ in range(4000):
+        pull = 1 / (1 + np.exp(np.clip(gaps @ weights, -50, 50)))
+        weights += 0.3 * ((gaps * pull[:, None]).mean(axis=0) - 1e-2 * weights)
+
+    def loss(w):
+        return np.logaddexp(0, -(gaps @ w)).mean() + 5e-3 * w @ w
+
+    assert loss(model.weights) <= loss(weights) * 1.05 + 1e-3
+
+
+def test_language_votes_against_plain_counts(spark):
+    """Votes of a filter without false positives are the numbers of known trigrams, counted one by one."""
+    texts = {"de": ["Der schnelle Fuchs springt über den Hund"] * 3, "en": ["The quick brown fox jumps over the lazy dog"] * 3}
+    docs = spark.createDataFrame([(i, t, k) for i, (k, t) in enumerate((k, t) for k, ts in texts.items() for t in ts)],
+                                 "doc_id long, text string, lang string")
+    model = language.learn(docs, bits=22)
+    known = {}
+    for k, ts in texts.items():
+        known[k] = {int(h) for hashes, _ in language.grams(ts) for h in hashes}
+    asked = ["the dog springt", "über", "xyzzy qqq", "Der Hund jumps over the fox"]
+    votes, letters = model.votes(asked)
+    for row, text in enumerate(asked):
+        hashes = [int(h) for hs, _ in language.grams([text]) for h in hs]
+        assert letters[row] == len(hashes)
+        plain = [sum(h in known[k] for h in hashes) for k in model.languages]
+        assert all(abs(v - p) < 0.05 for v, p in zip(votes[row], plain, strict=True))
+
+
+def test_thousands_of_languages(spark):
+    docs = spark.createDataFrame([(i, f"{chr(97 + i % 26)}{chr(97 + i // 26 % 26)}{chr(97 + i // 676)} " * 3, f"l{i}") for i in range(5000)],
+                                 "doc_id long, text string, lang string")
+    model = language.learn(docs)
+    assert len(model.languages) == 5000
+    some = docs.filter("doc_id % 500 = 0")
+    assert all(r["lang_pred"] == r["lang"] for r in language.identify(some, model).collect())
+    with pytest.raises(ValueError, match="languages"):
+        language.learn(docs, most_languages=4999)
+
+
+@pytest.mark.parametrize("tasks", [1, 5, 130])
+def test_filters_merge_in_a_tree(spark, tasks, monkeypatch):
+    """With a fan of 4 no group has more rows, whatever the number of tasks, and the filter is the same."""
+    monkeypatch.setattr(line_dedup, "FAN", 4)
+    docs = spark.range(400).selectExpr("id AS doc_id", "concat('line number ', id % 300, ' of many') AS text").repartition(tasks)
+    bits, width = 1 << 13, (1 << 13) // 8
+    filled = docs.select(utf8("text").alias("t")).mapInArrow(line_dedup._fill(bits, 10), line_dedup._FILTERS)
+    plan = line_dedup.merged(filled, tasks, width)
+    rounds = plan._jdf.queryExecution().logical().toString().count("FlatMapGroupsInArrow")
+    assert 4 ** rounds >= tasks
+    row, = plan.collect()
+    assert row["twice"] == line_dedup.merged(filled, 1, width).first()["twice"]
