@@ -33,6 +33,32 @@ def typed_props(
     return parsed.select(*kept, *typed)
 
 
+def variant_props(
+    df: DataFrame, fields: Mapping[str, tuple[str, str]], payload: str = "props", keep_payload: bool = False,
+) -> DataFrame:
+    """JSON text as typed columns, by ``{name: (path, type)}``, whatever shape each payload has.
+
+    The text is parsed once into a variant. A value is cast if it can be, a number in quotes
+    too; a path that is not there, a value of another kind and text that is no JSON give null.
+    """
+    parsed = df.withColumn("_variant", F.try_parse_json(payload))
+    kept = [c for c in df.columns if keep_payload or c != payload]
+    return parsed.select(*kept, *[F.try_variant_get("_variant", path, kind).alias(n) for n, (path, kind) in fields.items()])
+
+
+def payload_drift(df: DataFrame, by: Sequence[str], payload: str = "props") -> DataFrame:
+    """Per group ``records``, those whose payload is no JSON, and the type that holds all other payloads.
+
+    Types of a group's payloads are merged task by task: fields that some lack are in it,
+    and fields of several kinds are ``VARIANT``.
+    """
+    variant = F.try_parse_json(payload)
+    return df.groupBy(*by).agg(
+        F.count(F.lit(1)).alias("records"),
+        F.count_if(F.col(payload).isNotNull() & variant.isNull()).alias("unreadable"),
+        F.schema_of_variant_agg(variant).alias("payload_type"))
+
+
 def _expand(template: str, source: Column, pattern: str) -> Column:
     """Rule output name with ``$n`` replaced by the n-th capture group."""
     pieces = re.split(r"\$(\d+)", template)
@@ -77,7 +103,8 @@ def json_error(value: str | Column, schema: str | StructType) -> tuple[Column, C
     A payload is good if it is exactly one JSON object whose fields fit. Text behind the
     object, a second object or an array make it malformed; a field of another type makes
     it ``wrong_type``. The text is read inside an array and inside an object: what ends
-    the one early does not end the other.
+    the one early does not end the other. Of a key that an object repeats the last value
+    counts; that alone is no error.
     """
     text = F.col(value) if isinstance(value, str) else value
     fields = schema if isinstance(schema, StructType) else StructType.fromDDL(schema)

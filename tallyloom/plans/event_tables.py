@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ..functions.records import relabel as apply_rules, stable_id as id_of, typed_props as typed
+from ..functions.records import (payload_drift as drift, relabel as apply_rules, stable_id as id_of, typed_props as typed,
+                                 variant_props as variants)
 from ..functions.timeaxis import calendar, floor_time, interval
 from ..operators import events as ev
 from ..session import scratch_path
@@ -192,3 +193,33 @@ def stable_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = table(spark, sf_dir, "events")
     sometimes = F.when(F.col("event_id") % 3 != 0, F.col("props"))
     return events.select("event_id", id_of(["user_id", "event_type", sometimes]).alias("id"))
+
+
+def _drifting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events whose payload has one of four shapes: a number, a number in quotes, a further object, no JSON."""
+    k = F.regexp_extract("props", r"(\d+)", 1)
+    shape = F.col("event_id") % 4
+    props = (
+        F.when(shape == 0, F.concat(F.lit('{"k": '), k, F.lit("}"))).when(shape == 1, F.concat(F.lit('{"k": "'), k, F.lit('"}')))
+        .when(shape == 2, F.concat(F.lit('{"k": '), k, F.lit(', "extra": {"x": 1.5}}'))).otherwise(F.concat(F.lit("k="), k)))
+    return table(spark, sf_dir, "events").select("event_id", "event_type", shape.alias("shape"), props.alias("props"))
+
+
+_K = "CAST(json_extract(props, '$.k') AS INTEGER)"
+
+
+@query(f"""SELECT event_id, CASE WHEN event_id % 4 < 3 THEN {_K} END AS k, CASE WHEN event_id % 4 = 2 THEN 1.5::DOUBLE END AS x FROM events""")
+def variant_props(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Payloads of several shapes, typed while they are read."""
+    fields = {"k": ("$.k", "int"), "x": ("$.extra.x", "double")}
+    return variants(_drifting(spark, sf_dir).select("event_id", "props"), fields)
+
+
+@query("""SELECT event_id % 4 AS shape, count(*) AS records, count(*) FILTER (WHERE event_id % 4 = 3) AS unreadable,
+  CASE event_id % 4 WHEN 0 THEN 'OBJECT<k: BIGINT>' WHEN 1 THEN 'OBJECT<k: STRING>'
+    WHEN 2 THEN 'OBJECT<extra: OBJECT<x: DECIMAL(2,1)>, k: BIGINT>' ELSE 'VOID' END AS payload_type FROM events GROUP BY 1, 4
+UNION ALL SELECT -1, count(*), count(*) FILTER (WHERE event_id % 4 = 3), 'OBJECT<extra: OBJECT<x: DECIMAL(2,1)>, k: VARIANT>' FROM events""")
+def payload_drift(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The type of the payloads of each shape, and of all together."""
+    rows = _drifting(spark, sf_dir)
+    return drift(rows, ["shape"]).unionByName(drift(rows.withColumn("shape", F.lit(-1).cast("long")), ["shape"]))

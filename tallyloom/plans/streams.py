@@ -7,8 +7,9 @@ from contextlib import contextmanager
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..session import scratch_path
-from ..streaming import log as logs, offset_log, sinks, stateful
-from . import inputs, query
+from ..operators import frequent
+from ..streaming import audit, log as logs, offset_log, sinks, stateful
+from . import ORACLE_SQL, inputs, query
 from .inputs import COMMITS_SQL, LOG_SQL, table
 
 _PROVIDER = "spark.sql.streaming.stateStore.providerClass"
@@ -234,6 +235,42 @@ def late_row_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted
 
 
+@query("""WITH e AS (SELECT *, event_id % 97 = 0 AS late FROM events),
+m AS (SELECT date_trunc('millisecond', max(ts) FILTER (WHERE NOT late)) - INTERVAL 1 HOUR AS watermark FROM e)
+SELECT CAST(count(*) AS BIGINT) AS input_rows, count(*) FILTER (WHERE late AND ts <= watermark) AS dropped_rows FROM e, m""")
+def stream_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows read and dropped as late over all batches of three runs, from the progress each batch reported."""
+    events = table(spark, sf_dir, "events")
+    source, checkpoint, sink, path = (scratch_path(spark, n) for n in ("source", "checkpoint", "sink", "progress"))
+    with audit.progress_log(spark, path) as listener:
+        for part in _LATE_LAST:
+            events.filter(part(events)).write.mode("append").parquet(source)
+            stream = logs.stream_files(spark, source, events.schema, max_files=2)
+            once = stateful.dedup(stream, "event_id", "1 hour").select("event_id")
+            listener.settle(sinks.run_available(once, checkpoint, sinks.idempotent_sink(sink)))
+    return audit.progress(spark, path).agg(
+        F.sum("input_rows").alias("input_rows"), F.sum("dropped_rows").alias("dropped_rows"))
+
+
+@query("""WITH m AS (SELECT date_trunc('millisecond', max(ts)) - INTERVAL 1 HOUR AS watermark FROM events),
+open AS (SELECT time_bucket(INTERVAL 5 MINUTE, ts) AS w, event_type, count(*) AS n FROM events, m
+  WHERE time_bucket(INTERVAL 5 MINUTE, ts) + INTERVAL 5 MINUTE > watermark GROUP BY 1, 2)
+SELECT 'stateStoreSave' AS operator, true AS agrees, count(*) AS open_windows, CAST(coalesce(sum(n), 0) AS BIGINT) AS events_in_state FROM open""")
+def state_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """After a stop and a start: the state stands at the last finished batch and holds the windows still open."""
+    checkpoint = scratch_path(spark, "checkpoint")
+    _in_order(
+        spark, sf_dir,
+        [lambda e: F.col("event_id") < _split_at(e), lambda e: F.col("event_id") >= _split_at(e)],
+        lambda stream: stateful.windowed_counts(stream, "5 minutes", ["event_type"]),
+        "update", checkpoint, scratch_path(spark, "sink"))
+    held = audit.state_rows(spark, checkpoint)
+    count = [c for c in held.columns if c.startswith("count")][0]
+    sums = held.agg(F.count(F.lit(1)).alias("open_windows"), F.coalesce(F.sum(count), F.lit(0)).alias("events_in_state")).first()
+    return audit.state_audit(spark, checkpoint).select(
+        "operator", "agrees", *[F.lit(v).cast("long").alias(n) for n, v in sums.asDict().items()])
+
+
 @query(_WINDOWS_SQL.replace("user_id", "event_type"))
 def stream_restart(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Stopped after part of the input and started again: counts and position go on together."""
@@ -275,6 +312,31 @@ def stream_enrich_moving(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sinks.appended(spark, _run(spark, paired.select("event_id", "click_id")))
 
 
+@query("""SELECT p.event_id, c.event_id AS click_id FROM events p LEFT JOIN events c ON p.user_id = c.user_id
+  AND c.event_type = 'click' AND c.ts BETWEEN p.ts - INTERVAL 10 MINUTE AND p.ts + INTERVAL 10 MINUTE
+WHERE p.event_type = 'purchase'""")
+def stream_enrich_outer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As ``stream_enrich_moving``, in three batches, with the purchases that no click is near; a last record
+    of both streams, a month later, lets the watermark pass them."""
+    events = table(spark, sf_dir, "events")
+    source = scratch_path(spark, "source")
+    top = events.agg(F.max("event_id").alias("m")).scalar()
+    for part in range(3):
+        events.filter(F.least(F.floor(F.col("event_id") * 3 / (top + 1)), F.lit(2)) == part).write.mode("append").parquet(source)
+    closing = events.limit(1).select(
+        F.lit(-1).cast("long").alias("event_id"), (F.lit("2024-03-01").cast("timestamp_ntz")).alias("ts"), "user_id",
+        F.explode(F.array(F.lit("purchase"), F.lit("click"))).alias("event_type"), "value", "props")
+    closing.write.mode("append").parquet(source)
+    stream = logs.stream_files(spark, source, events.schema, max_files=8)
+    bought = stream.filter("event_type = 'purchase'").select("event_id", "user_id", "ts")
+    clicks = stream.filter("event_type = 'click'").select(
+        F.col("event_id").alias("click_id"), "user_id", F.col("ts").alias("click_ts"))
+    paired = stateful.enrich_moving(
+        bought, clicks, "user_id", "ts", "click_ts", "10m", watermark=_whole_range(spark, sf_dir), how="left")
+    found = sinks.appended(spark, _run(spark, paired.select("event_id", "click_id")))
+    return found.filter("event_id >= 0")
+
+
 @query("""SELECT user_id AS key, min(ts) AS ts, arg_min(event_id, ts) AS id FROM events
 WHERE event_type = 'purchase' GROUP BY 1""")
 def stream_first_match(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -346,6 +408,18 @@ def keyed_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sinks.keyed_table(spark, path)
 
 
+@query(ORACLE_SQL["keyed_sink"])
+def keyed_sink_deltas(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same, with batches added as parts; folded in between, and sent again on a new checkpoint."""
+    path = scratch_path(spark, "deltas")
+    stream = _event_stream(spark, sf_dir).select((F.col("event_id") % 1000).alias("id"), "event_id", "value")
+    for again in range(2):
+        sinks.run_available(stream, scratch_path(spark, "checkpoint"), sinks.delta_sink(path, ["id"], ["event_id"]))
+        if not again:
+            sinks.fold_deltas(spark, path)
+    return sinks.delta_table(spark, path)
+
+
 @query(f"""WITH {LOG_SQL}, last AS (SELECT * FROM log QUALIFY row_number() OVER (
   PARTITION BY key ORDER BY "timestamp" DESC, "partition" DESC, "offset" DESC) = 1)
 SELECT key, "timestamp", "offset", value FROM last WHERE event_id % 5 <> 0""")
@@ -403,3 +477,14 @@ def order_check(spark: SparkSession, sf_dir: str) -> DataFrame:
 def key_skew(spark: SparkSession, sf_dir: str) -> DataFrame:
     records = table(spark, sf_dir, "events").withColumnRenamed("user_id", "key")
     return logs.key_skew(records, 0.0075).withColumn("share", F.round("share", 9))
+
+
+@query("""WITH keyed AS (SELECT CASE WHEN event_id % 3 = 0 THEN NULL WHEN event_id % 50 < 4 THEN 'warm' ELSE CAST(user_id AS VARCHAR) END AS key
+  FROM events)
+SELECT key, count(*) AS records, round(count(*) / (SELECT count(*) FROM events), 9) AS share FROM keyed GROUP BY 1
+HAVING count(*) >= 0.02 * (SELECT count(*) FROM events)""")
+def heavy_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Keys with at least a fiftieth of the records; null has a third of them."""
+    key = F.when(F.col("event_id") % 3 == 0, None).when(F.col("event_id") % 50 < 4, "warm").otherwise(F.col("user_id").cast("string"))
+    found = frequent.heavy_keys(table(spark, sf_dir, "events").select(key.alias("key")), 0.02)
+    return found.withColumn("share", F.round("share", 9))

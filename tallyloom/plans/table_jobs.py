@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..session import scratch_path
-from ..sources import ingest, rollups, tables
+from ..sources import bucketed, ingest, rollups, tables
 from ..functions.timeaxis import interval
-from . import query
+from . import ORACLE_SQL, query
 from .inputs import table
 
 _EVENT_SCHEMA = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
@@ -132,6 +134,11 @@ SELECT event_id, ts, event_type, round(value, 6) AS value FROM everything
 QUALIFY row_number() OVER (PARTITION BY event_id ORDER BY ts DESC, value DESC) = 1""")
 def upsert_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Later changes win, earlier ones lose, new keys are added."""
+    base, changes = _base_and_changes(spark, sf_dir)
+    return tables.upsert(base, changes, ["event_id"], ["ts", "value"]).withColumn("value", F.round("value", 6))
+
+
+def _base_and_changes(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     base = table(spark, sf_dir, "events").select("event_id", "ts", "event_type", "value")
     second = interval(1)
     later = base.filter("event_id % 10 = 0").withColumns(
@@ -139,8 +146,19 @@ def upsert_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
     stale = base.filter("event_id % 15 = 0").withColumns(
         {"ts": F.col("ts") - second, "value": F.lit(-1.0)})
     new = base.filter("event_id % 25 = 0").withColumn("event_id", F.col("event_id") + 1_000_000_000_000)
-    changes = later.unionByName(stale).unionByName(new)
-    return tables.upsert(base, changes, ["event_id"], ["ts", "value"]).withColumn("value", F.round("value", 6))
+    return base, later.unionByName(stale).unionByName(new)
+
+
+@query(ORACLE_SQL["upsert_latest"])
+def upsert_bucketed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The changes of ``upsert_latest`` on a table in buckets of its key, applied in two steps."""
+    base, changes = _base_and_changes(spark, sf_dir)
+    name, keys = f"events_{uuid.uuid4().hex}", ["event_id"]
+    bucketed.write_bucketed(base, name, scratch_path(spark, "bucketed"), keys, 8)
+    for part in range(2):
+        merged = bucketed.upsert_bucketed(spark, name, changes.filter(F.col("event_id") % 2 == part), keys, ["ts", "value"])
+        bucketed.replace_bucketed(spark, merged, name, scratch_path(spark, "bucketed"), keys, 8)
+    return spark.table(name).withColumn("value", F.round("value", 6))
 
 
 @query("SELECT count(*) AS source_rows, count(*) AS target_rows, true AS equal FROM events")

@@ -54,10 +54,10 @@ def read_text(spark: SparkSession, path: str) -> str | None:
         stream.close()
 
 
-def write_text(spark: SparkSession, path: str, text: str) -> None:
-    """Write a small text file that does not exist yet."""
+def write_text(spark: SparkSession, path: str, text: str, overwrite: bool = False) -> None:
+    """Write a small text file that does not exist yet, or replace it."""
     system, entry = _folder(spark, path)
-    stream = system.create(entry, False)
+    stream = system.create(entry, overwrite)
     try:
         stream.write(bytearray(text.encode()))
     finally:

@@ -28,6 +28,7 @@ def qualified(spark: SparkSession, path: str) -> str:
 
 def store(address: str) -> tuple[pafs.FileSystem, str]:
     """(file system, path in it) of an address given by ``qualified``."""
-    if address.startswith("file:///"):
-        return pafs.LocalFileSystem(), "/" + address.removeprefix("file:///")
-    return pafs.FileSystem.from_uri(address)
+    scheme, rest = address.split(":", 1)
+    if scheme == "file":
+        return pafs.LocalFileSystem(), "/" + rest.lstrip("/")
+    return pafs.FileSystem.from_uri(f"{SCHEMES.get(scheme, scheme)}:{rest}")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -10,7 +11,7 @@ from pyspark.sql.types import StructType
 
 from ..functions.records import json_error
 from ..functions.timeaxis import seconds
-from ..sources import files, tables
+from ..sources import files, tables, versions
 
 _SHUFFLE = "spark.sql.shuffle.partitions"
 
@@ -50,7 +51,8 @@ def idempotent_sink(
     itself; such a sink belongs to one checkpoint. With ``keys`` the sink is a table with
     one row per key, cut into ``buckets`` by a hash of the key: a batch rewrites the buckets
     it touches, and of a key's rows the one with the largest ``order_by`` stays. That also
-    holds for a run on a new checkpoint, which sees old rows again.
+    holds for a run on a new checkpoint, which sees old rows again. A batch that touches
+    every bucket rewrites the table: where batches are small, use ``delta_sink``.
     """
     if keys is None:
         def write(batch: DataFrame, batch_id: int) -> None:
@@ -78,6 +80,71 @@ def keyed_table(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path).drop("_bucket")
 
 
+_PARTS, _VERSIONS = "parts", "_versions"
+
+
+def _live(spark: SparkSession, path: str) -> tuple[int, dict]:
+    number, state = versions.last(spark, f"{path}/{_VERSIONS}")
+    return number, state or {"parts": []}
+
+
+def _parts(spark: SparkSession, path: str, state: dict) -> DataFrame:
+    return spark.read.schema(StructType.fromJson(state["schema"])).option("basePath", f"{path}/{_PARTS}").parquet(
+        *[f"{path}/{_PARTS}/{part}" for part in state["parts"]]).drop("part")
+
+
+def delta_sink(path: str, keys: Sequence[str], order_by: Sequence[str]) -> Callable[[DataFrame, int], None]:
+    """A table with one row per key, to which a batch adds no more than its own rows.
+
+    A batch is a part of its own, with the last row of each of its keys; reading takes the
+    last row over all parts, by the largest ``order_by``, ties by the other columns. So a batch
+    that comes again, on whatever checkpoint, changes nothing. Fold the parts now and then.
+    """
+    path = path.rstrip("/")
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        spark, part = batch.sparkSession, f"part={uuid.uuid4().hex}"
+        tables.last_of(batch, keys, order_by).write.parquet(f"{path}/{_PARTS}/{part}")
+        told = {"schema": batch.schema.jsonValue(), "keys": list(keys), "order_by": list(order_by)}
+        while True:
+            number, state = _live(spark, path)
+            try:
+                return versions.publish(spark, f"{path}/{_VERSIONS}", number + 1, {**told, "parts": [*state["parts"], part]})
+            except versions.Conflict:
+                continue  # parts may be added in any order
+
+    return write
+
+
+def delta_table(spark: SparkSession, path: str) -> DataFrame:
+    """What a ``delta_sink`` holds."""
+    path = path.rstrip("/")
+    state = _live(spark, path)[1]
+    if not state["parts"]:
+        raise ValueError(f"there is no table at {path}")
+    return tables.last_of(_parts(spark, path, state), state["keys"], state["order_by"])
+
+
+def fold_deltas(spark: SparkSession, path: str) -> None:
+    """Make one part of all that are there; parts that arrive meanwhile stay.
+
+    Readers of the parts before should be done: their files are removed.
+    """
+    path = path.rstrip("/")
+    folded, part = _live(spark, path)[1], f"part={uuid.uuid4().hex}"
+    tables.last_of(_parts(spark, path, folded), folded["keys"], folded["order_by"]).write.parquet(f"{path}/{_PARTS}/{part}")
+    while True:
+        number, state = _live(spark, path)
+        left = [p for p in state["parts"] if p not in folded["parts"]]
+        try:
+            versions.publish(spark, f"{path}/{_VERSIONS}", number + 1, {**state, "parts": [part, *left]})
+            break
+        except versions.Conflict:
+            continue
+    for old in folded["parts"]:
+        files.remove(spark, f"{path}/{_PARTS}/{old}")
+
+
 def sink_table(spark: SparkSession, path: str, keys: Sequence[str]) -> DataFrame:
     """What the sink holds: per key the row of its last batch (update mode emits a key again)."""
     rows = spark.read.parquet(path)

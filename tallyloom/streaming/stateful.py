@@ -76,14 +76,22 @@ def enrich(stream: DataFrame, table: DataFrame, key: str, how: str = "left", sal
 
 def enrich_moving(
     stream: DataFrame, other: DataFrame, key: str, ts: str, other_ts: str, within: str,
-    watermark: str = "1 hour",
+    watermark: str = "1 hour", how: str = "inner",
 ) -> DataFrame:
     """Both sides are streams: join records whose times are at most ``within`` apart.
 
     Records meet by key and stretch of time, so the state and the work of a hot key
     are spread over time: a left record lies in one stretch, a right record is kept
     in its own and the two next to it.
+
+    ``how="left"`` also hands on, once and with nulls, each record that met none. That is
+    known when the watermark, the slower one of both streams, has passed all records that
+    it could meet; until then it is state, as are records that may still meet some. A record
+    without a key or time meets none, and one without a time is handed on never: no watermark
+    passes it.
     """
+    if how not in ("inner", "left"):
+        raise ValueError(f"no stream join {how!r}")
     width = seconds(within)
     reach = F.expr(f"interval {width} seconds")
 
@@ -98,7 +106,7 @@ def enrich_moving(
     same = (F.col(f"l.{key}") == F.col(f"r.{key}")) & (F.col("l._stretch") == F.col("r._stretch"))
     near = F.col(f"r.{other_ts}").between(F.col(f"l.{ts}") - reach, F.col(f"l.{ts}") + reach)
     added = [F.col(f"r.{c}") for c in other.columns if c not in stream.columns]
-    joined = left.join(right, same & near).select("l.*", *added).drop("_stretch")
+    joined = left.join(right, same & near, "left_outer" if how == "left" else "inner").select("l.*", *added).drop("_stretch")
     restored = {ts: _restored(ts, is_ntz(stream, ts))}
     if other_ts in joined.columns:
         restored[other_ts] = _restored(other_ts, is_ntz(other, other_ts))

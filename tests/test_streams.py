@@ -6,7 +6,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from tallyloom.plans.streams import _rocksdb
-from tallyloom.streaming import log as logs, sinks, stateful
+from tallyloom.sources import files
+from tallyloom.streaming import audit, log as logs, sinks, stateful
 
 T0 = datetime(2024, 1, 1)
 SCHEMA = "id long, key string, ts timestamp_ntz, ok boolean"
@@ -31,6 +32,9 @@ class Feed:
         return sinks.run_available(
             self.job(stream), self.checkpoint, sinks.idempotent_sink(self.sink), self.mode)
 
+    def result_unordered(self, *columns):
+        return [tuple(r) for r in sinks.appended(self.spark, self.sink).select(*columns).collect()]
+
     def result(self, *columns):
         return sorted(tuple(r) for r in sinks.appended(self.spark, self.sink).select(*columns).collect())
 
@@ -219,3 +223,82 @@ def test_latest_reads_what_comes_between_runs(spark, folder):
     assert sorted(tuple(r) for r in sinks.appended(spark, sink).collect()) == [(0, 1), (0, 2)]
     with pytest.raises(ValueError, match="checkpoint"):
         logs.read_log(spark, path, spark.read.parquet(path).schema, "latest")
+
+
+def test_unmatched_records_are_handed_on_once(spark, folder):
+    """A left join of streams over several batches: matches at once, the rest when the watermark has passed them."""
+    def job(stream):
+        asks = stream.filter("ok").select("id", "key", "ts")
+        answers = stream.filter("not ok").select(F.col("id").alias("answer"), "key", F.col("ts").alias("answer_ts"))
+        return stateful.enrich_moving(asks, answers, "key", "ts", "answer_ts", "10m", watermark="30 minutes", how="left").select("id", "answer")
+
+    feed = Feed(spark, folder, job)
+    feed.run([(1, "a", 0, True), (2, "b", 1, True), (3, "a", 5, False), (4, None, 2, True)])
+    feed.run([(5, "b", 14, False), (6, "a", 20, True), (7, "a", 21, True), (8, "a", 29, False)])
+    key = lambda rows: sorted(rows, key=str)
+    assert key(feed.result_unordered("id", "answer")) == key([(1, 3), (6, 8), (7, 8)])
+    feed.run([(9, "z", 500, True), (10, "y", 500, False)])
+    feed.run([(11, "z", 2000, True), (12, "y", 2000, False)])
+    done = [(1, 3), (2, None), (4, None), (6, 8), (7, 8), (9, None)]
+    assert key(feed.result_unordered("id", "answer")) == key(done)
+    feed.run([(13, "x", 2001, False)])
+    assert key(feed.result_unordered("id", "answer")) == key(done)
+    with pytest.raises(ValueError, match="right"):
+        stateful.enrich_moving(None, None, "key", "ts", "ts", "1m", how="right")
+
+
+def test_progress_of_more_than_a_hundred_batches(spark, folder):
+    source, path = folder("source"), folder("progress")
+    spark.range(110).repartition(110, "id").write.option("maxRecordsPerFile", 1).parquet(source)
+    stream = logs.stream_files(spark, source, spark.range(0).schema, max_files=1)
+    with audit.progress_log(spark, path) as listener:
+        query = sinks.run_available(stream, folder("checkpoint"), lambda batch, number: batch.write.format("noop").mode("overwrite").save())
+        listener.settle(query)
+    rows = audit.progress(spark, path).collect()
+    assert len({r["batch_id"] for r in rows}) == len(rows) > 100 and sum(r["input_rows"] for r in rows) == 110
+    assert len(query.recentProgress) <= 100
+    assert audit.progress(spark, folder("none")).count() == 0
+
+
+def test_state_is_audited_against_the_last_batch(spark, folder):
+    feed = Feed(spark, folder, lambda s: stateful.windowed_counts(s, "5 minutes", ["key"], watermark="10 minutes"), "update")
+    feed.run([(1, "a", 0, True), (2, "a", 60, True), (3, "b", 61, True)])
+    feed.run([(4, "a", 62, True)])
+    row, = audit.state_audit(spark, feed.checkpoint).collect()
+    assert row["operator"] == "stateStoreSave" and row["agrees"] and row["partitions"] == 4 and row["committed_batch"] == audit.committed_batch(spark, feed.checkpoint)
+    held = audit.state_rows(spark, feed.checkpoint)
+    assert sorted((r["key"], r["count"]) for r in held.collect()) == [("a", 2), ("b", 1)]
+    # a checkpoint whose commits run ahead of its state is found
+    files.write_text(spark, f"{feed.checkpoint}/commits/99", "v1\n{}")
+    assert not audit.state_audit(spark, feed.checkpoint).first()["agrees"]
+
+
+def test_delta_sink_writes_no_more_than_a_batch(spark, folder):
+    path = folder("deltas")
+    write = sinks.delta_sink(path, ["key"], ["id"])
+    batch = lambda *items: spark.createDataFrame(items, "key string, id long, v string")
+    key = lambda: sorted(map(tuple, sinks.delta_table(spark, path).collect()), key=str)
+    write(batch(("a", 1, "x"), ("a", 3, "y"), ("b", 1, "z"), (None, 1, "n")), 0)
+    before = files.subfolders(spark, f"{path}/parts")
+    write(batch(("a", 2, "old"), ("b", 1, "zz"), ("c", 1, "new")), 1)
+    assert set(before) < set(files.subfolders(spark, f"{path}/parts"))
+    expected = sorted([("a", 3, "y"), ("b", 1, "zz"), ("c", 1, "new"), (None, 1, "n")], key=str)
+    assert key() == expected
+    write(batch(("a", 1, "x"), ("b", 1, "z")), 0)
+    sinks.fold_deltas(spark, path)
+    assert key() == expected and len(files.subfolders(spark, f"{path}/parts")) == 1
+    with pytest.raises(ValueError, match="no table"):
+        sinks.delta_table(spark, folder("none"))
+
+
+def test_delta_sinks_of_two_writers(spark, folder, monkeypatch):
+    """A writer that lost its version to another one adds its part to the next."""
+    path = folder("deltas")
+    write = sinks.delta_sink(path, ["key"], ["id"])
+    batch = lambda k: spark.createDataFrame([(k, 1)], "key string, id long")
+    write(batch("a"), 0)
+    stale, live, calls = sinks._live(spark, path), sinks._live, []
+    write(batch("b"), 0)
+    monkeypatch.setattr(sinks, "_live", lambda *args: calls.append(1) or (stale if len(calls) == 1 else live(*args)))
+    write(batch("c"), 0)
+    assert sorted(r["key"] for r in sinks.delta_table(spark, path).collect()) == ["a", "b", "c"] and len(calls) >= 2
