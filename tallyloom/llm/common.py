@@ -132,7 +132,11 @@ def word_hashes(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
         starts, ends = np.flatnonzero(first), np.flatnonzero(last)
         total = np.cumsum(low[data] * up[:len(data)], dtype=np.uint64)
         before = np.where(starts > 0, total[starts - 1], np.uint64(0))
-        hashes.append(mix((total[ends] - before) * down[starts]))
+        if len(starts) == 1 and ends[0] - starts[0] + 1 == _PIECE:
+            # a word as long as a piece counts as longer than one, whatever comes behind it
+            hashes.append(np.array([xxhash.xxh3_64_intdigest(data.tobytes().lower())], np.uint64))
+        else:
+            hashes.append(mix((total[ends] - before) * down[starts]))
         begins.append(starts + at)
         at = stop
     begin = np.concatenate(begins)

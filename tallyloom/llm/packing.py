@@ -11,6 +11,7 @@ They find their place by rank within their length.
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import zlib
@@ -31,7 +32,12 @@ _WORD_BYTES, _WORDS = 48, 250_000
 _MARKS = b".,!?;:"
 #: Letters that case folding and normalization leave alone.
 _PLAIN = re.compile(rb"(?:[a-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+")
+#: The steps before the model under which a text's ids are those of its words, one after another.
+_NORMALIZERS = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]
+_SPLIT = {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"},
+          "behavior": "Removed", "invert": True}
 _tokenizers: dict[str, object] = {}
+_by_words: dict[str, bool] = {}
 _words: dict[str, tuple[dict[bytes, bytes], dict[bytes, bytes]]] = {}
 
 
@@ -49,6 +55,22 @@ def _tokenizer(path: str) -> tuple:
     return _tokenizers[path]
 
 
+def by_words(path: str) -> bool:
+    """Whether a tokenizer's ids of a text are those of its lower-cased words on end.
+
+    True if it normalizes and splits as stated above and marks ends of words by ``</w>``;
+    no other tokenizer is taken apart.
+    """
+    with open(path, encoding="utf-8") as source:
+        told = json.load(source)
+    before, split, model = told.get("normalizer") or {}, told.get("pre_tokenizer") or {}, told["model"]
+    return (
+        before.get("normalizers") == _NORMALIZERS and split.get("type") == "Sequence"
+        and split.get("pretokenizers", [None])[0] == _SPLIT and [s["type"] for s in split["pretokenizers"][1:]] == ["ByteLevel"]
+        and model.get("end_of_word_suffix") == "</w>" and not model.get("dropout")
+        and all(t["content"].startswith("<|") for t in told.get("added_tokens", [])))
+
+
 def _encode_words(words: list[bytes], path: str) -> list[bytes]:
     """Ids of each word; words of plain letters share one text, in which each ends a word."""
     tokenizer, last = _tokenizer(path)
@@ -97,11 +119,17 @@ def _ids_of(words: list[bytes], path: str) -> list[bytes]:
 def encode(texts: pa.Array, path: str) -> Iterator[bytes]:
     """Token ids of each text as little-endian 32-bit numbers.
 
-    The tokenizer drops white space and never joins pieces across it, and it works in
-    lower case, so the ids of a text are those of its lower-cased words one after another;
-    only distinct words are looked up, and they are remembered. Texts that may hold a
-    special token are encoded as they are.
+    Under a tokenizer that works ``by_words`` the ids of a text are those of its lower-cased
+    words one after another; only distinct words are looked up, and they are remembered.
+    Texts that may hold a special token, and all texts under other tokenizers, are encoded
+    as they are.
     """
+    if path not in _by_words:
+        _by_words[path] = by_words(path)
+    if not _by_words[path]:
+        for text in texts:
+            yield array("I", _tokenizer(path)[0].encode(text.as_py(), add_special_tokens=False).ids).tobytes()
+        return
     special = pc.match_substring(texts, "<|")
     words = pc.ascii_split_whitespace(pc.ascii_lower(pc.if_else(special, "", texts)))
     each = words.flatten().dictionary_encode()

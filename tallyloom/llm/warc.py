@@ -32,6 +32,7 @@ from pyspark.sql.datasource import (
     StringStartsWith, WriterCommitMessage,
 )
 
+from ..sources import remote
 from .common import durable, small_batches, utf8
 
 SCHEMA = ("record_id string, record_type string, target_uri string, date string, payload_digest string, "
@@ -196,9 +197,10 @@ def records(source: io.BufferedReader, zipped: bool, wanted: _Wanted, payloads:
 
 
 def _open(path: str) -> tuple[pafs.FileSystem, str]:
-    if "://" in path or path.startswith("file:/"):
-        return pafs.FileSystem.from_uri(path)
-    return pafs.LocalFileSystem(), path
+    """A path without a scheme is one of this machine; ``archive`` and ``read_pages`` ask Spark for its scheme."""
+    if ":/" not in path:
+        return pafs.LocalFileSystem(), path
+    return remote.store(path)
 
 
 class WarcReader(DataSourceReader):
@@ -390,13 +392,15 @@ def _base32(sha1: Column) -> Column:
 
 def archive(pages: DataFrame, path: str, least_bytes: int = 0, key: str = "page_id") -> None:
     """Write the captures of ``pages`` as archives below ``path``."""
-    register(pages.sparkSession)
-    captures(pages, least_bytes, key).write.format("warc").mode("append").save(path)
+    spark = pages.sparkSession
+    register(spark)
+    captures(pages, least_bytes, key).write.format("warc").mode("append").save(remote.qualified(spark, path))
 
 
 def read_pages(spark: SparkSession, path: str) -> DataFrame:
     """What the archives say about each page. Payloads of responses are inflated and held against their digest."""
     register(spark)
+    path = remote.qualified(spark, path)
     page = lambda c: F.regexp_extract(c, "<urn:page:(-?[0-9]+)>", 1).try_cast("long")
     columns = "record_id string, record_type string, payload_digest string, refers_to string"
     read = lambda more: spark.read.format("warc").schema(f"{columns}, {more}").load(path)

@@ -202,6 +202,14 @@ def test_shards_of_documents_move_little(spark, sf_dir):
     assert max(Counter(loose[0].values()).values()) <= 1.25 * len(texts) / 10 + 1
 
 
+def test_one_more_shard_moves_few_documents(spark, sf_dir):
+    """At the query's own setting; a fortieth would be the least."""
+    docs = queries.table(spark, sf_dir, "documents")
+    held = [{r["doc_id"]: r["shard"] for r in sharding.shard(docs, n).collect()} for n in (40, 41)]
+    moved = sum(held[0][k] != held[1][k] for k in held[0]) / len(held[0])
+    assert 1 / 42 <= moved < 0.2 if len(held[0]) < 1000 else moved < 0.06
+
+
 def fold(key, parts):
     return zlib.crc32(str(key).encode()) % parts
 
@@ -593,3 +601,31 @@ def test_filters_merge_in_a_tree(spark, tasks, monkeypatch):
     assert 4 ** rounds >= tasks
     row, = plan.collect()
     assert row["twice"] == line_dedup.merged(filled, 1, width).first()["twice"]
+
+
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_packing_honours_any_tokenizer(spark, name):
+    """Ids are those of the tokenizer itself, whether it works word by word or not."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+    path = public_tokenizers.path(name)
+    assert packing.by_words(path) == name.startswith("word")
+    texts = ["Plain words", "  Two  Words\n\nnew", "ÜNÏ ''s it's 12 <|endoftext|>!", "", "İstanbul ﬁ x\u0301"]
+    own = Tokenizer.from_file(path)
+    found = [np.frombuffer(b, np.uint32).tolist() for b in packing.encode(pa.array(texts), path)]
+    assert found == [own.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+@pytest.mark.parametrize("length", [(1 << 20) - 1, 1 << 20, (1 << 20) + 1])
+def test_long_words_have_one_hash(length):
+    """Whatever stands before and behind a word of about a mebibyte."""
+    from tallyloom.llm.common import word_hashes
+    word, seen = b"ab" * (length // 2) + b"c" * (length % 2), set()
+    for before, behind in ((b"", b""), (b"", b" x"), (b"y ", b""), (b"y y ", b"\n"), (b" ", b" " + b"z" * 70_000)):
+        text = before + word + behind
+        hashes, edges = word_hashes(np.frombuffer(text, np.uint8), np.array([0, len(text)]))
+        seen.add(int(hashes[before.count(b"y")]))
+        assert edges[1] == len(text.split())
+    twice = np.frombuffer(word + word.upper(), np.uint8)
+    hashes, _ = word_hashes(twice, np.array([0, length, 2 * length]))
+    assert seen == {int(h) for h in hashes} and len(seen) == 1

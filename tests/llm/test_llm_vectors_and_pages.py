@@ -234,3 +234,12 @@ def test_wrong_digest_is_found():
     bad = warc.record("response", "<urn:page:1>", "u", "d", b"body", warc.digest(b"other"), 4, None)
     with pytest.raises(ValueError, match="digest"):
         list(warc.records(Source(bad), False, warc._Wanted([]), True))
+
+
+def test_archives_are_written_where_spark_says(spark, folder):
+    """Addresses as Spark resolves them; a store that workers cannot open is refused before anything runs."""
+    path = folder("address")
+    warc.archive(pages(spark), f"file:{path}")
+    assert warc.read_pages(spark, path).count() == len(PAGES) == spark.read.format("warc").load(f"file:{path}").count()
+    with pytest.raises(Exception, match="viewfs|No FileSystem|mount"):
+        warc.archive(pages(spark), "viewfs://nowhere/in")
