@@ -28,7 +28,8 @@ from pyspark.sql import Column, DataFrame, Row, functions as F
 
 from .common import BLANKS, durable, unused
 
-#: Characters of a word that count, so that inflected forms are one.
+#: Characters of a word that count unless told otherwise, so that inflected forms are one. Words
+#: that differ later only cannot tell domains apart; more characters tell more, and need more learners.
 BEGINNING = 4
 
 
@@ -37,10 +38,10 @@ def _words(text: str) -> Column:
     return F.split(F.trim(F.lower(F.coalesce(F.col(text), F.lit(""))), F.lit(BLANKS.decode())), r"\s+")
 
 
-def _beginnings(words: Column, buckets: int) -> Column:
+def _beginnings(words: Column, buckets: int, beginning: int) -> Column:
     """Hash buckets of the distinct word beginnings."""
     return F.array_distinct(F.transform(words, lambda w: F.pmod(
-        F.xxhash64(F.substring(w, 1, BEGINNING)), F.lit(buckets)).cast("int")))
+        F.xxhash64(F.substring(w, 1, beginning)), F.lit(buckets)).cast("int")))
 
 
 @dataclass
@@ -51,11 +52,12 @@ class Classifier:
     base: list[float]
     slopes: list[list[float]]
     buckets: int
+    beginning: int = BEGINNING
 
 
 def learn(docs: DataFrame, labels: DataFrame, domains: Sequence[str], buckets: int = 1 << 16,
           per_domain: int = 10_000, least_z: float = 3.0, least_odds: float = 1.5, key: str = "doc_id", text: str = "text",
-          domain: str = "domain") -> Classifier:
+          domain: str = "domain", beginning: int = BEGINNING) -> Classifier:
     """A classifier of ``domains`` from rows of ``labels`` with a key of ``docs``.
 
     A bucket's weight for a domain is its log odds ratio between the domain's documents
@@ -79,7 +81,7 @@ def learn(docs: DataFrame, labels: DataFrame, domains: Sequence[str], buckets: i
     learners = known.filter(F.pmod(F.xxhash64("_key", F.lit("mixing")), F.lit(1 << 30)) < share * (1 << 30))
     learned = durable(
         docs.select(F.col(key).alias("_key"), F.col(text)).join(F.broadcast(learners), "_key")  # bounded by per_domain
-        .select("_key", "_d", _beginnings(_words(text), buckets).alias("_buckets")), "mixing_learners")
+        .select("_key", "_d", _beginnings(_words(text), buckets, beginning).alias("_buckets")), "mixing_learners")
     sizes = {r["_d"]: r["n"] for r in learned.groupBy("_d").agg(F.count("*").alias("n")).collect()}
     everyone = sum(sizes.values())
     counts = learned.select("_d", F.explode("_buckets").alias("_bucket")).groupBy("_bucket").agg(
@@ -110,7 +112,7 @@ def learn(docs: DataFrame, labels: DataFrame, domains: Sequence[str], buckets: i
         for at, d in enumerate(there):
             base[d] = float(fitted.interceptVector[at])
             slopes[d] = [float(fitted.coefficientMatrix[at, e]) for e in every]
-    return Classifier(weights, base, slopes, buckets)
+    return Classifier(weights, base, slopes, buckets, beginning)
 
 
 def posteriors(docs: DataFrame, classifier: Classifier, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -124,7 +126,7 @@ def posteriors(docs: DataFrame, classifier: Classifier, key: str = "doc_id", tex
     body, words = F.coalesce(F.col(text), F.lit("")), _words(text)
     rows = docs.select(F.col(key).alias("_key"), F.xxhash64(body).alias("_hash"), words.alias("_words")).select(
         "_key", "_hash", F.when(F.col("_words")[0] == "", 0).otherwise(F.size("_words")).alias("_tokens"),
-        F.posexplode(_beginnings(F.col("_words"), classifier.buckets)).alias("_at", "_bucket"))
+        F.posexplode(_beginnings(F.col("_words"), classifier.buckets, classifier.beginning)).alias("_at", "_bucket"))
     # at most one row per bucket, 65,536 by default, whatever the data
     scored = rows.join(F.broadcast(classifier.weights), "_bucket", "left")
     sums = scored.groupBy("_key", "_hash").agg(
@@ -235,7 +237,7 @@ def rates(members: DataFrame, domains: int, targets: Sequence[float], floor: flo
 
 
 def mix(docs: DataFrame, labels: DataFrame, weights: dict[str, float], budget: float = 1.0, floor: float = 0.0,
-        ceiling: float = 100.0, buckets: int = 1 << 16, key: str = "doc_id", text: str = "text",
+        ceiling: float = 100.0, buckets: int = 1 << 16, beginning: int = BEGINNING, key: str = "doc_id", text: str = "text",
         domain: str = "domain", of_own: bool = False) -> DataFrame:
     """(key, text hash ``_hash``, tokens, one ``p_<domain>`` per domain, rate, copies) per distinct key and text.
 
@@ -254,7 +256,7 @@ def mix(docs: DataFrame, labels: DataFrame, weights: dict[str, float], budget: f
     rates meet the budget alone.
     """
     names = list(weights)
-    classifier = learn(docs, labels, names, buckets, key=key, text=text, domain=domain)
+    classifier = learn(docs, labels, names, buckets, key=key, text=text, domain=domain, beginning=beginning)
     members = durable(posteriors(docs, classifier, key, text), "mixing_members")
     if of_own:
         has = list(members.agg(*[F.coalesce(F.sum(F.col(f"_p{d}") * F.col("tokens") * F.col("_n")), F.lit(0.0))
