@@ -107,6 +107,14 @@ def test_topk_of_awkward_vectors(spark, bins):
     assert found == {q: v for q, v in expected.items() if v}
 
 
+@pytest.mark.parametrize("together", [1, 3, 100])
+def test_topk_of_several_blocks_in_a_pass(spark, together):
+    rng = np.random.default_rng(9)
+    rows = [(i, rng.normal(size=5).astype(np.float32).tolist()) for i in range(120)]
+    found = answers(topk.search(vectors(spark, rows[:50]), vectors(spark, rows).repartition(3), k=6, bins=7, block=9, together=together))
+    assert found == brute(rows, rows[:50], 6, "topk")
+
+
 def test_topk_of_many_ties(spark):
     rows = [(i, [1.0, float(i % 2)]) for i in range(300)]
     found = answers(topk.search(vectors(spark, rows[:3]), vectors(spark, rows).repartition(5), k=7))
