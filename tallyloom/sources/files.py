@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import codecs
 import uuid
 
 from pyspark.sql import SparkSession
@@ -81,7 +82,7 @@ def first_line(spark: SparkSession, path: str) -> str | None:
         text = b""
         while True:
             part = bytes(stream.readNBytes(1 << 16))
-            text = (text + part).lstrip(b"\xef\xbb\xbf \t\r\n")
+            text = (text + part).removeprefix(codecs.BOM_UTF8).lstrip(b" \t\r\n")
             if b"\n" in text or b"\r" in text or not part:
                 return text.splitlines()[0].decode() if text else None
     finally:

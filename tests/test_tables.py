@@ -303,6 +303,14 @@ def test_csv_columns_go_by_each_files_header(spark, folder, multiline):
         ingest.ingest_csv(spark, path, "a int, b int", multiline=multiline)
 
 
+def test_headers_with_marks_and_wide_names(spark, folder):
+    path = folder("csv")
+    for lines in (["\ufeffa,\ufebf", "1,2"], ["\ufebf,a", "2,1"]):
+        spark.createDataFrame([(x,) for x in lines], "l string").coalesce(1).write.mode("append").text(path)
+    good, _ = ingest.ingest_csv(spark, path, "a int, `\ufebf` int")
+    assert [tuple(r) for r in good.collect()] == [(1, 2), (1, 2)]
+
+
 def test_csv_of_nothing(spark, folder):
     path = folder("csv")
     spark.createDataFrame([], "l string").write.text(path)
