@@ -80,9 +80,9 @@ def enrich_moving(
 ) -> DataFrame:
     """Both sides are streams: join records whose times are at most ``within`` apart.
 
-    Records meet by key and stretch of time, so the state and the work of a hot key
-    are spread over time: a left record lies in one stretch, a right record is kept
-    in its own and the two next to it.
+    Records meet by key and stretch of time, twice ``within`` long, so the state and the
+    work of a hot key are spread over time: a left record lies in one stretch, a right
+    record is kept in the two, seldom the one, that it reaches.
 
     ``how="left"`` also hands on, once and with nulls, each record that met none. That is
     known when the watermark, the slower one of both streams, has passed all records that
@@ -95,12 +95,12 @@ def enrich_moving(
     width = seconds(within)
     reach = F.expr(f"interval {width} seconds")
 
-    def stretch(column: str) -> Column:
-        return F.floor(F.unix_seconds(F.col(column).cast("timestamp")) / width)
+    def stretch(column: str, shift: int = 0) -> Column:
+        return F.floor((F.unix_seconds(F.col(column).cast("timestamp")) + shift) / (2 * width))
 
     near_left = stream.withColumn("_stretch", stretch(ts))
     near_right = other.withColumn(
-        "_stretch", F.explode(F.sequence(stretch(other_ts) - 1, stretch(other_ts) + 1)))
+        "_stretch", F.explode(F.sequence(stretch(other_ts, -width), stretch(other_ts, width))))
     left = _timed(near_left, ts, watermark).alias("l")
     right = _timed(near_right, other_ts, watermark).alias("r")
     same = (F.col(f"l.{key}") == F.col(f"r.{key}")) & (F.col("l._stretch") == F.col("r._stretch"))

@@ -5,6 +5,7 @@ from datetime import datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
+from tallyloom.plans import streams
 from tallyloom.plans.streams import _rocksdb
 from tallyloom.sources import files
 from tallyloom.streaming import audit, log as logs, sinks, stateful
@@ -247,6 +248,42 @@ def test_unmatched_records_are_handed_on_once(spark, folder):
         stateful.enrich_moving(None, None, "key", "ts", "ts", "1m", how="right")
 
 
+def test_a_part_of_the_events_is_a_batch(spark, folder, monkeypatch):
+    """However many files and tasks the events are read from, and as how many files a part is written."""
+    sf_dir = folder("tables")
+    events = spark.range(600).select(
+        F.col("id").alias("event_id"), (F.lit(T0) + F.make_dt_interval(mins=F.col("id").cast("int"))).cast("timestamp_ntz").alias("ts"),
+        (F.col("id") % 2).alias("user_id"), F.when(F.col("id") % 3 == 0, "purchase").otherwise("click").alias("event_type"),
+        F.lit(1.0).alias("value"), F.lit("{}").alias("props"))
+    events.repartition(24).write.parquet(f"{sf_dir}/events.parquet")
+    near = {(p, c) for p in range(0, 600, 3) for c in range(p - 10, p + 11, 2) if 0 <= c < 600 and c % 3}
+    for rows_a_file in (streams._FILE_ROWS, 50):
+        monkeypatch.setattr(streams, "_FILE_ROWS", rows_a_file)
+        query = sinks.run_available(streams._event_stream(spark, sf_dir), folder("checkpoint"), sinks.idempotent_sink(folder("sink")))
+        assert [p.numInputRows for p in query.recentProgress] == [200, 200, 200]
+        for job in (streams.stream_enrich_moving, streams.stream_enrich_outer):
+            found = [tuple(r) for r in job(spark, sf_dir).collect()]
+            assert len(found) == len(near) and set(found) == near
+
+
+def test_a_moving_record_is_kept_twice_at_most(spark, folder):
+    """And meets all that are near it, at the very bounds too."""
+    def job(stream):
+        asks = stream.filter("ok").select("id", "key", "ts")
+        answers = stream.filter("not ok").select(F.col("id").alias("answer"), "key", F.col("ts").alias("answer_ts"))
+        return stateful.enrich_moving(asks, answers, "key", "ts", "answer_ts", "10m", watermark="1 day").select("id", "answer")
+
+    feed = Feed(spark, folder, job)
+    asks = [(n, "a", n * 0.5, True) for n in range(120)]
+    answers = [(1000 + n, "a", n * 0.7 + 1e-7 * (n % 3), False) for n in range(90)]
+    query = feed.run(asks + answers)
+    us = lambda minutes: timedelta(minutes=minutes)
+    near = [(a[0], b[0]) for a in asks for b in answers if abs(us(a[2]) - us(b[2])) <= us(10)]
+    assert feed.result("id", "answer") == sorted(near)
+    state = query.recentProgress[0].stateOperators[0]
+    assert len(asks) + len(answers) < state.numRowsTotal <= len(asks) + 2 * len(answers)
+
+
 def test_progress_of_more_than_a_hundred_batches(spark, folder):
     source, path = folder("source"), folder("progress")
     spark.range(110).repartition(110, "id").write.option("maxRecordsPerFile", 1).parquet(source)
